@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunedata.functions.text import ustrip
-from tunedata.operators import bitext
-from tunedata.plans.corpus import bitext_tmx
+from tunedata.operators import bitext, splits, stats
+from tunedata.plans.corpus import bitext_tmx, table
+from tunedata.session import scratch_path
+from tunedata.sources import jsonl
 from tunedata.sources.tmx import parse_tmx, tmx_errors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +102,79 @@ def lang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def lang_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitext.to_sft(training_pairs(spark, sf_dir), lang_style="name", keep=["path", "tu_idx", "lang_pos"])
+
+
+# ---------------------------------------------------------------- sources / sinks / counters
+
+
+def _keyed_sft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitext.to_sft(training_pairs(spark, sf_dir), keep=["path", "tu_idx", "lang_pos"])
+
+
+@query
+def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "jsonl")
+    jsonl.write_jsonl(_keyed_sft(spark, sf_dir), out)
+    return jsonl.read_jsonl(spark, out, "path string, tu_idx int, lang_pos int, prompt string, completion string")
+
+
+@query
+def jsonl_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "jsonl-ascii")
+    jsonl.write_jsonl(_keyed_sft(spark, sf_dir), out, ascii=True)
+    ddl = "path string, tu_idx int, lang_pos int, prompt string, completion string"
+    lines = spark.read.text(out)
+    return lines.select(
+        F.from_json("value", ddl).alias("r"), F.col("value").rlike(r"^[\x00-\x7F]*$").alias("is_ascii")
+    ).select("r.*", "is_ascii")
+
+
+@query
+def preview_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.preview(_keyed_sft(spark, sf_dir), 5, ["path", "tu_idx", "lang_pos"], ["prompt", "completion"])
+
+
+@query
+def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.dataset_stats(training_pairs(spark, sf_dir), ["lang"], ["path", "tu_idx"], "path")
+
+
+# ---------------------------------------------------------------- splits
+
+
+@query
+def split_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    return splits.split_random(orders, "o_orderkey", 0.8, seed=42)
+
+
+@query
+def split_test_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return splits.split_test_size(docs, "doc_id", 0.2, seed=42)
+
+
+@query
+def split_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    return splits.split_head_tail(orders, ["o_orderkey"], 0.8)
+
+
+@query
+def split_pairs_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = training_pairs(spark, sf_dir).select("path", "tu_idx", "lang_pos")
+    return splits.split_head_tail(pairs, ["path", "tu_idx", "lang_pos"], 0.8)
+
+
+@query
+def shuffle_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return splits.shuffle_rows(docs, "doc_id", seed=7)
+
+
+@query
+def split_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    s = splits.split_random(orders, "o_orderkey", 0.8, seed=42)
+    parts = [s.where(F.col("split") == "train"), s.where(F.col("split") == "valid")]
+    return splits.check_partition(orders, parts, "o_orderkey")

@@ -119,3 +119,39 @@ ORACLES["lang_names"] = with_units(pairs_cte("training"), LANG_NAMES_VALUES) + (
     f"\nSELECT path, tu_idx, lang_pos, {PROMPT.format(label='coalesce(n.name, ' + LABEL + ')')} AS prompt, tgt AS completion"
     f"\nFROM pairs LEFT JOIN names n ON n.code = {LABEL}"
 )
+
+# ---------------------------------------------------------------- sources / sinks / counters
+
+SFT_SQL = f"SELECT path, tu_idx, lang_pos, {PROMPT.format(label=LABEL)} AS prompt, tgt AS completion FROM pairs"
+ORACLES["jsonl_roundtrip"] = with_units(pairs_cte("training")) + "\n" + SFT_SQL
+ORACLES["jsonl_ascii"] = with_units(pairs_cte("training")) + f"\nSELECT *, true AS is_ascii FROM ({SFT_SQL})"
+ORACLES["preview_examples"] = with_units(pairs_cte("training")) + f"""
+SELECT CAST(row_number() OVER (ORDER BY path, tu_idx, lang_pos) AS INTEGER) AS example_no, prompt, completion
+FROM ({SFT_SQL}) ORDER BY path, tu_idx, lang_pos LIMIT 5"""
+ORACLES["dataset_stats"] = with_units(pairs_cte("training")) + """
+SELECT lang, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT (path, tu_idx)) AS BIGINT) AS n_units,
+       CAST(count(DISTINCT path) AS BIGINT) AS n_files
+FROM pairs GROUP BY lang"""
+
+# ---------------------------------------------------------------- splits
+
+
+def hash_rank(key: str, table: str, seed: int) -> str:
+    return (
+        f"SELECT {key}, CAST(row_number() OVER (ORDER BY md5('{seed}|' || CAST({key} AS VARCHAR)), {key}) AS BIGINT) AS shuffle_pos,"
+        f" count(*) OVER () AS n FROM {table}"
+    )
+
+
+ORACLES["split_random"] = f"""WITH r AS ({hash_rank('o_orderkey', 'orders', 42)})
+SELECT o_orderkey, shuffle_pos, CASE WHEN shuffle_pos <= floor(CAST(0.8 AS DOUBLE) * n) THEN 'train' ELSE 'valid' END AS split FROM r"""
+ORACLES["split_test_size"] = f"""WITH r AS ({hash_rank('doc_id', 'documents', 42)})
+SELECT doc_id, shuffle_pos, CASE WHEN shuffle_pos <= ceil(CAST(0.2 AS DOUBLE) * n) THEN 'test' ELSE 'train' END AS split FROM r"""
+ORACLES["split_head_tail"] = """WITH r AS (SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS pos, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, pos, CASE WHEN pos <= floor(CAST(0.8 AS DOUBLE) * n) THEN 'train' ELSE 'valid' END AS split FROM r"""
+ORACLES["split_pairs_head_tail"] = with_units(pairs_cte("training")) + """,
+r AS (SELECT path, tu_idx, lang_pos, CAST(row_number() OVER (ORDER BY path, tu_idx, lang_pos) AS BIGINT) AS pos, count(*) OVER () AS n FROM pairs)
+SELECT path, tu_idx, lang_pos, pos, CASE WHEN pos <= floor(CAST(0.8 AS DOUBLE) * n) THEN 'train' ELSE 'valid' END AS split FROM r"""
+ORACLES["shuffle_positions"] = f"SELECT doc_id, shuffle_pos FROM ({hash_rank('doc_id', 'documents', 7)})"
+ORACLES["split_complement"] = """SELECT CAST(count(*) AS BIGINT) AS n_all, CAST(count(*) AS BIGINT) AS n_parts,
+  CAST(0 AS BIGINT) AS n_overlap, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_extra FROM orders"""
