@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunedata.functions.text import ustrip
-from tunedata.operators import bitext, splits, stats
+from tunedata.operators import bitext, sft, splits, stats
 from tunedata.plans.corpus import bitext_tmx, table
 from tunedata.session import scratch_path
 from tunedata.sources import jsonl
@@ -178,3 +178,91 @@ def split_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = splits.split_random(orders, "o_orderkey", 0.8, seed=42)
     parts = [s.where(F.col("split") == "train"), s.where(F.col("split") == "valid")]
     return splits.check_partition(orders, parts, "o_orderkey")
+
+
+# ---------------------------------------------------------------- SFT tokenisation
+
+KEYS = ["path", "tu_idx", "lang_pos"]
+CHAT_VOCAB = 2000
+DOC_VOCAB = 5000
+
+
+@query
+def chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sft.chat_template(_keyed_sft(spark, sf_dir)).select(*KEYS, "user_text", "full_text")
+
+
+@query
+def infer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = bitext.fix_lang_codes(validation_pairs(spark, sf_dir, max_tus=20))
+    q = sft.infer_prompt(ev, "quoted").withColumnRenamed("infer_prompt", "quoted")
+    return sft.infer_prompt(q, "legacy").select(*KEYS, "quoted", F.col("infer_prompt").alias("legacy"))
+
+
+def _doc_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sft.build_vocab(table(spark, sf_dir, "documents"), ["text"], DOC_VOCAB)
+
+
+@query
+def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _doc_vocab(spark, sf_dir)
+
+
+@query
+def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    enc = sft.encoder(_doc_vocab(spark, sf_dir), DOC_VOCAB)
+    docs = table(spark, sf_dir, "documents").select("doc_id", enc(F.col("text"), True).alias("ids"))
+    return docs.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.array_join("ids", " ").alias("ids"))
+
+
+@query
+def pad_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    enc = sft.encoder(_doc_vocab(spark, sf_dir), DOC_VOCAB)
+    ids = enc(F.col("text"), True)
+    docs = table(spark, sf_dir, "documents").select("doc_id", sft.pad(ids, 256).alias("i"), sft.attention(ids, 256).alias("m"))
+    return docs.select("doc_id", F.array_join("i", " ").alias("input_ids"), F.array_join("m", " ").alias("attention_mask"))
+
+
+def tokenised(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    examples = _keyed_sft(spark, sf_dir)
+    chat = sft.chat_template(examples)
+    enc = sft.encoder(sft.build_vocab(chat, ["full_text"], CHAT_VOCAB), CHAT_VOCAB)
+    length = 128 if mode.startswith("seq2seq") else 256
+    return sft.tokenize_sft(examples, enc, mode, length, keep=KEYS)
+
+
+def _joined(df: DataFrame) -> DataFrame:
+    arrays = [c for c in ("input_ids", "attention_mask", "labels") if c in df.columns]
+    return df.select(*[F.array_join(c, " ").alias(c) if c in arrays else F.col(c) for c in df.columns])
+
+
+def _label_query(mode: str):
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _joined(tokenised(spark, sf_dir, mode))
+
+    q.__name__ = f"labels_{mode}"
+    return query(q)
+
+
+for _mode in sft.LABEL_MODES:
+    _label_query(_mode)
+
+
+@query
+def token_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sft.validate_tokens(tokenised(spark, sf_dir, "prompt_masked"), 256, ("input_ids", "attention_mask", "labels"))
+
+
+@query
+def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tok = tokenised(spark, sf_dir, "intended")
+    split = splits.split_head_tail(tok, KEYS, 0.8).drop("pos")
+    out = scratch_path(spark, "training-table")
+    sft.to_training_table(split, out, 256)
+    return _joined(spark.read.parquet(out)).select(*KEYS, "split", "input_ids", "attention_mask", "labels")
+
+
+@query
+def minibatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = training_pairs(spark, sf_dir).select(*KEYS)
+    return sft.assign_batches(keys, KEYS, batch_size=8, grad_accum=4)

@@ -155,3 +155,107 @@ SELECT path, tu_idx, lang_pos, pos, CASE WHEN pos <= floor(CAST(0.8 AS DOUBLE) *
 ORACLES["shuffle_positions"] = f"SELECT doc_id, shuffle_pos FROM ({hash_rank('doc_id', 'documents', 7)})"
 ORACLES["split_complement"] = """SELECT CAST(count(*) AS BIGINT) AS n_all, CAST(count(*) AS BIGINT) AS n_parts,
   CAST(0 AS BIGINT) AS n_overlap, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_extra FROM orders"""
+
+# ---------------------------------------------------------------- SFT tokenisation
+
+TOKEN_RE = r"</?s>|\[/?INST\]|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+KEYS = "path, tu_idx, lang_pos"
+CHAT = f"""sft AS ({SFT_SQL}),
+chat AS (SELECT {KEYS}, prompt, completion, '<s>[INST] ' || prompt || ' [/INST]' AS user_text,
+         '<s>[INST] ' || prompt || ' [/INST] ' || completion || '</s>' AS full_text FROM sft)"""
+
+
+def vocab_cte(source: str, col: str, max_size: int) -> str:
+    return f"""toks AS (SELECT unnest(regexp_extract_all({col}, '{TOKEN_RE}')) AS token FROM {source}),
+cnt AS (SELECT token, count(*) AS freq FROM toks WHERE token NOT IN ('<unk>', '<s>', '</s>') GROUP BY token),
+top AS (SELECT token, CAST(row_number() OVER (ORDER BY freq DESC, token) + 2 AS INTEGER) AS id, CAST(freq AS BIGINT) AS freq
+        FROM cnt QUALIFY row_number() OVER (ORDER BY freq DESC, token) <= {max_size - 3}),
+vocab AS (SELECT token, id, freq FROM top
+          UNION ALL SELECT * FROM (VALUES ('<unk>', 0, CAST(0 AS BIGINT)), ('<s>', 1, CAST(0 AS BIGINT)), ('</s>', 2, CAST(0 AS BIGINT))) v(token, id, freq))"""
+
+
+def enc_cte(name: str, source: str, keys: str, col: str, bos: bool) -> str:
+    """ids of a text column: tokens by position, looked up in ``vocab`` (unknown → 0), BOS first."""
+    head = "[1] || " if bos else ""
+    return f"""{name}_t AS (SELECT {keys}, unnest(regexp_extract_all({col}, '{TOKEN_RE}')) AS tok,
+                   generate_subscripts(regexp_extract_all({col}, '{TOKEN_RE}'), 1) AS pos FROM {source}),
+{name} AS (SELECT s.*, {head}coalesce(e.ids, []) AS ids FROM (SELECT {keys} FROM {source}) s LEFT JOIN
+  (SELECT {keys}, list(coalesce(v.id, 0) ORDER BY pos) AS ids FROM {name}_t LEFT JOIN vocab v ON v.token = tok GROUP BY {keys}) e
+  USING ({keys}))"""
+
+
+def padded(ids: str, length: int, value: int = 2) -> str:
+    return f"list_concat({ids}[1:{length}], list_transform(range({length} - least(len({ids}), {length})), lambda x: {value}))"
+
+
+def att(ids: str, length: int) -> str:
+    return (f"list_concat(list_transform(range(least(len({ids}), {length})), lambda x: 1),"
+            f" list_transform(range({length} - least(len({ids}), {length})), lambda x: 0))")
+
+
+def j(x: str) -> str:
+    return f"array_to_string({x}, ' ')"
+
+
+ORACLES["chat_template"] = with_units(pairs_cte("training"), CHAT) + f"\nSELECT {KEYS}, user_text, full_text FROM chat"
+ORACLES["infer_prompts"] = with_units(pairs_cte("validation", 20)) + f"""
+SELECT {KEYS}, '<s>[INST] Translate the following English text to ' || substr(upper(lang), 1, 2) || ': ''' || src || ''' [/INST]' AS quoted,
+       '<s>[INST] Translate to ' || substr(upper(lang), 1, 2) || ':' || chr(10) || src || ' [/INST]' AS legacy
+FROM pairs"""
+ORACLES["vocab"] = "WITH " + vocab_cte("documents", "text", 5000) + "\nSELECT token, id, freq FROM vocab"
+ORACLES["encode"] = "WITH " + vocab_cte("documents", "text", 5000) + ",\n" + enc_cte("e", "documents", "doc_id", "text", True) + (
+    f"\nSELECT doc_id, CAST(len(ids) AS BIGINT) AS n_ids, {j('ids')} AS ids FROM e"
+)
+ORACLES["pad_mask"] = "WITH " + vocab_cte("documents", "text", 5000) + ",\n" + enc_cte("e", "documents", "doc_id", "text", True) + (
+    f"\nSELECT doc_id, {j(padded('ids', 256))} AS input_ids, {j(att('ids', 256))} AS attention_mask FROM e"
+)
+
+
+def label_sql(mode: str) -> str:
+    ctes = [pairs_cte("training"), CHAT, vocab_cte("chat", "full_text", 2000)]
+    if mode in ("prompt_masked", "prompt_masked_bos", "collated", "intended"):
+        L = 256
+        ctes.append(enc_cte("ef", "chat", KEYS, "full_text", True))
+        ctes.append(enc_cte("eu", "chat", KEYS, "user_text", mode in ("prompt_masked_bos", "intended")))
+        ctes.append(f"""b AS (SELECT {KEYS}, {padded('ef.ids', L)} AS input_ids, {att('ef.ids', L)} AS attention_mask,
+                      least(len(eu.ids), {L}) AS u FROM ef JOIN eu USING ({KEYS}))""")
+        if mode == "collated":
+            lab = "list_transform(input_ids, lambda x: CASE WHEN x = 2 THEN -100 ELSE x END)"
+        elif mode == "intended":
+            lab = "list_transform(input_ids, lambda x, i: CASE WHEN i <= u OR attention_mask[i] = 0 THEN -100 ELSE x END)"
+        else:
+            lab = "list_transform(input_ids, lambda x, i: CASE WHEN i <= u THEN -100 ELSE x END)"
+        return with_units(*ctes) + f"\nSELECT {KEYS}, {j('input_ids')} AS input_ids, {j('attention_mask')} AS attention_mask, {j(lab)} AS labels FROM b"
+    L = 128
+    ctes.append(enc_cte("ep", "chat", KEYS, "prompt", True))
+    ctes.append(enc_cte("ec", "chat", KEYS, "completion", True))
+    if mode == "seq2seq":
+        lab = f"list_transform({padded('ec.ids', L)}, lambda x: CASE WHEN x = 2 THEN -100 ELSE x END)"
+        return with_units(*ctes) + (
+            f"\nSELECT {KEYS}, {j(padded('ep.ids', L))} AS input_ids, {j(att('ep.ids', L))} AS attention_mask, {j(lab)} AS labels"
+            f"\nFROM ep JOIN ec USING ({KEYS})"
+        )
+    # seq2seq_pad100: an empty text encodes as [pad]
+    pi = "CASE WHEN coalesce(c.prompt, '') = '' THEN [2] ELSE ep.ids END"
+    ci = "CASE WHEN coalesce(c.completion, '') = '' THEN [2] ELSE ec.ids END"
+    return with_units(*ctes) + (
+        f"\nSELECT {', '.join('c.' + k for k in KEYS.split(', '))}, {j(padded(pi, L))} AS input_ids, {j(padded(ci, L, -100))} AS labels"
+        f"\nFROM chat c JOIN ep USING ({KEYS}) JOIN ec USING ({KEYS})"
+    )
+
+
+for _m in ("prompt_masked", "prompt_masked_bos", "collated", "intended", "seq2seq", "seq2seq_pad100"):
+    ORACLES[f"labels_{_m}"] = label_sql(_m)
+
+ORACLES["token_validation"] = with_units(pairs_cte("training")) + """
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_null, CAST(0 AS BIGINT) AS n_bad_length FROM pairs"""
+_intended = label_sql("intended")
+ORACLES["training_table"] = _intended.replace(
+    f"\nSELECT {KEYS}, {j('input_ids')} AS input_ids",
+    f"\nSELECT {KEYS}, CASE WHEN row_number() OVER (ORDER BY {KEYS}) <= floor(CAST(0.8 AS DOUBLE) * count(*) OVER ()) THEN 'train' ELSE 'valid' END AS split,"
+    f" {j('input_ids')} AS input_ids",
+)
+ORACLES["minibatches"] = with_units(pairs_cte("training")) + f""",
+r AS (SELECT {KEYS}, row_number() OVER (ORDER BY {KEYS}) AS pos, count(*) OVER () AS n FROM pairs)
+SELECT {KEYS}, CAST((pos - 1) // 8 AS BIGINT) AS batch_id, CAST((pos - 1) // 8 // 4 AS BIGINT) AS step_id
+FROM r WHERE (pos - 1) // 8 < n // 8"""
