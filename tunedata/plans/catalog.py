@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunedata.functions.text import ustrip
-from tunedata.operators import bitext, sft, splits, stats
+from tunedata.functions.text import extract_reply, format_score, tok_13a
+from tunedata.operators import bitext, inference, metrics, sft, splits, stats
+from tunedata.plans.corpus import conversation_pairs
+from tunedata.plans.systems import SYSTEMS
 from tunedata.plans.corpus import bitext_tmx, table
 from tunedata.session import scratch_path
 from tunedata.sources import jsonl
@@ -266,3 +269,99 @@ def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def minibatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = training_pairs(spark, sf_dir).select(*KEYS)
     return sft.assign_batches(keys, KEYS, batch_size=8, grad_accum=4)
+
+
+# ---------------------------------------------------------------- batch inference
+
+
+def eval_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation pairs with two-letter language codes and the inference prompt."""
+    ev = bitext.fix_lang_codes(validation_pairs(spark, sf_dir))
+    return sft.infer_prompt(ev, "quoted")
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = eval_set(spark, sf_dir)
+    return inference.predict_systems(ev, SYSTEMS, ["infer_prompt", "src", "tgt"], batch_size=64)
+
+
+@query
+def reply_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = conversation_pairs(spark, sf_dir)
+    middle = F.when(F.col("turn") % 3 == 0, F.lit(" [/INST] draft [/INST] ")).otherwise(F.lit(" [/INST] "))
+    full = F.concat(F.lit("<s>[INST] "), F.col("src"), middle, F.col("tgt"))
+    return p.select("conv_id", "turn", extract_reply(full).alias("reply"))
+
+
+@query
+def predictions_by_system(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predictions(spark, sf_dir).select("system", *KEYS, "lang", "prediction")
+
+
+@query
+def prediction_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = predictions(spark, sf_dir)
+    a = p.where(F.col("system") == "echo")
+    b = p.where(F.col("system") == "half")
+    return inference.diff_predictions(a, b, KEYS, ["lang"])
+
+
+@query
+def max_abs_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    shifted = emb.select((F.col("vec_id") - 1).alias("vec_id"), "embedding")
+    d = inference.max_abs_delta(emb, shifted, ["vec_id"], "embedding")
+    return d.select("vec_id", F.round("max_abs_delta", 6).alias("max_abs_delta"))
+
+
+# ---------------------------------------------------------------- metrics (F1-F8)
+
+BLEU_COLS = ["score", "bp", "p1", "p2", "p3", "p4"]
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if c in BLEU_COLS + ["baseline_score", "delta"] else F.col(c) for c in df.columns])
+
+
+def _scores(spark: SparkSession, sf_dir: str, group_cols: list[str]) -> DataFrame:
+    p = predictions(spark, sf_dir)
+    return metrics.corpus_bleu(p, ["system", *KEYS], "prediction", F.array("tgt"), group_cols)
+
+
+@query
+def tok13a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", tok_13a("text").alias("t"))
+    return docs.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
+@query
+def ngram_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = predictions(spark, sf_dir)
+    st = metrics.segment_stats(p, ["system", *KEYS], "prediction", F.array("tgt"))
+    return metrics.ngram_stats(st, ["system"])
+
+
+@query
+def bleu_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_scores(spark, sf_dir, ["system"]))
+
+
+@query
+def bleu_by_system_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_scores(spark, sf_dir, ["system", "lang"]))
+
+
+@query
+def bleu_multi_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = predictions(spark, sf_dir)
+    return _rounded(metrics.corpus_bleu(p, ["system", *KEYS], "prediction", F.array("tgt", "src"), ["system"]))
+
+
+@query
+def bleu_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir, ["system"]).select("system", format_score("score").alias("bleu"))
+
+
+@query
+def compare_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.compare_systems(_scores(spark, sf_dir, ["system", "lang"]), "echo", ["lang"]))

@@ -259,3 +259,110 @@ ORACLES["minibatches"] = with_units(pairs_cte("training")) + f""",
 r AS (SELECT {KEYS}, row_number() OVER (ORDER BY {KEYS}) AS pos, count(*) OVER () AS n FROM pairs)
 SELECT {KEYS}, CAST((pos - 1) // 8 AS BIGINT) AS batch_id, CAST((pos - 1) // 8 // 4 AS BIGINT) AS step_id
 FROM r WHERE (pos - 1) // 8 < n // 8"""
+
+# ---------------------------------------------------------------- inference
+
+def words(x: str) -> str:
+    """Python ``str.split()``."""
+    return f"list_filter(regexp_split_to_array({x}, '{WS}+'), lambda w: w <> '')"
+
+
+EVAL = pairs_cte("validation") + """,
+preds AS (
+  SELECT s.system, p.path, p.tu_idx, p.lang_pos, substr(upper(coalesce(p.lang, '')), 1, 2) AS lang, p.src, p.tgt,
+    CASE s.system WHEN 'echo' THEN """ + strip("p.src") + """
+      WHEN 'half' THEN array_to_string(""" + words("p.tgt") + "[1:len(" + words("p.tgt") + """) // 2], ' ')
+      ELSE array_to_string(list_reverse(""" + words("p.tgt") + """), ' ') END AS prediction
+  FROM pairs p, (VALUES ('echo'), ('half'), ('reversed')) s(system)
+)"""
+
+ORACLES["reply_extract"] = "WITH " + UNITS.split("cu AS")[0].rstrip().rstrip(",") + f"""
+SELECT conv_id, turn, {strip("string_split('<s>[INST] ' || src || CASE WHEN turn % 3 = 0 THEN ' [/INST] draft [/INST] ' ELSE ' [/INST] ' END || tgt, '[/INST]')[-1]")} AS reply
+FROM cp"""
+ORACLES["predictions_by_system"] = with_units(EVAL) + f"\nSELECT system, {KEYS}, lang, prediction FROM preds"
+ORACLES["prediction_diff"] = with_units(EVAL) + f"""
+SELECT a.lang, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (WHERE a.prediction IS DISTINCT FROM b.prediction) AS BIGINT) AS n_diff
+FROM preds a JOIN preds b USING ({KEYS}) WHERE a.system = 'echo' AND b.system = 'half' GROUP BY a.lang"""
+ORACLES["max_abs_delta"] = """
+SELECT a.vec_id, round(list_max(list_transform(list_zip(a.embedding, b.embedding),
+       lambda z: abs(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))), 6) AS max_abs_delta
+FROM embeddings a JOIN embeddings b ON b.vec_id - 1 = a.vec_id"""
+
+# ---------------------------------------------------------------- metrics
+
+
+def tok13a(x: str) -> str:
+    t = rstrip(f"coalesce({x}, '')")
+    t = f"replace(replace(replace({t}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+    t = f"replace(replace(replace(replace({t}, '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')"
+    t = f"(' ' || {t} || ' ')"
+    t = f"regexp_replace({t}, '([\\{{-~\\[-` -&\\(-\\+:-@/])', ' \\1 ', 'g')"
+    t = f"regexp_replace({t}, '([^0-9])([\\.,])', '\\1 \\2 ', 'g')"
+    t = f"regexp_replace({t}, '([\\.,])([^0-9])', ' \\1 \\2', 'g')"
+    t = f"regexp_replace({t}, '([0-9])(-)', '\\1 \\2 ', 'g')"
+    return words(t)
+
+
+def ngr(t: str, n: int) -> str:
+    return f"list_transform(range(1, len({t}) - {n - 2}), lambda i: array_to_string({t}[i:i + {n - 1}], ' '))"
+
+
+SEG_KEY = f"system, {KEYS}"
+
+
+def stats_cte(refs: list[str], group: str) -> str:
+    """Per-segment BLEU statistics ``st`` over ``preds`` with the given reference expressions."""
+    ref_cols = ", ".join(f"{tok13a(r)} AS r{i}" for i, r in enumerate(refs))
+    hg = " UNION ALL ".join(f"SELECT {SEG_KEY}, {n} AS n, unnest({ngr('h', n)}) AS gram FROM seg" for n in range(1, 5))
+    rg = " UNION ALL ".join(
+        f"SELECT {SEG_KEY}, {i} AS ri, {n} AS n, unnest({ngr(f'r{i}', n)}) AS gram FROM seg" for i in range(len(refs)) for n in range(1, 5)
+    )
+    rl = [f"len(r{i})" for i in range(len(refs))]
+    closest = rl[0]
+    for other in rl[1:]:
+        closest = (f"CASE WHEN abs({other} - len(h)) < abs({closest} - len(h)) OR (abs({other} - len(h)) = abs({closest} - len(h))"
+                   f" AND {other} < {closest}) THEN {other} ELSE {closest} END")
+    cs = ", ".join(f"coalesce(sum(m) FILTER (WHERE n = {n}), 0) AS c{n}" for n in range(1, 5))
+    return f"""seg AS (SELECT {SEG_KEY}, lang, {tok13a('prediction')} AS h, {ref_cols} FROM preds),
+hg AS (SELECT {SEG_KEY}, n, gram, count(*) AS c FROM ({hg}) GROUP BY ALL),
+rg AS (SELECT {SEG_KEY}, n, gram, max(c) AS c FROM (SELECT {SEG_KEY}, ri, n, gram, count(*) AS c FROM ({rg}) GROUP BY ALL) GROUP BY ALL),
+clip AS (SELECT {SEG_KEY}, n, least(hg.c, coalesce(rg.c, 0)) AS m FROM hg LEFT JOIN rg USING ({SEG_KEY}, n, gram)),
+cs AS (SELECT {SEG_KEY}, {cs} FROM clip GROUP BY ALL),
+st AS (SELECT {group}, sum(len(h)) AS sys_len, sum({closest}) AS ref_len,
+        sum(coalesce(c1, 0)) AS c1, sum(coalesce(c2, 0)) AS c2, sum(coalesce(c3, 0)) AS c3, sum(coalesce(c4, 0)) AS c4,
+        sum(greatest(len(h), 0)) AS t1, sum(greatest(len(h) - 1, 0)) AS t2, sum(greatest(len(h) - 2, 0)) AS t3, sum(greatest(len(h) - 3, 0)) AS t4
+       FROM seg LEFT JOIN cs USING ({SEG_KEY}) GROUP BY {group})"""
+
+
+def bleu_select(group: str, rounded: bool = True) -> str:
+    def p(n: int) -> str:
+        zeros = " + ".join(f"CASE WHEN c{k} = 0 THEN 1 ELSE 0 END" for k in range(1, n + 1))
+        return (f"CASE WHEN c1 + c2 + c3 + c4 = 0 OR t{n} = 0 THEN 0.0 WHEN c{n} = 0 THEN 100.0 / (pow(2.0, {zeros}) * t{n})"
+                f" ELSE 100.0 * c{n} / t{n} END")
+
+    bp = "CASE WHEN sys_len >= ref_len THEN 1.0 WHEN sys_len > 0 THEN exp(1.0 - CAST(ref_len AS DOUBLE) / sys_len) ELSE 0.0 END"
+    r = (lambda x: f"round({x}, 6)") if rounded else (lambda x: x)
+    return f"""pr AS (SELECT {group}, {p(1)} AS p1, {p(2)} AS p2, {p(3)} AS p3, {p(4)} AS p4, {bp} AS bp,
+        CAST(sys_len AS BIGINT) AS sys_len, CAST(ref_len AS BIGINT) AS ref_len FROM st),
+sc AS (SELECT *, CASE WHEN p1 * p2 * p3 * p4 > 0 THEN bp * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4) ELSE 0.0 END AS score FROM pr)
+SELECT {group}, {r('score')} AS score, {r('bp')} AS bp, {r('p1')} AS p1, {r('p2')} AS p2, {r('p3')} AS p3, {r('p4')} AS p4, sys_len, ref_len FROM sc"""
+
+
+ORACLES["tok13a"] = f"""SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, ' ') AS tokens
+FROM (SELECT doc_id, {tok13a('text')} AS t FROM documents)"""
+ORACLES["ngram_stats"] = with_units(EVAL, stats_cte(["tgt"], "system")) + """
+SELECT system, n, CAST(CASE n WHEN 1 THEN c1 WHEN 2 THEN c2 WHEN 3 THEN c3 ELSE c4 END AS BIGINT) AS correct,
+       CAST(CASE n WHEN 1 THEN t1 WHEN 2 THEN t2 WHEN 3 THEN t3 ELSE t4 END AS BIGINT) AS total
+FROM st, (VALUES (1), (2), (3), (4)) v(n)"""
+ORACLES["bleu_corpus"] = with_units(EVAL, stats_cte(["tgt"], "system")) + ",\n" + bleu_select("system")
+ORACLES["bleu_by_system_lang"] = with_units(EVAL, stats_cte(["tgt"], "system, lang")) + ",\n" + bleu_select("system, lang")
+ORACLES["bleu_multi_ref"] = with_units(EVAL, stats_cte(["tgt", "src"], "system")) + ",\n" + bleu_select("system")
+ORACLES["bleu_format"] = with_units(EVAL, stats_cte(["tgt"], "system")) + ",\n" + bleu_select("system", False).replace(
+    "SELECT system, score AS score, bp AS bp, p1 AS p1, p2 AS p2, p3 AS p3, p4 AS p4, sys_len, ref_len FROM sc",
+    "SELECT system, printf('%.2f', score) AS bleu FROM sc",
+)
+ORACLES["compare_systems"] = with_units(EVAL, stats_cte(["tgt"], "system, lang")) + ",\n" + bleu_select("system, lang", False).replace(
+    "SELECT system, lang, score AS score, bp AS bp, p1 AS p1, p2 AS p2, p3 AS p3, p4 AS p4, sys_len, ref_len FROM sc",
+    """SELECT system, lang, round(score, 6) AS score, round(b, 6) AS baseline_score, round(score - b, 6) AS delta
+FROM (SELECT *, max(CASE WHEN system = 'echo' THEN score END) OVER (PARTITION BY lang) AS b FROM sc)""",
+)
