@@ -41,12 +41,13 @@ def predict_systems(
     batch_size: int = 64,
     output_col: str = "prediction",
 ) -> DataFrame:
-    """One pass per system over the same eval set, as one long table with a ``system`` column."""
-    out = None
+    """Every system over the same eval set in one pass (all models see the same Arrow
+    batches), as one long table with a ``system`` column."""
+    outs = []
     for name, make in systems.items():
-        p = predict(df, make, input_cols, batch_size=batch_size, output_col=output_col).withColumn("system", F.lit(name))
-        out = p if out is None else out.unionByName(p)
-    return out
+        udf = predict_batch_udf(make, return_type=T.StringType(), batch_size=batch_size)
+        outs.append(F.struct(F.lit(name).alias("system"), extract_reply(udf(*[F.col(c) for c in input_cols])).alias(output_col)))
+    return df.withColumn("__p", F.explode(F.array(*outs))).select(*df.columns, "__p.system", f"__p.{output_col}")
 
 
 def diff_predictions(a: DataFrame, b: DataFrame, key: Sequence[str], group_cols: Sequence[str] = (), col: str = "prediction") -> DataFrame:

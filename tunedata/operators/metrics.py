@@ -8,11 +8,15 @@ in place; only the final per-group sums shuffle, after partial aggregation.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tunedata.functions.text import format_score, ngrams, tok_13a
 
@@ -31,12 +35,80 @@ def _all_ngrams(tokens: Column) -> Column:
 
 
 def segment_stats(
-    df: DataFrame, key: Sequence[str], hyp: str, refs: Column, *, carry: Sequence[str] = (), num_partitions: int | None = None
+    df: DataFrame,
+    key: Sequence[str],
+    hyp: str,
+    refs: Column,
+    *,
+    carry: Sequence[str] = (),
+    method: str = "arrow",
+    num_partitions: int | None = None,
 ) -> DataFrame:
     """Per segment: ``key + carry + [sys_len, ref_len, c1..c4, t1..t4]``.
 
     ``refs`` is an array<string> column (one or more references per segment); ``carry``
-    columns (constant per segment, e.g. system and language) ride along.
+    columns (constant per segment, e.g. system and language) ride along. Tokens are always
+    13a expressions on the JVM. ``method``:
+
+    arrow       clipped counts per segment in an Arrow-batched UDF (a Counter per segment):
+                no shuffle at all, segments are independent.
+    relational  n-grams exploded and counted with group-bys after one hash repartition on
+                ``key`` (all later aggregations reuse that partitioning).
+    """
+    if method == "arrow":
+        return _segment_stats_arrow(df, key, hyp, refs, carry)
+    if method != "relational":
+        raise ValueError(f"method={method!r}")
+    return _segment_stats_relational(df, key, hyp, refs, carry, num_partitions)
+
+
+def _clipped_counts(hyps: pd.Series, refs: pd.Series) -> pd.DataFrame:
+    """Per segment: sys_len, closest ref_len (ties → shorter) and clipped matches for n = 1..4."""
+    out = np.zeros((len(hyps), 2 + MAX_ORDER), dtype=np.int64)
+    for row, (h, rs) in enumerate(zip(hyps, refs)):
+        h = list(h)
+        hl = len(h)
+        rls = [len(r) for r in rs]
+        out[row, 0] = hl
+        out[row, 1] = min(rls, key=lambda x: (abs(x - hl), x)) if rls else 0
+        rlists = [list(r) for r in rs]
+        for n in range(1, MAX_ORDER + 1):
+            if hl < n:
+                break
+            hc = Counter(zip(*[h[i:] for i in range(n)]))
+            best: Counter = Counter()
+            for r in rlists:
+                for g, v in Counter(zip(*[r[i:] for i in range(n)])).items():
+                    if v > best[g]:
+                        best[g] = v
+            out[row, 1 + n] = sum(min(v, best[g]) for g, v in hc.items() if g in best)
+    return pd.DataFrame(out, columns=["sys_len", "ref_len"] + [f"c{n}" for n in range(1, MAX_ORDER + 1)])
+
+
+_STATS_TYPE = StructType([StructField(c, LongType(), False) for c in ["sys_len", "ref_len"] + [f"c{n}" for n in range(1, MAX_ORDER + 1)]])
+_clipped_udf = F.pandas_udf(_clipped_counts, _STATS_TYPE)
+
+
+def _segment_stats_arrow(df: DataFrame, key: Sequence[str], hyp: str, refs: Column, carry: Sequence[str]) -> DataFrame:
+    key = list(key)
+    carry = [c for c in carry if c not in key]
+    st = df.select(*key, *carry, _clipped_udf(tok_13a(hyp), F.transform(refs, lambda r: tok_13a(r))).alias("s"))
+    return st.select(
+        *key,
+        *carry,
+        "s.sys_len",
+        "s.ref_len",
+        *[F.col(f"s.c{n}") for n in range(1, MAX_ORDER + 1)],
+        *[F.greatest(F.col("s.sys_len") - (n - 1), F.lit(0)).cast("bigint").alias(f"t{n}") for n in range(1, MAX_ORDER + 1)],
+    )
+
+
+def _segment_stats_relational(
+    df: DataFrame, key: Sequence[str], hyp: str, refs: Column, carry: Sequence[str], num_partitions: int | None
+) -> DataFrame:
+    """One pass, no join: the lengths are computed before the explode and carried as grouping
+    keys (they depend on the segment only), and each segment emits one marker row (n = 0)
+    so a segment with no hypothesis n-gram still reaches the sums.
     """
     key = list(key)
     carry = [c for c in carry if c not in key]
@@ -44,29 +116,34 @@ def segment_stats(
     base = base.repartition(num_partitions, *key) if num_partitions else base.repartition(*key)
     hl = F.size("__h")
     closest = F.array_min(F.transform("__rs", lambda r: F.struct(F.abs(F.size(r) - hl).alias("d"), F.size(r).alias("len"))))
-    lengths = base.select(*key, *carry, hl.cast("bigint").alias("sys_len"), closest["len"].cast("bigint").alias("ref_len"))
-
-    hyp_grams = base.select(*key, F.lit(-1).alias("side"), F.explode(_all_ngrams(F.col("__h"))).alias("g"))
-    ref_grams = base.select(*key, F.posexplode("__rs").alias("side", "__r")).select(
-        *key, "side", F.explode(_all_ngrams(F.col("__r"))).alias("g")
+    seg = key + carry + ["sys_len", "ref_len"]
+    marker = F.array(F.struct(F.lit(-1).alias("side"), F.lit(0).alias("n"), F.lit("").alias("gram")))
+    hyp_grams = F.transform(_all_ngrams(F.col("__h")), lambda g: F.struct(F.lit(-1).alias("side"), g["n"].alias("n"), g["gram"].alias("gram")))
+    ref_grams = F.flatten(
+        F.transform(
+            "__rs",
+            lambda r, i: F.transform(_all_ngrams(r), lambda g: F.struct(i.alias("side"), g["n"].alias("n"), g["gram"].alias("gram"))),
+        )
     )
-    grams = hyp_grams.unionByName(ref_grams).select(*key, "side", F.col("g.n").alias("n"), F.col("g.gram").alias("gram"))
-    counts = grams.groupBy(*key, "n", "gram", "side").agg(F.count("*").alias("cnt"))
-    per_gram = counts.groupBy(*key, "n", "gram").agg(
+    rows = base.select(
+        *key,
+        *carry,
+        hl.cast("bigint").alias("sys_len"),
+        F.coalesce(closest["len"], F.lit(0)).cast("bigint").alias("ref_len"),
+        F.explode(F.concat(marker, hyp_grams, ref_grams)).alias("g"),
+    ).select(*seg, "g.side", "g.n", "g.gram")
+    counts = rows.groupBy(*seg, "n", "gram", "side").agg(F.count("*").alias("cnt"))
+    per_gram = counts.groupBy(*seg, "n", "gram").agg(
         F.sum(F.when(F.col("side") == -1, F.col("cnt"))).alias("hc"),
         F.max(F.when(F.col("side") >= 0, F.col("cnt"))).alias("rc"),
     ).where(F.col("hc").isNotNull())
     clipped = F.least(F.col("hc"), F.coalesce(F.col("rc"), F.lit(0)))
-    correct = per_gram.groupBy(*key).agg(
+    out = per_gram.groupBy(*seg).agg(
         *[F.sum(F.when(F.col("n") == n, clipped).otherwise(0)).alias(f"c{n}") for n in range(1, MAX_ORDER + 1)]
     )
-    out = lengths.join(correct, key, "left")
     return out.select(
-        *key,
-        *carry,
-        "sys_len",
-        "ref_len",
-        *[F.coalesce(F.col(f"c{n}"), F.lit(0)).cast("bigint").alias(f"c{n}") for n in range(1, MAX_ORDER + 1)],
+        *seg,
+        *[F.col(f"c{n}").cast("bigint").alias(f"c{n}") for n in range(1, MAX_ORDER + 1)],
         *[F.greatest(F.col("sys_len") - (n - 1), F.lit(0)).cast("bigint").alias(f"t{n}") for n in range(1, MAX_ORDER + 1)],
     )
 
@@ -112,10 +189,11 @@ def corpus_bleu(
     refs: Column,
     group_cols: Sequence[str] = (),
     *,
+    method: str = "arrow",
     num_partitions: int | None = None,
 ) -> DataFrame:
     """``group + (score, bp, p1..p4, sys_len, ref_len)``; segments pair row by row with their references."""
-    stats = segment_stats(df, key, hyp, refs, carry=group_cols, num_partitions=num_partitions)
+    stats = segment_stats(df, key, hyp, refs, carry=group_cols, method=method, num_partitions=num_partitions)
     sums = stats.groupBy(*group_cols).agg(*[F.sum(x).alias(x) for x in STAT_COLS])
     return bleu_from_stats(sums, group_cols)
 

@@ -25,7 +25,17 @@ THIRD_LANG = "MT-MT"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table, spread over the cluster when its files give fewer scan tasks than cores."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over ``defaultParallelism`` tasks only when the plan yields fewer
+    partitions (e.g. one large parquet row group); a wide scan is left alone, so at cluster
+    scale this adds no shuffle. Planning only - no job is run."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    return df.repartition(want) if have < want else df
 
 
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
