@@ -20,6 +20,7 @@ from tunedata.plans.corpus import bitext_tmx, table
 from tunedata.session import scratch_path
 from tunedata.sources import jsonl
 from tunedata.sources.tmx import parse_tmx, tmx_errors
+from tunedata.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -365,3 +366,29 @@ def bleu_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def compare_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.compare_systems(_scores(spark, sf_dir, ["system", "lang"]), "echo", ["lang"]))
+
+
+# ---------------------------------------------------------------- incremental file streams
+
+
+@query
+def stream_tmx_sft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as UTF-8 TMX files, picked up by a file stream and converted batch by batch."""
+    src, out = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
+    incremental.write_tmx_files(bitext_tmx(spark, sf_dir, encoding="UTF-8"), src)
+    q = incremental.stream_tmx_to_sft(spark, src, out, encoding="UTF-8", glob="*.txt")
+    q.awaitTermination()
+    ddl = "path string, tu_idx int, lang_pos int, prompt string, completion string"
+    rows = jsonl.read_jsonl(spark, out, ddl)
+    return rows.select(incremental.original_path("path").alias("path"), "tu_idx", "lang_pos", "prompt", "completion")
+
+
+@query
+def stream_lang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The capped validation set as JSON lines, language codes fixed by a streaming projection."""
+    src, out = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
+    jsonl.write_jsonl(validation_pairs(spark, sf_dir, max_tus=20), src)
+    ddl = "path string, tu_idx int, lang_pos int, src string, tgt string, lang string"
+    q = incremental.stream_jsonl(spark, src, ddl, bitext.fix_lang_codes, out)
+    q.awaitTermination()
+    return jsonl.read_jsonl(spark, out, ddl)

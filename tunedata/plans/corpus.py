@@ -96,6 +96,6 @@ def bitext_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv_units.unionByName(page_units)
 
 
-def bitext_tmx(spark: SparkSession, sf_dir: str, *, bom: bool = True) -> DataFrame:
-    """``(path, content)``: the test corpus as UTF-16LE TMX documents."""
-    return write_tmx_bytes(bitext_units(spark, sf_dir), bom=bom)
+def bitext_tmx(spark: SparkSession, sf_dir: str, *, bom: bool = True, encoding: str = "UTF-16LE") -> DataFrame:
+    """``(path, content)``: the test corpus as TMX documents (UTF-16LE with a BOM by default)."""
+    return write_tmx_bytes(bitext_units(spark, sf_dir), encoding=encoding, bom=bom and encoding.upper().startswith("UTF-16"))

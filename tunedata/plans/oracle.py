@@ -366,3 +366,8 @@ ORACLES["compare_systems"] = with_units(EVAL, stats_cte(["tgt"], "system, lang")
     """SELECT system, lang, round(score, 6) AS score, round(b, 6) AS baseline_score, round(score - b, 6) AS delta
 FROM (SELECT *, max(CASE WHEN system = 'echo' THEN score END) OVER (PARTITION BY lang) AS b FROM sc)""",
 )
+
+# ---------------------------------------------------------------- incremental file streams
+
+ORACLES["stream_tmx_sft"] = ORACLES["sft_examples"]
+ORACLES["stream_lang_codes"] = ORACLES["lang_codes"]
