@@ -50,6 +50,16 @@ def predict_systems(
     return df.withColumn("__p", F.explode(F.array(*outs))).select(*df.columns, "__p.system", f"__p.{output_col}")
 
 
+def persist_predictions(df: DataFrame, path: str, partition_by: str | None = "system") -> DataFrame:
+    """Write predictions once (Parquet, partitioned by system) and read them back: scoring
+    never re-runs a model, and the lineage is cut at the shared folder."""
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def diff_predictions(a: DataFrame, b: DataFrame, key: Sequence[str], group_cols: Sequence[str] = (), col: str = "prediction") -> DataFrame:
     """Rows compared and rows whose outputs differ between two systems (per group)."""
     j = a.select(*key, *group_cols, F.col(col).alias("__a")).join(b.select(*key, F.col(col).alias("__b")), list(key))

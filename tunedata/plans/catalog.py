@@ -282,8 +282,10 @@ def eval_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every system over the eval set, persisted once to the shared folder."""
     ev = eval_set(spark, sf_dir)
-    return inference.predict_systems(ev, SYSTEMS, ["infer_prompt", "src", "tgt"], batch_size=64)
+    preds = inference.predict_systems(ev, SYSTEMS, ["infer_prompt", "src", "tgt"], batch_size=64)
+    return inference.persist_predictions(preds, scratch_path(spark, "predictions"))
 
 
 @query
@@ -358,6 +360,13 @@ def bleu_multi_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.corpus_bleu(p, ["system", *KEYS], "prediction", F.array("tgt", "src"), ["system"]))
 
 
+@query
+def bleu_as_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluator's call as written: first prediction of each system vs all its targets."""
+    p = predictions(spark, sf_dir)
+    return _rounded(metrics.bleu_first_hypothesis(p, KEYS, "prediction", "tgt", ["system"]))
+
+
 @query
 def bleu_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir, ["system"]).select("system", format_score("score").alias("bleu"))

@@ -371,3 +371,22 @@ FROM (SELECT *, max(CASE WHEN system = 'echo' THEN score END) OVER (PARTITION BY
 
 ORACLES["stream_tmx_sft"] = ORACLES["sft_examples"]
 ORACLES["stream_lang_codes"] = ORACLES["lang_codes"]
+
+ORACLES["bleu_as_written"] = with_units(EVAL) + f""",
+fp AS (SELECT system, arg_min(prediction, (path, tu_idx, lang_pos)) AS prediction FROM preds GROUP BY system),
+fh AS (SELECT system, {tok13a('prediction')} AS h FROM fp),
+rt AS (SELECT system, path, tu_idx, lang_pos, {tok13a('tgt')} AS r FROM preds),
+hg AS (SELECT system, n, gram, count(*) AS c FROM (""" + " UNION ALL ".join(
+    f"SELECT system, {n} AS n, unnest({ngr('h', n)}) AS gram FROM fh" for n in range(1, 5)) + """) GROUP BY ALL),
+rg AS (SELECT system, n, gram, max(c) AS c FROM (SELECT system, path, tu_idx, lang_pos, n, gram, count(*) AS c FROM (""" + " UNION ALL ".join(
+    f"SELECT system, path, tu_idx, lang_pos, {n} AS n, unnest({ngr('r', n)}) AS gram FROM rt" for n in range(1, 5)) + """) GROUP BY ALL) GROUP BY ALL),
+cl AS (SELECT system, n, sum(least(hg.c, coalesce(rg.c, 0))) AS m FROM hg LEFT JOIN rg USING (system, n, gram) GROUP BY ALL),
+rl AS (SELECT rt.system, arg_min(len(r), (abs(len(r) - len(h)), len(r))) AS ref_len FROM rt JOIN fh USING (system) GROUP BY rt.system),
+st AS (SELECT fh.system, len(h) AS sys_len, rl.ref_len,
+  coalesce((SELECT m FROM cl WHERE cl.system = fh.system AND n = 1), 0) AS c1,
+  coalesce((SELECT m FROM cl WHERE cl.system = fh.system AND n = 2), 0) AS c2,
+  coalesce((SELECT m FROM cl WHERE cl.system = fh.system AND n = 3), 0) AS c3,
+  coalesce((SELECT m FROM cl WHERE cl.system = fh.system AND n = 4), 0) AS c4,
+  greatest(len(h), 0) AS t1, greatest(len(h) - 1, 0) AS t2, greatest(len(h) - 2, 0) AS t3, greatest(len(h) - 3, 0) AS t4
+  FROM fh JOIN rl USING (system)),
+""" + bleu_select("system")
