@@ -16,7 +16,7 @@ from tunedata.functions.text import extract_reply, format_score, tok_13a
 from tunedata.operators import bitext, inference, metrics, sft, splits, stats
 from tunedata.plans.corpus import conversation_pairs
 from tunedata.plans.systems import SYSTEMS
-from tunedata.plans.corpus import bitext_tmx, table
+from tunedata.plans.corpus import bitext_tmx, spread, table
 from tunedata.session import scratch_path
 from tunedata.sources import jsonl
 from tunedata.sources.tmx import parse_tmx, tmx_errors
@@ -227,12 +227,23 @@ def pad_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.array_join("i", " ").alias("input_ids"), F.array_join("m", " ").alias("attention_mask"))
 
 
-def tokenised(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    examples = _keyed_sft(spark, sf_dir)
+SFT_DDL = "path string, tu_idx int, lang_pos int, prompt string, completion string"
+
+
+def sft_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training examples as the reference hands them to its trainers: a JSON-lines file."""
+    out = scratch_path(spark, "sft")
+    jsonl.write_jsonl(_keyed_sft(spark, sf_dir), out)
+    return spread(jsonl.read_jsonl(spark, out, SFT_DDL))
+
+
+def tokenised(spark: SparkSession, sf_dir: str, mode: str, examples: DataFrame | None = None) -> DataFrame:
+    examples = sft_jsonl(spark, sf_dir) if examples is None else examples
     chat = sft.chat_template(examples)
     enc = sft.encoder(sft.build_vocab(chat, ["full_text"], CHAT_VOCAB), CHAT_VOCAB)
     length = 128 if mode.startswith("seq2seq") else 256
-    return sft.tokenize_sft(examples, enc, mode, length, keep=KEYS)
+    keep = [c for c in examples.columns if c not in ("prompt", "completion")]
+    return sft.tokenize_sft(examples, enc, mode, length, keep=keep)
 
 
 def _joined(df: DataFrame) -> DataFrame:
@@ -259,8 +270,8 @@ def token_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tok = tokenised(spark, sf_dir, "intended")
-    split = splits.split_head_tail(tok, KEYS, 0.8).drop("pos")
+    examples = splits.split_head_tail(sft_jsonl(spark, sf_dir), KEYS, 0.8).drop("pos")
+    split = tokenised(spark, sf_dir, "intended", examples)
     out = scratch_path(spark, "training-table")
     sft.to_training_table(split, out, 256)
     return _joined(spark.read.parquet(out)).select(*KEYS, "split", "input_ids", "attention_mask", "labels")

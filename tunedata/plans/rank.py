@@ -41,6 +41,8 @@ def exact_rank(
     sorting by ``order``. Its distinct values should be bounded (they form the offset table).
     """
     b = df.withColumn("__bucket", bucket)
+    # Bucket sizes: partially aggregated before the shuffle, so only one row per bucket moves.
+    # (The input is read twice - materialise it first when it is expensive to recompute.)
     counts = b.groupBy("__bucket").agg(F.count("*").alias("__n"))
     # One row per bucket: the running count over that small table gives each bucket's offset.
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
