@@ -19,7 +19,7 @@ from tunedata.plans.systems import SYSTEMS
 from tunedata.plans.corpus import bitext_tmx, spread, table
 from tunedata.session import scratch_path
 from tunedata.sources import jsonl
-from tunedata.sources.tmx import parse_tmx, tmx_errors
+from tunedata.sources.tmx import parse_tmx, read_tmx_large, tmx_errors
 from tunedata.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,17 @@ def tmx_first_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation_pairs(spark, sf_dir, max_tus=20)
 
 
+@query
+def tmx_pairs_large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training pairs through the XML-source route for files too large for one row."""
+    src = scratch_path(spark, "tmx-files")
+    incremental.write_tmx_files(bitext_tmx(spark, sf_dir, encoding="UTF-8"), src)
+    seg = read_tmx_large(spark, src, encoding="UTF-8", glob="*.txt")
+    # _metadata.file_path is a URI: the partition folder name is percent-encoded once more.
+    seg = seg.withColumn("path", F.url_decode(incremental.original_path("path")))
+    return bitext.tmx_to_pairs(seg, policy="training")
+
+
 @query
 def tmx_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tmx_errors(bitext_tmx(spark, sf_dir)).groupBy("path").agg(F.count("*").cast("bigint").alias("n_bad"))

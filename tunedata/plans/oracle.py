@@ -390,3 +390,5 @@ st AS (SELECT fh.system, len(h) AS sys_len, rl.ref_len,
   greatest(len(h), 0) AS t1, greatest(len(h) - 1, 0) AS t2, greatest(len(h) - 2, 0) AS t3, greatest(len(h) - 3, 0) AS t4
   FROM fh JOIN rl USING (system)),
 """ + bleu_select("system")
+
+ORACLES["tmx_pairs_large_files"] = ORACLES["tmx_pairs_training"]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from tunedata import schemas
 from tunedata.functions.text import WS_CLASS, xml_escape
@@ -75,6 +76,11 @@ def parse_tmx(
         F.from_xml("tu", schemas.TU_RAW_DDL, opts).alias("raw"),
         *([F.from_xml("tu", schemas.TU_PARTS_DDL, opts).alias("parts")] if inline != "raw" else []),
     )
+    return _segments(parsed, inline, on_error, keep_errors)
+
+
+def _segments(parsed: DataFrame, inline: str, on_error: str, keep_errors: bool) -> DataFrame:
+    """``(path, tu_idx, raw, parts)`` parsed units → one row per ``<tuv>``."""
     bad = F.col("raw._corrupt_record").isNotNull()
     if keep_errors:
         return parsed.where(bad).select("path", "tu_idx", F.col("raw._corrupt_record").alias("record"))
@@ -104,6 +110,63 @@ def parse_tmx(
     )
 
 
+def read_tmx_large(
+    spark: SparkSession,
+    path: str,
+    *,
+    encoding: str = "UTF-16LE",
+    glob: str = "*.tmx",
+    inline: str = "leading",
+    on_error: str = "quarantine",
+    keep_errors: bool = False,
+) -> DataFrame:
+    """Segments of TMX files of any size, through Spark's streaming XML source (``rowTag=tu``).
+
+    ``binaryFile`` holds a whole file in one row (2 GB at most); this route never does. Each
+    unit's position comes from its file block and ``monotonically_increasing_id`` (rows of one
+    block are consecutive), offset by the rows of earlier blocks of the same file - a table
+    of one row per block. The leading-text rule needs two views of ``<seg>``, so the files are
+    scanned twice and the views joined on ``(path, tu_idx)``; that join's hash partitioning is
+    what the per-unit de-dup and pairing then reuse. Same output as :func:`parse_tmx`.
+    """
+    if inline not in ("leading", "all_text", "raw"):
+        raise ValueError(f"inline={inline!r}")
+    mode = "FAILFAST" if on_error == "fail" else "PERMISSIVE"
+
+    def scan(ddl: str, name: str) -> DataFrame:
+        r = (
+            spark.read.format("xml")
+            .option("rowTag", "tu")
+            .option("encoding", encoding)
+            .option("ignoreSurroundingSpaces", "false")
+            .option("mode", mode)
+            .option("columnNameOfCorruptRecord", "_corrupt_record")
+            .option("pathGlobFilter", glob)
+            .option("recursiveFileLookup", "true")
+            .schema(ddl)
+            .load(path)
+        )
+        fields = [c for c in r.columns]
+        r = r.select(
+            F.struct(*fields).alias(name),
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("__blk"),
+            F.monotonically_increasing_id().alias("__mid"),
+        )
+        blocks = r.groupBy("path", "__blk").agg(F.min("__mid").alias("__m0"), F.count("*").alias("__n"))
+        earlier = Window.partitionBy("path").orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = blocks.select("path", "__blk", "__m0", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"))
+        idx = (F.col("__off") + F.col("__mid") - F.col("__m0")).cast("int")
+        return r.join(offsets, ["path", "__blk"]).select("path", idx.alias("tu_idx"), name)
+
+    raw = scan(schemas.TU_RAW_DDL, "raw")
+    if inline == "raw":
+        parsed = raw
+    else:
+        parsed = raw.join(scan(schemas.TU_PARTS_DDL.replace(">>>>", ">>>>, _corrupt_record string"), "parts"), ["path", "tu_idx"])
+    return _segments(parsed, inline, on_error, keep_errors)
+
+
 def tmx_units(files: DataFrame, *, encoding: str = "UTF-16LE", num_partitions: int | None = None) -> DataFrame:
     """``(path, content)`` → ``(path, tu_idx, tu)``: each ``<tu>`` fragment in document order."""
     text = F.decode("content", encoding)
@@ -137,4 +200,4 @@ def write_tmx_bytes(units: DataFrame, *, encoding: str = "UTF-16LE", bom: bool =
     return docs.select("path", F.encode(F.concat(F.lit(header), "body", F.lit("\n</body></tmx>\n")), encoding).alias("content"))
 
 
-__all__ = ["read_tmx", "parse_tmx", "tmx_units", "tmx_errors", "tuv_xml", "tu_xml", "write_tmx_bytes", "xml_escape"]
+__all__ = ["read_tmx", "parse_tmx", "read_tmx_large", "tmx_units", "tmx_errors", "tuv_xml", "tu_xml", "write_tmx_bytes", "xml_escape"]
