@@ -38,14 +38,13 @@ def test_training_table_rejects_wrong_length(spark, tmp_path):
         sft.to_training_table(df, str(tmp_path / "bad"), 4)
 
 
-def make_upper():
-    def predict(prompt):
-        return np.array([f"{p} [/INST]  {p.upper()} " for p in prompt], dtype=object)
-
-    return predict
+def test_predict_single_system(spark):
+    def make_upper():  # local, so it is pickled by value for the Python workers
+        def predict(prompt):
+            return np.array([f"{p} [/INST]  {p.upper()} " for p in prompt], dtype=object)
 
+        return predict
 
-def test_predict_single_system(spark):
     df = spark.createDataFrame([("ab",), ("cd",)], "q string")
     got = inference.predict(df, make_upper, ["q"], batch_size=1).orderBy("q").collect()
     assert [(r.q, r.prediction) for r in got] == [("ab", "AB"), ("cd", "CD")]
