@@ -33,8 +33,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin the rows over ``defaultParallelism`` tasks only when the plan yields fewer
     partitions (e.g. one large parquet row group); a wide scan is left alone, so at cluster
     scale this adds no shuffle. Planning only - no job is run."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a Spark Connect session): leave the plan as is
+        return df
     return df.repartition(want) if have < want else df
 
 

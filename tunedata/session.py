@@ -41,7 +41,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only a local-mode session without one gets a fresh folder of its own; a cluster
     session without one is an error, because a machine-local folder is not shared.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no context access (e.g. a Spark Connect session): the conf must name it
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
