@@ -6,19 +6,21 @@ Sizes follow the reference: a train share gives ``floor(share * n)`` train rows
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunedata.plans.rank import rank_by_hash, rank_by_key
 
 
-def shuffle_rows(df: DataFrame, key: str, seed: int = 42, *, pos_col: str = "shuffle_pos") -> DataFrame:
+def shuffle_rows(df: DataFrame, key: str | Sequence[str], seed: int = 42, *, pos_col: str = "shuffle_pos") -> DataFrame:
     """Add a seeded random permutation position (1-based) of a unique key."""
     return rank_by_hash(df, key, seed, rank_col=pos_col)
 
 
 def split_random(
-    df: DataFrame, key: str, train_frac: float = 0.8, seed: int = 42, *, pos_col: str = "shuffle_pos"
+    df: DataFrame, key: str | Sequence[str], train_frac: float = 0.8, seed: int = 42, *, pos_col: str = "shuffle_pos"
 ) -> DataFrame:
     """Shuffle, then the first ``floor(train_frac * n)`` rows are ``train``, the rest ``valid``."""
     r = rank_by_hash(df, key, seed, rank_col=pos_col, total_col="__n")
@@ -27,7 +29,7 @@ def split_random(
 
 
 def split_test_size(
-    df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42, *, pos_col: str = "shuffle_pos"
+    df: DataFrame, key: str | Sequence[str], test_size: float = 0.2, seed: int = 42, *, pos_col: str = "shuffle_pos"
 ) -> DataFrame:
     """Shuffle, then the first ``ceil(test_size * n)`` rows are ``test``, the rest ``train``."""
     r = rank_by_hash(df, key, seed, rank_col=pos_col, total_col="__n")

@@ -13,6 +13,8 @@ positions. The order key must be unique.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -59,10 +61,19 @@ def exact_rank(
     return out.drop("__bucket", "__local", "__offset", "__total")
 
 
-def rank_by_hash(df: DataFrame, key: str, seed: int, *, digits: int = DEFAULT_HASH_DIGITS, **kw) -> DataFrame:
-    """Position in the seeded md5 order of a unique key."""
-    h = hash_order(key, seed)
-    return exact_rank(df, [h, F.col(key)], F.substring(h, 1, digits), **kw)
+def key_column(key: str | Sequence[str]) -> Column:
+    """One column for a (possibly composite) unique key: the column itself, or the JSON of the
+    tuple (distinct tuples give distinct strings)."""
+    if isinstance(key, str):
+        return F.col(key)
+    return F.to_json(F.struct(*[F.col(c) for c in key]))
+
+
+def rank_by_hash(df: DataFrame, key: str | Sequence[str], seed: int, *, digits: int = DEFAULT_HASH_DIGITS, **kw) -> DataFrame:
+    """Position in the seeded md5 order of a unique key (one column or several)."""
+    k = key_column(key)
+    h = hash_order(k, seed)
+    return exact_rank(df, [h, k], F.substring(h, 1, digits), **kw)
 
 
 def rank_by_key(df: DataFrame, order: list[str], *, width: int = DEFAULT_KEY_WIDTH, **kw) -> DataFrame:
