@@ -85,3 +85,13 @@ def test_grouped_and_compare(spark):
     cmp = {r.system: r for r in metrics.compare_systems(scores, "A").collect()}
     assert cmp["A"].delta == 0.0
     assert cmp["B"].score == pytest.approx(py_bleu(["the cat", "a b"], [["the cat sat on the mat"], ["a b c d e"]]))
+
+
+def test_first_hypothesis_against_all_references(spark):
+    rows = [(0, "the cat sat on the mat", "the cat is on the mat"), (1, "zzz", "a cat sat on the mat"), (2, "q", "the dog")]
+    df = spark.createDataFrame(rows, "k int, h string, r string")
+    got = metrics.bleu_first_hypothesis(df, ["k"], "h", "r").first().score
+    # the scorer pairs only the first hypothesis, with every target as an alternative reference
+    assert got == pytest.approx(py_bleu(["the cat sat on the mat"], [[r for _, _, r in rows]]), abs=1e-9)
+    grouped = metrics.bleu_first_hypothesis(df.withColumn("s", F.lit("x")), ["k"], "h", "r", ["s"]).first().score
+    assert grouped == pytest.approx(got, abs=1e-12)

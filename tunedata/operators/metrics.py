@@ -209,28 +209,33 @@ def bleu_first_hypothesis(
     broadcast side (bounded by one text per group); every reference's n-grams are semi-joined
     to them, counted per reference, then maxed. Marker rows (n = 0) carry the lengths.
     """
-    g = list(group_cols)
+    given = list(group_cols)
+    g = given or ["__all"]
+    if not given:
+        df = df.withColumn("__all", F.lit(0))
     order = list(order)
-    marker = lambda toks: F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("gram")))
+    okeys = [f"__o{i}" for i in range(len(order))]
+    marker = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("gram")))
+
     first = df.groupBy(*g).agg(F.min_by(F.col(hyp), F.struct(*order)).alias("__hyp"))
-    ht = first.select(*g, tok_13a("__hyp").alias("__h"))
     hyp_grams = (
-        ht.select(*g, F.size("__h").alias("hl"), F.explode(F.concat(marker(None), _all_ngrams(F.col("__h")))).alias("x"))
+        first.select(*g, tok_13a("__hyp").alias("__h"))
+        .select(*g, F.size("__h").alias("hl"), F.explode(F.concat(marker, _all_ngrams(F.col("__h")))).alias("x"))
         .groupBy(*g, F.col("x.n").alias("n"), F.col("x.gram").alias("gram"))
         .agg(F.count("*").alias("hc"), F.first("hl").alias("hl"))
     )
-    rt = df.select(*g, *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], tok_13a(ref).alias("__r"))
-    okeys = [f"__o{i}" for i in range(len(order))]
-    ref_grams = rt.select(
-        *g, *okeys, F.size("__r").alias("rl"), F.explode(F.concat(marker(None), _all_ngrams(F.col("__r")))).alias("x")
-    ).select(*g, *okeys, "rl", F.col("x.n").alias("n"), F.col("x.gram").alias("gram"))
+    ref_grams = (
+        df.select(*g, *[F.col(c).alias(k) for c, k in zip(order, okeys)], tok_13a(ref).alias("__r"))
+        .select(*g, *okeys, F.size("__r").alias("rl"), F.explode(F.concat(marker, _all_ngrams(F.col("__r")))).alias("x"))
+        .select(*g, *okeys, "rl", F.col("x.n").alias("n"), F.col("x.gram").alias("gram"))
+    )
     j = ref_grams.join(F.broadcast(hyp_grams), [*g, "n", "gram"])  # one hypothesis per group
     per_ref = j.groupBy(*g, *okeys, "n", "gram").agg(
         F.count("*").alias("rc"), F.first("hc").alias("hc"), F.first("hl").alias("hl"), F.first("rl").alias("rl")
     )
+    closest = F.min(F.struct(F.abs(F.col("rl") - F.col("hl")).alias("d"), F.col("rl").alias("len")))["len"]
     lengths = per_ref.where(F.col("n") == 0).groupBy(*g).agg(
-        F.first("hl").cast("bigint").alias("sys_len"),
-        F.min(F.struct(F.abs(F.col("rl") - F.col("hl")).alias("d"), F.col("rl").alias("len")))["len"].cast("bigint").alias("ref_len"),
+        F.first("hl").cast("bigint").alias("sys_len"), closest.cast("bigint").alias("ref_len")
     )
     clipped = (
         per_ref.where(F.col("n") > 0)
@@ -239,17 +244,14 @@ def bleu_first_hypothesis(
         .groupBy(*g)
         .agg(*[F.sum(F.when(F.col("n") == n, F.col("m")).otherwise(0)).alias(f"c{n}") for n in range(1, MAX_ORDER + 1)])
     )
-    sums = lengths.join(clipped, g, "left") if g else lengths.unionByName(clipped, allowMissingColumns=True).agg(
-        *[F.max(c).alias(c) for c in ["sys_len", "ref_len"] + [f"c{n}" for n in range(1, MAX_ORDER + 1)]]
-    )
-    sums = sums.select(
+    sums = lengths.join(clipped, g, "left").select(
         *g,
         "sys_len",
         "ref_len",
         *[F.coalesce(F.col(f"c{n}"), F.lit(0)).alias(f"c{n}") for n in range(1, MAX_ORDER + 1)],
         *[F.greatest(F.col("sys_len") - (n - 1), F.lit(0)).alias(f"t{n}") for n in range(1, MAX_ORDER + 1)],
     )
-    return bleu_from_stats(sums, g)
+    return bleu_from_stats(sums, given)
 
 
 def compare_systems(scores: DataFrame, baseline: str, group_cols: Sequence[str] = (), system_col: str = "system") -> DataFrame:
