@@ -6,6 +6,7 @@ the DuckDB oracle in :mod:`tunedata.plans.oracle`.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from tunedata.operators import bitext, inference, metrics, sft, splits, stats
 from tunedata.plans.corpus import conversation_pairs
 from tunedata.plans.systems import SYSTEMS
 from tunedata.plans.corpus import bitext_tmx, spread, table
-from tunedata.session import scratch_path
+from tunedata.session import scratch_path, ship_package
 from tunedata.sources import jsonl
 from tunedata.sources.tmx import parse_tmx, read_tmx_large, tmx_errors
 from tunedata.streaming import incremental
@@ -27,8 +28,15 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    """Register a query; it first makes the package importable by the Python workers."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 # ---------------------------------------------------------------- TMX → bitext

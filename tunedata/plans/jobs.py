@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tunedata.operators import bitext, inference, metrics, sft, splits
 from tunedata.plans.corpus import spread
+from tunedata.session import ship_package
 from tunedata.sources import jsonl
 from tunedata.sources.tmx import parse_tmx, read_tmx, read_tmx_large
 
@@ -20,6 +21,7 @@ ORDER = ["path", "tu_idx", "lang_pos"]
 
 
 def _segments(spark: SparkSession, tmx_path: str, large_files: bool, **kw) -> DataFrame:
+    ship_package(spark)
     if large_files:
         return read_tmx_large(spark, tmx_path, **kw)
     return parse_tmx(read_tmx(spark, tmx_path), **kw)
@@ -43,6 +45,7 @@ def tmx_to_validation_set(spark: SparkSession, tmx_path: str, out: str, *, max_t
 
 def fix_lang_codes(spark: SparkSession, in_path: str, out: str, schema: str = "src string, tgt string, lang string") -> None:
     """Validation JSON lines → the same with two-letter upper-case language codes."""
+    ship_package(spark)
     jsonl.write_jsonl(bitext.fix_lang_codes(jsonl.read_jsonl(spark, in_path, schema)), out)
 
 
@@ -51,6 +54,7 @@ def split_dataset(spark: SparkSession, in_path: str, train_out: str, valid_out:
                   seed: int = 42, schema: str = "path string, tu_idx int, lang_pos int, prompt string, completion string") -> None:
     """Seeded shuffle, then exactly ``floor(train_frac * n)`` rows to ``train_out`` and the rest to ``valid_out``.
     ``key`` (one column or several) must be unique."""
+    ship_package(spark)
     df = spread(jsonl.read_jsonl(spark, in_path, schema))
     s = splits.split_random(df, key if isinstance(key, str) else list(key), train_frac, seed=seed)
     cols = [c for c in df.columns]
@@ -60,6 +64,7 @@ def split_dataset(spark: SparkSession, in_path: str, train_out: str, valid_out:
 
 def flatten_dataset(spark: SparkSession, in_path: str, out: str, schema: str = "prompt string, completion string") -> None:
     """Prompt/completion JSON lines → ``{"text": "{prompt} Output: {completion}"}``."""
+    ship_package(spark)
     jsonl.write_jsonl(bitext.to_flat_text(jsonl.read_jsonl(spark, in_path, schema)), out)
 
 
@@ -68,6 +73,7 @@ def tokenise_dataset(spark: SparkSession, in_path: str, out: str, *, mode: str =
                      schema: str = "path string, tu_idx int, lang_pos int, prompt string, completion string") -> None:
     """Prompt/completion JSON lines → Parquet of fixed-length ``int32`` arrays, partitioned by
     ``split`` (head/tail split in ``order``, as the trainers do), vocabulary built from the data."""
+    ship_package(spark)
     df = spread(jsonl.read_jsonl(spark, in_path, schema))
     df = splits.split_head_tail(df, list(order), train_frac).drop("pos")
     enc = sft.encoder(sft.build_vocab(sft.chat_template(df), ["full_text"], vocab_size), vocab_size)
@@ -80,6 +86,7 @@ def evaluate(spark: SparkSession, eval_path: str, systems: Mapping[str, Callable
              by_lang: bool = True) -> DataFrame:
     """Eval JSON lines → predictions of every system (Parquet by system under ``out``/predictions)
     and corpus BLEU per system (and language). Returns the score table."""
+    ship_package(spark)
     ev = jsonl.read_jsonl(spark, eval_path, schema).withColumn("__row", F.monotonically_increasing_id())
     ev = sft.infer_prompt(ev, style)
     preds = inference.predict_systems(ev, systems, ["infer_prompt", "src", "tgt"], batch_size=batch_size)
