@@ -60,3 +60,10 @@ def test_minibatches_drop_last(spark, n, batches):
     assert len({r.batch_id for r in rows}) == batches
     assert len(rows) == batches * 8
     assert all(r.batch_id == r.k // 8 for r in rows)
+
+
+def test_sparse_integer_keys_stay_bounded(spark):
+    keys = [(k * 1_000_003_117) % (1 << 62) - (1 << 61) for k in range(2000)]
+    df = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    rows = rank_by_key(df, ["k"], max_buckets=64).collect()
+    assert [r.k for r in sorted(rows, key=lambda r: r["rank"])] == sorted(keys)

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 DEFAULT_HASH_DIGITS = 4  # 65,536 buckets for a hash order
-DEFAULT_KEY_WIDTH = 1 << 16  # rows of an integer key per bucket
+DEFAULT_KEY_WIDTH = 1 << 16  # key values per bucket for the second column of a composite key
+MAX_BUCKETS = 1 << 16  # value ranges for an integer key
 
 
 def hash_order(key: Column | str, seed: int) -> Column:
@@ -76,15 +77,27 @@ def rank_by_hash(df: DataFrame, key: str | Sequence[str], seed: int, *, digits:
     return exact_rank(df, [h, k], F.substring(h, 1, digits), **kw)
 
 
-def rank_by_key(df: DataFrame, order: list[str], *, width: int = DEFAULT_KEY_WIDTH, **kw) -> DataFrame:
-    """Position in the order of unique key columns. The first column is bucketed by
-    value (integer ``div width``); a string first column is paired with the second
-    column's ``div width`` so one large file is still spread over many buckets."""
+def rank_by_key(df: DataFrame, order: list[str], *, width: int | None = None, max_buckets: int = MAX_BUCKETS, **kw) -> DataFrame:
+    """Position in the order of unique key columns.
+
+    An integer first column is cut into at most ``max_buckets`` equal value ranges: the width
+    comes from the key's range (one min/max aggregate, run when the plan is built), so sparse
+    keys never make one bucket per row. A string first column is paired with the second
+    column's ``div width`` so one large file still spreads over many buckets.
+    """
     first = df.schema[order[0]].dataType.typeName()
     if first in ("long", "integer", "short", "byte"):
-        bucket = F.floor(F.col(order[0]) / width)
+        c = F.col(order[0])
+        if width is None:
+            lo, hi = df.agg(F.min(c), F.max(c)).first()
+            lo, hi = (0, 0) if lo is None else (lo, hi)
+            width = max(1, -(-(hi - lo + 1) // max_buckets))
+        else:
+            lo = 0
+        # double arithmetic is monotone, so the bucket never breaks the key order (and cannot overflow)
+        bucket = F.floor((c.cast("double") - float(lo)) / float(width))
     elif len(order) > 1:
-        bucket = F.struct(F.col(order[0]), F.floor(F.col(order[1]) / width))
+        bucket = F.struct(F.col(order[0]), F.floor(F.col(order[1]) / (width or DEFAULT_KEY_WIDTH)))
     else:
         bucket = F.col(order[0])
     return exact_rank(df, [F.col(c) for c in order], bucket, **kw)
