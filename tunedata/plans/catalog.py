@@ -185,7 +185,8 @@ def split_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def split_pairs_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = training_pairs(spark, sf_dir).select("path", "tu_idx", "lang_pos")
+    # The rank reads its input twice (bucket sizes, numbering): start from the written examples.
+    pairs = sft_jsonl(spark, sf_dir).select("path", "tu_idx", "lang_pos")
     return splits.split_head_tail(pairs, ["path", "tu_idx", "lang_pos"], 0.8)
 
 
@@ -298,7 +299,7 @@ def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def minibatches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = training_pairs(spark, sf_dir).select(*KEYS)
+    keys = sft_jsonl(spark, sf_dir).select(*KEYS)
     return sft.assign_batches(keys, KEYS, batch_size=8, grad_accum=4)
 
 
