@@ -63,25 +63,68 @@ def segment_stats(
 
 
 def _clipped_counts(hyps: pd.Series, refs: pd.Series) -> pd.DataFrame:
-    """Per segment: sys_len, closest ref_len (ties → shorter) and clipped matches for n = 1..4."""
-    out = np.zeros((len(hyps), 2 + MAX_ORDER), dtype=np.int64)
-    for row, (h, rs) in enumerate(zip(hyps, refs)):
-        h = list(h)
-        hl = len(h)
+    """Per segment of an Arrow batch: sys_len, closest ref_len (ties → shorter) and the clipped
+    matches for n = 1..4, vectorised over the whole batch.
+
+    All tokens are factorised once; the code of an n-gram is the factorised pair (code of its
+    (n-1)-gram prefix, code of its last token), formed only where the n-gram fits inside its own
+    text. Counts per (text, n-gram), the largest count over a segment's references, and the
+    clipped sums are sorts and reductions over int64 keys - exact, no hashing of n-grams.
+    """
+    nseg = len(hyps)
+    out = np.zeros((nseg, 2 + MAX_ORDER), dtype=np.int64)
+    seg_of, ref_of, texts = [], [], []
+    for s, (h, rs) in enumerate(zip(hyps, refs)):
+        seg_of.append(s)
+        ref_of.append(-1)
+        texts.append(h)
         rls = [len(r) for r in rs]
-        out[row, 0] = hl
-        out[row, 1] = min(rls, key=lambda x: (abs(x - hl), x)) if rls else 0
-        rlists = [list(r) for r in rs]
-        for n in range(1, MAX_ORDER + 1):
-            if hl < n:
-                break
-            hc = Counter(zip(*[h[i:] for i in range(n)]))
-            best: Counter = Counter()
-            for r in rlists:
-                for g, v in Counter(zip(*[r[i:] for i in range(n)])).items():
-                    if v > best[g]:
-                        best[g] = v
-            out[row, 1 + n] = sum(min(v, best[g]) for g, v in hc.items() if g in best)
+        hl = len(h)
+        out[s, 0] = hl
+        out[s, 1] = min(rls, key=lambda x: (abs(x - hl), x)) if rls else 0
+        for j, r in enumerate(rs):
+            seg_of.append(s)
+            ref_of.append(j)
+            texts.append(r)
+    lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
+    total = int(lengths.sum())
+    if total == 0:
+        return pd.DataFrame(out, columns=["sys_len", "ref_len"] + [f"c{n}" for n in range(1, MAX_ORDER + 1)])
+    seg_of = np.asarray(seg_of, dtype=np.int64)
+    is_hyp = np.asarray(ref_of, dtype=np.int64) < 0
+    flat = np.concatenate([np.asarray(t, dtype=object) for t in texts])
+    tok, _ = pd.factorize(flat)
+    text_at = np.repeat(np.arange(len(texts)), lengths)
+    left = lengths[text_at] - (np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths))  # tokens from here to text end
+    gram = tok.astype(np.int64)
+    width = int(tok.max()) + 1
+    for n in range(1, MAX_ORDER + 1):
+        if n > 1:
+            nxt = np.zeros(total, dtype=np.int64)
+            nxt[: total - (n - 1)] = tok[n - 1 :]
+            gram, _ = pd.factorize(gram * width + nxt)
+            gram = gram.astype(np.int64)
+        ok = left >= n
+        if not ok.any():
+            break
+        t, g = text_at[ok], gram[ok]
+        span = int(g.max()) + 1
+        key, cnt = np.unique(t * span + g, return_counts=True)  # counts per (text, n-gram)
+        tt, gg = key // span, key % span
+        seg = seg_of[tt]
+        hyp_side = is_hyp[tt]
+        per_seg = seg * span + gg
+        rk, rc = per_seg[~hyp_side], cnt[~hyp_side]
+        if len(rk) == 0:
+            continue
+        order = np.argsort(rk, kind="stable")
+        rk, rc = rk[order], rc[order]
+        uk, first = np.unique(rk, return_index=True)
+        rmax = np.maximum.reduceat(rc, first)  # largest count of the n-gram in any one reference
+        hk, hc = per_seg[hyp_side], cnt[hyp_side]
+        at = np.minimum(np.searchsorted(uk, hk), len(uk) - 1)
+        clipped = np.where(uk[at] == hk, np.minimum(hc, rmax[at]), 0)
+        out[:, 1 + n] = np.bincount(seg[hyp_side], weights=clipped, minlength=nseg).astype(np.int64)
     return pd.DataFrame(out, columns=["sys_len", "ref_len"] + [f"c{n}" for n in range(1, MAX_ORDER + 1)])
 
 
