@@ -8,7 +8,6 @@ in place; only the final per-group sums shuffle, after partial aggregation.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np

@@ -12,12 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunedata.functions.text import ustrip
-from tunedata.functions.text import extract_reply, format_score, tok_13a
+from tunedata.functions.text import extract_reply, format_score, tok_13a, ustrip
 from tunedata.operators import bitext, inference, metrics, sft, splits, stats
-from tunedata.plans.corpus import conversation_pairs
+from tunedata.plans.corpus import bitext_tmx, conversation_pairs, spread, table
 from tunedata.plans.systems import SYSTEMS
-from tunedata.plans.corpus import bitext_tmx, spread, table
 from tunedata.session import scratch_path, ship_package
 from tunedata.sources import jsonl
 from tunedata.sources.tmx import parse_tmx, read_tmx_large, tmx_errors

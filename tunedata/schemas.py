@@ -9,13 +9,14 @@ D = T.DoubleType()
 
 TMX_FILES = T.StructType([T.StructField("path", S, False), T.StructField("content", T.BinaryType(), True)])
 
+# parse_tmx output: seg_raw is the unstripped leading text (NULL when <seg> is missing).
 SEGMENTS = T.StructType(
     [
         T.StructField("path", S, False),
         T.StructField("tu_idx", I, False),
         T.StructField("tuv_idx", I, False),
         T.StructField("lang", S, True),
-        T.StructField("seg", S, True),
+        T.StructField("seg_raw", S, True),
     ]
 )
 
