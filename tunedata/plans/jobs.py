@@ -28,9 +28,11 @@ def _segments(spark: SparkSession, tmx_path: str, large_files: bool, **kw) -> Da
 
 
 def tmx_to_sft(spark: SparkSession, tmx_path: str, out: str, *, src_lang: str = "EN-GB", large_files: bool = False,
-               keep_order: bool = True) -> None:
-    """TMX files → ``{"prompt", "completion"}`` JSON lines (training rules)."""
-    pairs = bitext.tmx_to_pairs(_segments(spark, tmx_path, large_files), policy="training", src_lang=src_lang)
+               keep_order: bool = True, on_error: str = "quarantine") -> None:
+    """TMX files → ``{"prompt", "completion"}`` JSON lines (training rules). A malformed unit is
+    quarantined by default; ``on_error="fail"`` stops the job as the original converter did."""
+    seg = _segments(spark, tmx_path, large_files, on_error=on_error)
+    pairs = bitext.tmx_to_pairs(seg, policy="training", src_lang=src_lang)
     jsonl.write_jsonl(bitext.to_sft(pairs, keep=ORDER if keep_order else []), out)
 
 
