@@ -15,19 +15,22 @@ from tunedata.operators import bitext, inference, metrics, sft, splits
 from tunedata.plans.corpus import spread
 from tunedata.session import ship_package
 from tunedata.sources import jsonl
-from tunedata.sources.tmx import parse_tmx, read_tmx, read_tmx_large
+from tunedata.sources.tmx import parse_tmx, read_tmx, read_tmx_large, read_tmx_segments
 
 ORDER = ["path", "tu_idx", "lang_pos"]
 
 
-def _segments(spark: SparkSession, tmx_path: str, large_files: bool, **kw) -> DataFrame:
+def _segments(spark: SparkSession, tmx_path: str, large_files: bool | None, **kw) -> DataFrame:
+    """``large_files``: None routes each file by size, True/False forces one route."""
     ship_package(spark)
+    if large_files is None:
+        return read_tmx_segments(spark, tmx_path, **kw)
     if large_files:
         return read_tmx_large(spark, tmx_path, **kw)
     return parse_tmx(read_tmx(spark, tmx_path), **kw)
 
 
-def tmx_to_sft(spark: SparkSession, tmx_path: str, out: str, *, src_lang: str = "EN-GB", large_files: bool = False,
+def tmx_to_sft(spark: SparkSession, tmx_path: str, out: str, *, src_lang: str = "EN-GB", large_files: bool | None = None,
                keep_order: bool = True, on_error: str = "quarantine") -> None:
     """TMX files → ``{"prompt", "completion"}`` JSON lines (training rules). A malformed unit is
     quarantined by default; ``on_error="fail"`` stops the job as the original converter did."""
@@ -37,7 +40,7 @@ def tmx_to_sft(spark: SparkSession, tmx_path: str, out: str, *, src_lang: str =
 
 
 def tmx_to_validation_set(spark: SparkSession, tmx_path: str, out: str, *, max_tus: int = 20, src_lang: str = "EN-GB",
-                          large_files: bool = False, on_error: str = "skip_file") -> None:
+                          large_files: bool | None = None, on_error: str = "skip_file") -> None:
     """TMX files → ``{"src", "tgt", "lang"}`` JSON lines from the first ``max_tus`` units of each
     file; by default a file with a malformed unit gives nothing, as in the reference."""
     seg = _segments(spark, tmx_path, large_files, on_error=on_error)

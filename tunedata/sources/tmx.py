@@ -28,6 +28,34 @@ def read_tmx(spark: SparkSession, path: str, *, recursive: bool = True, glob: st
     return reader.load(path).select("path", "content")
 
 
+LARGE_FILE_BYTES = 256 << 20  # a file beyond this goes through the streaming XML source
+
+
+def read_tmx_segments(
+    spark: SparkSession,
+    path: str,
+    *,
+    encoding: str = "UTF-16LE",
+    glob: str = "*.tmx",
+    large_file_bytes: int = LARGE_FILE_BYTES,
+    **kw,
+) -> DataFrame:
+    """Segments of every TMX file under ``path``, each file on the route that suits its size.
+
+    Files up to ``large_file_bytes`` are read whole (:func:`read_tmx` + :func:`parse_tmx`:
+    parallel parsing after the unit shuffle); larger ones stream through Spark's XML source
+    (:func:`read_tmx_large`), which never holds a file in one row. Only the file listing
+    (path, length - the content column is pruned) decides; the paths of the large files are
+    the only thing brought to the driver.
+    """
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    big = [r.path for r in listing.where(F.col("length") > large_file_bytes).select("path").collect()]
+    small = parse_tmx(listing.where(F.col("length") <= large_file_bytes).select("path", "content"), encoding=encoding, **kw)
+    if not big:
+        return small
+    return small.unionByName(read_tmx_large(spark, big, encoding=encoding, glob=glob, **kw))
+
+
 def _leading_text(inner: Column, parts: Column) -> Column:
     """Text of <seg> before its first child element (what ElementTree calls ``.text``).
 
@@ -112,7 +140,7 @@ def _segments(parsed: DataFrame, inline: str, on_error: str, keep_errors: bool)
 
 def read_tmx_large(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     *,
     encoding: str = "UTF-16LE",
     glob: str = "*.tmx",
@@ -134,18 +162,18 @@ def read_tmx_large(
     mode = "FAILFAST" if on_error == "fail" else "PERMISSIVE"
 
     def scan(ddl: str, name: str) -> DataFrame:
-        r = (
+        reader = (
             spark.read.format("xml")
             .option("rowTag", "tu")
             .option("encoding", encoding)
             .option("ignoreSurroundingSpaces", "false")
             .option("mode", mode)
             .option("columnNameOfCorruptRecord", "_corrupt_record")
-            .option("pathGlobFilter", glob)
-            .option("recursiveFileLookup", "true")
             .schema(ddl)
-            .load(path)
         )
+        if isinstance(path, str):  # a folder: pick the files; a list names them already
+            reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+        r = reader.load(path)
         fields = [c for c in r.columns]
         r = r.select(
             F.struct(*fields).alias(name),
@@ -200,4 +228,4 @@ def write_tmx_bytes(units: DataFrame, *, encoding: str = "UTF-16LE", bom: bool =
     return docs.select("path", F.encode(F.concat(F.lit(header), "body", F.lit("\n</body></tmx>\n")), encoding).alias("content"))
 
 
-__all__ = ["read_tmx", "parse_tmx", "read_tmx_large", "tmx_units", "tmx_errors", "tuv_xml", "tu_xml", "write_tmx_bytes", "xml_escape"]
+__all__ = ["read_tmx", "parse_tmx", "read_tmx_large", "read_tmx_segments", "tmx_units", "tmx_errors", "tuv_xml", "tu_xml", "write_tmx_bytes", "xml_escape"]
