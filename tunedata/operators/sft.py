@@ -1,9 +1,10 @@
 """SFT examples → chat text → token ids, attention masks and labels of fixed length.
 
-Only the id lookup leaves the JVM: a vectorised pandas UDF maps a whole Arrow batch of
-token arrays through one hash index of the (size-bounded, broadcast) vocabulary. Everything
-else - templates, truncation, padding, masks, every label mode, validation, batching - is
-array expressions inside whole-stage code generation.
+Only the id lookup may leave the JVM: :func:`encoder` maps a whole Arrow batch of token
+arrays through one hash index of the (size-bounded, broadcast) vocabulary, with no shuffle;
+:func:`encode_join` does the same with a broadcast join and an ordered regroup, JVM only.
+Everything else - templates, truncation, padding, masks, every label mode, validation,
+batching - is array expressions.
 """
 
 from __future__ import annotations
@@ -113,6 +114,32 @@ def encoder(vocab: DataFrame, max_size: int) -> Callable[[Column, bool], Column]
     return enc
 
 
+def encode_join(
+    df: DataFrame, key: Sequence[str], text: str, vocab: DataFrame, max_size: int, *, add_bos: bool = True,
+    out_col: str = "ids", num_partitions: int | None = None,
+) -> DataFrame:
+    """JVM-only alternative to :func:`encoder`: ``df`` plus ``out_col`` = the ids of ``text``.
+
+    Tokens are exploded with their positions, looked up by a broadcast join with the
+    vocabulary (its size is checked against ``max_size`` first) and gathered back in order.
+    ``key`` must be unique; the rows are hash-partitioned on it once, and the broadcast join,
+    the regrouping and the join back all keep that partitioning (no further shuffle).
+    """
+    key = list(key)
+    if vocab.limit(max_size + 1).count() > max_size:
+        raise ValueError(f"vocabulary larger than max_size={max_size}")
+    base = df.repartition(num_partitions, *key) if num_partitions else df.repartition(*key)
+    toks = base.select(*key, F.posexplode(word_tokens(text)).alias("__pos", "token"))
+    looked = toks.join(F.broadcast(vocab.select("token", "id")), "token", "left")  # at most max_size rows
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("__pos"), F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("id"))))
+    ids = looked.groupBy(*key).agg(F.transform(pairs, lambda x: x["id"]).alias("__ids"))
+    out = base.join(ids, key, "left")
+    got = F.coalesce(F.col("__ids"), F.array().cast("array<int>"))
+    if add_bos:
+        got = F.concat(F.array(F.lit(BOS_ID)), got)
+    return out.withColumn(out_col, got.cast("array<int>")).drop("__ids")
+
+
 # ---------------------------------------------------------------- shaping
 
 

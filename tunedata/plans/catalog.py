@@ -237,6 +237,14 @@ def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.array_join("ids", " ").alias("ids"))
 
 
+@query
+def encode_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ids as ``encode`` through the JVM-only path (explode, broadcast join, regroup)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sft.encode_join(docs, ["doc_id"], "text", _doc_vocab(spark, sf_dir), DOC_VOCAB)
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.array_join("ids", " ").alias("ids"))
+
+
 @query
 def pad_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     enc = sft.encoder(_doc_vocab(spark, sf_dir), DOC_VOCAB)

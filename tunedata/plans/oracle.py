@@ -392,3 +392,5 @@ st AS (SELECT fh.system, len(h) AS sys_len, rl.ref_len,
 """ + bleu_select("system")
 
 ORACLES["tmx_pairs_large_files"] = ORACLES["tmx_pairs_training"]
+
+ORACLES["encode_native"] = ORACLES["encode"]
