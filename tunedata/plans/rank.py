@@ -6,8 +6,8 @@ of its order key), counted per bucket, and numbered inside their bucket:
 
     rank = (rows in all earlier buckets) + row_number() OVER (PARTITION BY bucket ORDER BY key)
 
-The per-bucket counts are the only global step and have one row per bucket (the bucket
-width bounds them). Everything is value based, so a lost executor recomputes the same
+The per-bucket counts are the only global step and have one row per non-empty bucket: at most
+2^20 rows (about 1M rows per bucket at 10^12 rows), and no more than the input has rows. Everything is value based, so a lost executor recomputes the same
 positions. The order key must be unique.
 """
 
@@ -19,9 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-DEFAULT_HASH_DIGITS = 4  # 65,536 buckets for a hash order
+DEFAULT_HASH_DIGITS = 5  # 2^20 buckets for a hash order: ~1M rows each at 10^12 rows
 DEFAULT_KEY_WIDTH = 1 << 16  # key values per bucket for the second column of a composite key
-MAX_BUCKETS = 1 << 16  # value ranges for an integer key
+MAX_BUCKETS = 1 << 20  # value ranges for an integer key
 
 
 def hash_order(key: Column | str, seed: int) -> Column:
