@@ -64,3 +64,21 @@ def test_bleu_identity_and_partitioning(spark, docs, parts):
     s1 = metrics.corpus_bleu(df, ["k"], "t", F.array("t")).first().score
     s2 = metrics.corpus_bleu(df.repartition(parts), ["k"], "t", F.array("t"), method="relational").first().score
     assert abs(s1 - 100.0) < 1e-9 and abs(s2 - 100.0) < 1e-9
+
+
+PUNCT_TEXT = st.lists(
+    st.sampled_from(list("ab1.,-'\"&;<>()[]{}~@/:!?$% \t\n") + ["&amp;", "&quot;", "&lt;", "-\n", "<skipped>", " ", "\x85", "é", "2024", "1,000.5"]),
+    max_size=25,
+).map("".join)
+
+
+@SETTINGS
+@given(st.lists(PUNCT_TEXT, min_size=1, max_size=20))
+def test_tok13a_equals_definition(spark, texts):
+    from test_text import py_13a
+
+    from tunedata.functions.text import tok_13a
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.x for r in df.select("i", tok_13a("t").alias("x")).collect()}
+    assert [got[i] for i in range(len(texts))] == [py_13a(t) for t in texts]
