@@ -82,3 +82,23 @@ def test_tok13a_equals_definition(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: r.x for r in df.select("i", tok_13a("t").alias("x")).collect()}
     assert [got[i] for i in range(len(texts))] == [py_13a(t) for t in texts]
+
+
+SEG_PIECE = st.sampled_from(["a", "Hello", " ", "  ", "\t", "&lt;", "&amp;", "x&gt;y", "<ph/>", '<bpt i="1">b</bpt>', "<ept>e</ept>",
+                             "<it>i</it>", "é", "'q'", "1,5", "\n", "<!-- c -->", "<![CDATA[c<d]]>", "&lt;ph/&gt;"])
+
+
+@SETTINGS
+@given(st.lists(st.lists(SEG_PIECE, max_size=6).map("".join), min_size=1, max_size=10))
+def test_leading_text_equals_elementtree(spark, segs):
+    import xml.etree.ElementTree as ET
+
+    from tunedata.sources.tmx import parse_tmx
+
+    units = "".join(f'<tu><tuv xml:lang="EN-GB"><seg>{s}</seg></tuv></tu>' for s in segs)
+    doc = f'<?xml version="1.0" encoding="UTF-16LE"?><tmx><body>{units}</body></tmx>'
+    files = spark.createDataFrame([("f", doc)], "path string, x string").select("path", F.encode("x", "UTF-16LE").alias("content"))
+    got = {r.tu_idx: r.seg_raw for r in parse_tmx(files).collect()}
+    for i, s in enumerate(segs):
+        text = ET.fromstring(f"<seg>{s}</seg>").text
+        assert got[i] == (text or ""), (s, got[i], text)

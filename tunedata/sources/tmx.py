@@ -18,6 +18,9 @@ from tunedata.functions.text import WS_CLASS, xml_escape
 
 # One <tu> element (not <tuv>), non-greedy, across lines.
 TU_PATTERN = r"(?s)(<tu[\s>].*?</tu>)"
+# Comments and processing instructions are not text (an XML parser joins the text around
+# them); CDATA sections are matched first and put back unchanged.
+NON_TEXT_PATTERN = r"(?s)(<!\[CDATA\[.*?\]\]>)|<!--.*?-->|<\?.*?\?>"
 
 
 def read_tmx(spark: SparkSession, path: str, *, recursive: bool = True, glob: str = "*.tmx") -> DataFrame:
@@ -199,6 +202,10 @@ def tmx_units(files: DataFrame, *, encoding: str = "UTF-16LE", num_partitions: i
     """``(path, content)`` → ``(path, tu_idx, tu)``: each ``<tu>`` fragment in document order."""
     text = F.decode("content", encoding)
     units = files.select("path", F.posexplode(F.regexp_extract_all(text, F.lit(TU_PATTERN), 1)).alias("tu_idx", "tu"))
+    tu = F.col("tu")
+    units = units.withColumn(
+        "tu", F.when(tu.contains("<!--") | tu.contains("<?"), F.regexp_replace(tu, NON_TEXT_PATTERN, "$1")).otherwise(tu)
+    )
     keys = [F.col("path"), F.col("tu_idx")]
     return units.repartition(num_partitions, *keys) if num_partitions else units.repartition(*keys)
 
