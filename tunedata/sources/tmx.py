@@ -158,7 +158,9 @@ def read_tmx_large(
     block are consecutive), offset by the rows of earlier blocks of the same file - a table
     of one row per block. The leading-text rule needs two views of ``<seg>``, so the files are
     scanned twice and the views joined on ``(path, tu_idx)``; that join's hash partitioning is
-    what the per-unit de-dup and pairing then reuse. Same output as :func:`parse_tmx`.
+    what the per-unit de-dup and pairing then reuse. Same columns as :func:`parse_tmx`; the
+    ``<seg>`` views come from Spark's XML reader, so a comment inside a segment, or a segment
+    starting with an inline element, can give a different leading text than :func:`parse_tmx`.
     """
     if inline not in ("leading", "all_text", "raw"):
         raise ValueError(f"inline={inline!r}")
