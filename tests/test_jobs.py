@@ -54,3 +54,17 @@ def test_jobs_chain(spark, tmp_path):
     scores = jobs.evaluate(spark, str(tmp_path / "val2"), {"echo": make_echo}, str(tmp_path / "eval"), by_lang=False)
     assert scores.count() == 1
     assert (tmp_path / "eval" / "predictions").exists()
+
+
+def test_cli(spark, tmp_path):
+    from tunedata.__main__ import main
+
+    tmx = tmp_path / "tmx"
+    tmx.mkdir()
+    (tmx / "a.tmx").write_bytes(document(CASES[0][1] * 10).encode("utf-16-le"))
+    assert main(["tmx-to-sft", str(tmx), str(tmp_path / "sft")]) == 0
+    assert main(["split", str(tmp_path / "sft"), str(tmp_path / "train"), str(tmp_path / "valid")]) == 0
+    assert (len(_lines(tmp_path / "train")), len(_lines(tmp_path / "valid"))) == (8, 2)
+    assert main(["tmx-to-validation", str(tmx), str(tmp_path / "val"), "3"]) == 0
+    assert len(_lines(tmp_path / "val")) == 3
+    assert main(["unknown"]) == 2
