@@ -60,3 +60,14 @@ def test_max_abs_delta_and_diff(spark):
     pb = spark.createDataFrame([(1, "x"), (2, "z")], "k int, prediction string")
     r = inference.diff_predictions(pa, pb, ["k"]).first()
     assert (r.n_rows, r.n_diff) == (2, 1)
+
+
+def test_ascii_sink_matches_json_dumps_escapes(spark, tmp_path):
+    text = "caffè 😀   \"q\"\n"
+    df = spark.createDataFrame([(text,)], "t string")
+    out = tmp_path / "a"
+    jsonl.write_jsonl(df, str(out), ascii=True)
+    line = [x for f in out.glob("part-*") for x in f.read_text(encoding="ascii").splitlines() if x][0]
+    assert json.loads(line)["t"] == text
+    assert "\\ud83d\\ude00" in line and "\\u00e8" in line
+    assert json.loads(line) == json.loads(json.dumps({"t": text}))
