@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tunedata.llm import rule_ledger
+from tunedata.llm import mixing, rule_ledger
 
 QUERIES = {
+    "op5_curriculum_mix": mixing.op5_curriculum_mix,
     "op10_rule_ledger": rule_ledger.op10_rule_ledger,
 }
 
 ORACLES = {
+    "op5_curriculum_mix": mixing.ORACLE_SQL,
     "op10_rule_ledger": rule_ledger.ORACLE_SQL,
 }
