@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunedata.session import scratch_path, ship_package
 
-__all__ = ["ASCII_SPACE", "WORD", "components", "read", "ship_package", "written"]
+__all__ = ["ASCII_SPACE", "WORD", "components", "grouped", "read", "ship_package", "written"]
 
 #: The contracts' word pattern and white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,3 +61,31 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The groups of a partition sorted by the integer columns ``keys``, each as numpy columns.
+
+    Holds one group and one Arrow batch at a time, without the cost that a call per group has.
+    """
+    held: list[dict[str, np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = {n: b.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(b.schema.names)}
+        change = np.zeros(b.num_rows, bool)
+        for k in keys:
+            change[1:] |= cols[k][1:] != cols[k][:-1]
+        if held and any(held[-1][k][-1] != cols[k][0] for k in keys):
+            yield {n: np.concatenate([h[n] for h in held]) for n in cols}
+            held = []
+        cuts = [0, *np.nonzero(change)[0].tolist(), b.num_rows]
+        for i, j in zip(cuts, cuts[1:]):
+            part = {n: c[i:j] for n, c in cols.items()}
+            if j < b.num_rows:
+                yield {n: np.concatenate([*(h[n] for h in held), c]) for n, c in part.items()} if held else part
+                held = []
+            else:
+                held.append(part)
+    if held:
+        yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
