@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tunedata.llm import mixing, rule_ledger, simhash
+from tunedata.llm import mixing, packing, rule_ledger, simhash
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op6_simhash": simhash.op6_simhash,
     "op5_curriculum_mix": mixing.op5_curriculum_mix,
     "op10_rule_ledger": rule_ledger.op10_rule_ledger,
