@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tunedata.session import scratch_path, ship_package
 
-__all__ = ["ASCII_SPACE", "WORD", "components", "grouped", "read", "ship_package", "written"]
+__all__ = ["ASCII_SPACE", "WORD", "components", "grouped", "read", "scratch_path", "ship_package", "written"]
 
 #: The contracts' word pattern and white space.
 WORD = r"[^\x20\x09-\x0D]+"

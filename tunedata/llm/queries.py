@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tunedata.llm import mixing, packing, rule_ledger, simhash
+from tunedata.llm import mixing, packing, rule_ledger, simhash, warc
 
 QUERIES = {
+    "op8_warc_index": warc.op8_warc_index,
     "op1_packing": packing.op1_packing,
     "op6_simhash": simhash.op6_simhash,
     "op5_curriculum_mix": mixing.op5_curriculum_mix,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op8_warc_index": warc.ORACLE_SQL,
     "op5_curriculum_mix": mixing.ORACLE_SQL,
     "op10_rule_ledger": rule_ledger.ORACLE_SQL,
 }
