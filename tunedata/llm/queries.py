@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tunedata.llm import mixing, packing, rule_ledger, simhash, warc
+from tunedata.llm import mixing, packing, rule_ledger, simhash, suffix_dedup, warc
 
 QUERIES = {
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op8_warc_index": warc.op8_warc_index,
     "op1_packing": packing.op1_packing,
     "op6_simhash": simhash.op6_simhash,
