@@ -23,7 +23,7 @@ def ids_of(text):
 def test_chunk_encoder_equals_tokenizer():
     enc = packing.ChunkEncoder(packing.tokenizer_path())
     rng = random.Random(5)
-    alphabet = "abcXYZ'.,!%<|>éÉß́İΣς12½ \n\t日語_-&;😀"
+    alphabet = "abcXYZ'.,!%<|>éÉßÑñüÜçÇŒœǅﬀ́İΣς12½ \n\t日語_-&;😀Ⅷª"
     texts = [t for t in ODD] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(2000)]
     for t in texts:
         assert enc((t or "").encode()).tolist() + [1] == ids_of(t), repr(t)

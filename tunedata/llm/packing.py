@@ -9,6 +9,7 @@ windows never leave their task.
 
 from __future__ import annotations
 
+import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from itertools import repeat
@@ -25,7 +26,7 @@ WINDOW = 2048
 OPEN = 32  # open windows per partition
 END_ID = 1  # ends each document
 MERGE = 64  # partitions whose leftovers one task of a merge round packs together
-MEMO = 1_000_000  # chunks a worker remembers the ids of (bounds its memory, not the result)
+MEMO = 400_000  # chunks a worker remembers the ids of (bounds its memory, not the result)
 TOKENIZER = "word_bpe_49k.json"
 
 PIECES = (
@@ -40,6 +41,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+# The byte alphabet of byte-level BPE, by its published rule: printable bytes stand for themselves,
+# the others follow from 256 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+_BYTE_LETTERS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(_OTHERS)}
+
+
 class ChunkEncoder:
     """Ids of white-space-separated chunks, remembered per worker.
 
@@ -50,12 +58,13 @@ class ChunkEncoder:
     """
 
     SPLIT = regex.compile(r"(\p{L}+)([!-&(-;=-@\[-`{-~]*)")
-    DIGIT = regex.compile(r"\p{N}")
+    ONE_UNIT = regex.compile(r"[a-z]+|[!-&(-/:;=-@\[-`{-~]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.model = tokenizer.encode_batch_fast, tokenizer.model
         self.forget()
 
     def forget(self) -> None:
@@ -69,16 +78,23 @@ class ChunkEncoder:
         for c in chunks:
             s = c.decode("utf-8", "replace")
             m = self.SPLIT.fullmatch(s)
-            if m and not self.DIGIT.search(m[2]):
-                word = m[1].lower() if m[1].isascii() else m[1]
-                if m[1].isascii() or len(m[1].lower()) == len(m[1]):
+            if m and not any(map(str.isdigit, m[2])):
+                word = m[1].lower() if m[1].isascii() else "".join(c.lower() for c in m[1])
+                if len(word) == len(m[1]):
                     cut.append([word, m[2]] if m[2] else [word])
                     continue
             cut.append([s])
-        new = list(dict.fromkeys(p for ps in cut for p in ps if p not in self.parts))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            self.parts.update(zip(some, (e.ids for e in self.encode(some, add_special_tokens=False))))
+        for p in dict.fromkeys(p for ps in cut for p in ps if p not in self.parts):
+            # Lower-case letters or ASCII punctuation: one unit for the model.
+            if p.isascii():
+                unit = p if self.ONE_UNIT.fullmatch(p) else None
+            else:  # letters that the normaliser leaves as they are, spelt in the byte alphabet
+                plain = p.isalpha() and unicodedata.is_normalized("NFC", p) and all(c.lower() == c for c in p)
+                unit = "".join(map(_BYTE_LETTERS.__getitem__, p.encode())) if plain else None
+            if unit:
+                self.parts[p] = [t.id for t in self.model.tokenize(unit)]
+            else:
+                self.parts[p] = self.encode([p], add_special_tokens=False)[0].ids
         first, ids, ends = len(self.index), [], []
         at = int(self.starts[first])
         for c, ps in zip(chunks, cut):
