@@ -60,13 +60,24 @@ def _key_hashes(x: np.ndarray) -> np.ndarray:
         h = h[:-n] * _B[k] + h[n:]
         if n == 4:
             eight = h
-    h = h[: len(x) - KEY + 1] * _B[3] + eight[16 : 16 + len(x) - KEY + 1]
+    return _mixed(h[: len(x) - KEY + 1] * _B[3] + eight[16 : 16 + len(x) - KEY + 1])
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
     return h
 
 
+def _hash_of_each(keys: np.ndarray) -> np.ndarray:
+    """The same hash of each row of KEY bytes."""
+    h = np.zeros(len(keys), np.uint64)
+    for k in range(KEY):
+        h = h * _B[0] + _TABLE[keys[:, k]]
+    return _mixed(h)
+
+
 def _sliding(x: np.ndarray, n: int, f) -> np.ndarray:
     """f over each n neighbours (f: minimum or maximum)."""
     have = 1
@@ -332,6 +343,14 @@ _VERDICT = [("doc_id", _B64), ("th", _B64), ("pos", _BIN), ("mask", _BIN)]
 _VERDICT_DDL = "doc_id bigint, th bigint, pos binary, mask binary"
 
 
+def _squeeze(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unsqueeze(raw: bytes, size: int) -> bytes:
+    return pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True)
+
+
 def _row_ids(rows: np.ndarray) -> np.ndarray:
     """A number for each distinct row of bytes (whole words wide): by hash, then checked bytewise."""
     words = np.ascontiguousarray(rows).view("<u8")
@@ -377,9 +396,9 @@ def _send_contexts(buckets: int, splitters: np.ndarray, hot: np.ndarray, hot_buc
         for k in range(len(splitters) + 1):
             o = order[cuts[k] : cuts[k + 1]]
             if len(o):
-                f = first[o]
-                p = np.concatenate([pos[s : s + c] for s, c in zip(starts[o].tolist(), count[o].tolist())]) if count[o].max() > 1 else pos[starts[o]]
-                yield (k, kind, rows[f].tobytes(), doc[f].tobytes(), th[f].tobytes(), count[o].astype("<u4").tobytes(), p.astype("<u4").tobytes(), None)
+                f, c = first[o], count[o]
+                p = pos[np.repeat(starts[o] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
+                yield (k, kind, _squeeze(rows[f].tobytes()), doc[f].tobytes(), th[f].tobytes(), count[o].astype("<u4").tobytes(), p.astype("<u4").tobytes(), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -414,9 +433,7 @@ def _send_contexts(buckets: int, splitters: np.ndarray, hot: np.ndarray, hot_buc
                 out = []
                 is_hot = np.zeros(len(first), bool)
                 if len(hot):
-                    keys = np.ascontiguousarray(rows[first, LEFT : LEFT + KEY])
-                    h = np.concatenate([_key_hashes(k) for k in keys]) if len(keys) else np.zeros(0, np.uint64)
-                    hb, code = _code(h, hot_buckets)
+                    hb, code = _code(_hash_of_each(rows[first, LEFT : LEFT + KEY]), hot_buckets)
                     is_hot = np.isin(hb << 40 | code.astype(np.int64), hot)
                 every = np.repeat(is_hot, count)
                 cool = np.nonzero(~is_hot)[0]
@@ -455,7 +472,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = [r for r in held if r["kind"] == kind]
             if not some:
                 continue
-            text = _cat([r["ctx"] for r in some], np.uint8).reshape(-1, width)
+            text = np.frombuffer(b"".join(_unsqueeze(r["ctx"], len(r["doc"]) // 8 * width) for r in some), np.uint8).reshape(-1, width)
             doc, th = _cat([r["doc"] for r in some], "<i8"), _cat([r["th"] for r in some], "<i8")
             n, pos = _cat([r["n"] for r in some], "<u4"), _cat([r["pos"] for r in some], "<u4")
             if kind == 0:
@@ -490,12 +507,14 @@ _CUT_DDL = "doc_id bigint, th bigint, n_bytes bigint, n_removed bigint, n_spans
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        pos_col, mask_col = b.column("pos"), b.column("mask")
+        found_col = b.column("found")
         for k, (doc_id, th, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), b.column("text"))):
             text = text.as_py() or b""
             n_removed = n_spans = 0
-            if pos_col[k].is_valid:
-                gone = covered(len(text), _cat(pos_col[k].as_py(), "<u4").astype(np.int64), _cat(mask_col[k].as_py(), "<u4"))
+            found = [x for x in found_col[k].as_py() or () if x["th"] == th]
+            if found:
+                pos, mask = _cat([x["pos"] for x in found], "<u4"), _cat([x["mask"] for x in found], "<u4")
+                gone = covered(len(text), pos.astype(np.int64), mask)
                 n_removed = int(gone.sum())
                 n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 size, text = len(text), np.frombuffer(text, np.uint8)[~gone].tobytes()
@@ -553,11 +572,9 @@ def remove_repeats(
     contexts = with_anchors.mapInArrow(_send_contexts(buckets, splitters, hot, buckets), _TWO_DDL)
     contexts = contexts.repartition("bucket").sortWithinPartitions("bucket")
     verdicts = contexts.mapInArrow(_compare, _VERDICT_DDL)
-    verdicts = verdicts.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(
-        F.collect_list("pos").alias("pos"), F.collect_list("mask").alias("mask")
-    )
-    both = texts.join(verdicts, (F.col("k") == F.col("d")) & (F.col("th") == F.col("t")), "left")
-    return both.select("doc_id", "th", "text", "pos", "mask").mapInArrow(_cut, _CUT_DDL)
+    verdicts = verdicts.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("th", "pos", "mask")).alias("found"))
+    both = texts.join(verdicts, F.col("k") == F.col("d"), "left")
+    return both.select("doc_id", "th", "text", "found").mapInArrow(_cut, _CUT_DDL)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
