@@ -286,7 +286,9 @@ def read_archives(directory: DataFrame, folder: str, payloads: bool = True) -> D
                 names = [x.split()[0] for x in READ.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return directory.repartition("file", "start").mapInArrow(run, READ)
+    # A fixed number of tasks: the directory is small, but each of its rows stands for many records.
+    n = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return directory.repartition(n, "file", "start").mapInArrow(run, READ)
 
 
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
