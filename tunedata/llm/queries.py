@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tunedata.llm import mixing, packing, quality_crf, rule_ledger, simhash, suffix_dedup, warc
+from tunedata.llm import mixing, packing, quality_crf, rule_ledger, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
+    "op4_toxicity": toxicity.op4_toxicity,
     "op2_quality_crf": quality_crf.op2_quality_crf,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op8_warc_index": warc.op8_warc_index,
