@@ -85,3 +85,9 @@ def test_grouped(spark):
     table = pa.table({"k": keys, "v": list(range(200))})
     got = {int(g["k"][0]): len(g["v"]) for g in grouped(iter(table.to_batches(max_chunksize=7)), ["k"])}
     assert got == Counter(keys)
+
+
+def test_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (None, "a b c d"), (None, "x y z w"), (None, "x y z w"), (2, "q")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text) for r in simhash.deduplicated(docs).collect())
+    assert got == [("1", "a b c d"), ("2", "q"), ("None", "x y z w")]

@@ -236,6 +236,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return src.mapInArrow(run, "doc_id bigint, score double, n_lines bigint, n_bad_lines bigint")
 
 
+def filtered(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``threshold``, all columns kept, in one pass."""
+    ship_package(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [(t.as_py() or "").encode() for t in b.column(text_col)]
+            parts = [score_texts(texts[s], model)[0] for s in _slices(texts)]
+            yield b.filter(pa.array(np.concatenate(parts) >= threshold if parts else [], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "labels").where(id_share(F.col("doc_id"), 3) != 1)
 

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -171,9 +172,21 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents that are the smallest of their component (repeated rows of it: one)."""
-    kept = simhash_components(docs, shingle, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` whose id is the smallest of their component, one row per id. Of rows
+    without an id, one stays for each fingerprint that no row with an id has."""
+    got = simhash_components(docs, shingle, radius)
+    kept = got.where("doc_id = component_id").select("doc_id").distinct()
+    with_id = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    ship_package(docs.sparkSession)
+
+    @F.pandas_udf("bigint")
+    def fp(text: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint((t or "").encode(), shingle) for t in text], np.uint64).view(np.int64))
+
+    no_id = docs.where("doc_id IS NULL").withColumn("simhash_fp", fp("text"))
+    taken = got.where("doc_id IS NOT NULL").select(F.col("fp").alias("simhash_fp")).distinct()
+    no_id = no_id.join(taken, "simhash_fp", "left_anti").dropDuplicates(["simhash_fp"])
+    return with_id.unionByName(no_id.select(*with_id.columns))
 
 
 def hex16(fp: Column) -> Column:

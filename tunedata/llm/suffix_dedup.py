@@ -23,9 +23,10 @@ equal leading bytes and meet in one bucket; strings are compared byte by byte, n
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -404,7 +405,7 @@ def _send_contexts(buckets: int, splitters: np.ndarray, hot: np.ndarray, hot_buc
         for b in batches:
             ids = b.column("doc_id").fill_null(NO_ID).to_numpy()
             ths = b.column("th").to_numpy()
-            texts = [t.as_py() or b"" for t in b.column("text")]
+            texts = [t.as_py() or b"" for t in b.column("row").field("text")]
             lists = b.column("shared")
             for i, j in _slices(texts):
                 where = [np.unique(_cat(lists[k].as_py(), "<u4")).astype(np.int64) for k in range(i, j)]
@@ -506,23 +507,25 @@ _CUT_DDL = "doc_id bigint, th bigint, n_bytes bigint, n_removed bigint, n_spans
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
-        found_col = b.column("found")
-        for k, (doc_id, th, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), b.column("text"))):
+        rows, found_col, row = [], b.column("found"), b.column("row")
+        for k, (doc_id, th, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), row.field("text"))):
             text = text.as_py() or b""
-            n_removed = n_spans = 0
+            size, n_removed, n_spans = len(text), 0, 0
             found = [x for x in found_col[k].as_py() or () if x["th"] == th]
             if found:
                 pos, mask = _cat([x["pos"] for x in found], "<u4"), _cat([x["mask"] for x in found], "<u4")
-                gone = covered(len(text), pos.astype(np.int64), mask)
+                gone = covered(size, pos.astype(np.int64), mask)
                 n_removed = int(gone.sum())
                 n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                size, text = len(text), np.frombuffer(text, np.uint8)[~gone].tobytes()
-            else:
-                size = len(text)
+                text = np.frombuffer(text, np.uint8)[~gone].tobytes()
             rows.append((doc_id, th, size, n_removed, n_spans, text))
         names = [("doc_id", _B64), ("th", _B64), ("n_bytes", _B64), ("n_removed", _B64), ("n_spans", _B64), ("kept", _BIN)]
-        yield _rows(rows, names)
+        out = _rows(rows, names)
+        others = [f.name for f in row.type if f.name != "text"]
+        if others:
+            others = pa.StructArray.from_arrays([row.field(n) for n in others], others)
+            out = pa.RecordBatch.from_arrays([*out.columns, others], [*out.schema.names, "others"])
+        yield out
 
 
 def _splitters(src: DataFrame, buckets: int) -> np.ndarray:
@@ -542,20 +545,22 @@ def _splitters(src: DataFrame, buckets: int) -> np.ndarray:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_least: int = HOT_LEAST,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_least: int = HOT_LEAST, others: Sequence[str] = (),
 ) -> DataFrame:
     """``(doc_id, th, n_bytes, n_removed, n_spans, kept binary)``, one row per input row.
 
     ``th`` is a hash of the text, so rows with one id and different texts stay apart; strings in
     rows of the same id are no repeats of each other. A null text is empty; texts below 50 bytes
     keep everything; a null id counts as larger than all others. ``kept`` may cut a character
-    in two, as strings are bytes. Other columns are ignored. The splitters' sample and the most
+    in two, as strings are bytes. The columns named in ``others`` come along in a struct of that name;
+    columns not named are ignored. The splitters' sample and the most
     frequent anchors (at most 4096 numbers) are all that the driver sees.
     """
     spark = docs.sparkSession
     ship_package(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")
+    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text)
     sent = src.mapInArrow(_send_anchors(buckets), _ONE_DDL)
     sent = sent.repartition("bucket").sortWithinPartitions("bucket")
     shared = written(sent.mapInArrow(_find_shared(buckets, hot_least), _SHARED_DDL), "suffix-shared")
@@ -563,18 +568,37 @@ def remove_repeats(
     hot = np.array(sorted(r.hot for r in hot), np.int64)
     splitters = _splitters(src, buckets)
 
-    # The texts go by id once: the same exchange serves both joins.
-    texts = src.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    # The texts go by id once: the same exchange serves both joins, so it holds the same columns
+    # for both (as one struct, which neither can prune).
+    key = F.coalesce("doc_id", F.lit(int(NO_ID)))
+    named = [F.col(c).alias(f"c{i}") for i, c in enumerate(others)]
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.struct(text, *named).alias("row"))
+    texts = texts.select("doc_id", F.xxhash64("row.text").alias("th"), "row", key.alias("k"))
     per_doc = shared.where("hot IS NULL").groupBy(F.col("doc_id").alias("d")).agg(F.collect_list("pos").alias("shared"))
     key = F.coalesce("doc_id", F.lit(int(NO_ID)))
-    texts = texts.withColumn("k", key)
-    with_anchors = texts.join(per_doc, F.col("k") == F.col("d")).select("doc_id", "th", "text", "shared")
+    with_anchors = texts.join(per_doc, F.col("k") == F.col("d")).select("doc_id", "th", "row", "shared")
     contexts = with_anchors.mapInArrow(_send_contexts(buckets, splitters, hot, buckets), _TWO_DDL)
     contexts = contexts.repartition("bucket").sortWithinPartitions("bucket")
     verdicts = contexts.mapInArrow(_compare, _VERDICT_DDL)
     verdicts = verdicts.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("th", "pos", "mask")).alias("found"))
     both = texts.join(verdicts, F.col("k") == F.col("d"), "left")
-    return both.select("doc_id", "th", "text", "found").mapInArrow(_cut, _CUT_DDL)
+    fields = ", ".join(f"c{i}: {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
+    ddl = _CUT_DDL + (f", others struct<{fields}>" if others else "")
+    return both.select("doc_id", "th", "row", "found").mapInArrow(_cut, ddl)
+
+
+def deduplicated(docs: DataFrame, text_col: str = "text", hot_least: int = HOT_LEAST) -> DataFrame:
+    """``docs`` with its texts cut; all rows and other columns stay as they are. Bytes of a character
+    that a cut leaves incomplete go too; a null text becomes empty."""
+    others = [c for c in docs.columns if c != text_col]
+    cut = remove_repeats(docs, "doc_id", text_col, hot_least, others)
+
+    @F.pandas_udf("string")
+    def text(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    named = {c: F.col(f"others.c{i}").alias(c) for i, c in enumerate(others)} | {text_col: text("kept").alias(text_col)}
+    return cut.select(*[named[c] for c in docs.columns])
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
