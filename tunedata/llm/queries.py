@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tunedata.llm import license_scan, mixing, packing, quality_crf, rule_ledger, simhash, suffix_dedup, toxicity, warc
+from tunedata.llm import embedding_dedup, license_scan, mixing, packing, quality_crf, rule_ledger, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
+    "op3_pivot_index": embedding_dedup.op3_pivot_index,
     "op7_license_scan": license_scan.op7_license_scan,
     "op4_toxicity": toxicity.op4_toxicity,
     "op2_quality_crf": quality_crf.op2_quality_crf,
