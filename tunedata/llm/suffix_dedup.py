@@ -183,8 +183,30 @@ def _rows(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Record
 _B64, _BIN = pa.int64(), pa.binary()
 _ONE = [("bucket", _B64), ("code", _BIN), ("doc", _BIN), ("n", _BIN), ("pos", _BIN), ("rep", _BIN), ("reps", _BIN)]
 _ONE_DDL = "bucket bigint, code binary, doc binary, n binary, pos binary, rep binary, reps binary"
-_SHARED = [("doc_id", _B64), ("pos", _BIN), ("hot", _B64), ("n", _B64)]
-_SHARED_DDL = "doc_id bigint, pos binary, hot bigint, n bigint"
+_SHARED = [("target", _B64), ("doc", _BIN), ("th", _BIN), ("pos", _BIN), ("mask", _BIN), ("hot", _B64), ("n", _B64)]
+_SHARED_DDL = "target bigint, doc binary, th binary, pos binary, mask binary, hot bigint, n bigint"
+_VERDICT = _SHARED[:5]
+_VERDICT_DDL = "target bigint, doc binary, th binary, pos binary, mask binary"
+_BY_DOC_DDL = "d bigint, th binary, pos binary, mask binary"
+
+
+def _to_targets(targets: int, doc: np.ndarray, th: np.ndarray, pos: np.ndarray, mask: np.ndarray) -> Iterator[tuple]:
+    """What belongs to documents, packed into one row per group of documents."""
+    group = ((doc.astype(np.uint64) * _MIX[0]) >> np.uint64(32)).astype(np.int64) % targets
+    order = np.lexsort((doc, group))
+    cuts = np.searchsorted(group[order], np.arange(targets + 1))
+    cols = [doc.astype("<i8"), th.astype("<i8"), pos.astype("<u4"), mask.astype("<u4")]
+    for k in range(targets):
+        o = order[cuts[k] : cuts[k + 1]]
+        if len(o):
+            yield (k, *(_squeeze(c[o].tobytes(), len(o)) for c in cols))
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of documents -> one row per document."""
+    for _, held in _by_bucket(batches, "target"):
+        doc, th, pos, mask = (_cat([_unsqueeze(r[c]) for r in held], k) for c, k in (("doc", "<i8"), ("th", "<i8"), ("pos", "<u4"), ("mask", "<u4")))
+        yield _rows(list(_pack_by_doc(doc, th, pos, mask)), [("d", _B64), ("th", _BIN), ("pos", _BIN), ("mask", _BIN)])
 
 
 def _code(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,20 +252,33 @@ def _send_anchors(buckets: int):
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+def _by_bucket(batches: Iterator[pa.RecordBatch], key: str = "bucket") -> Iterator[tuple[int, list[dict]]]:
     """The rows of each bucket of a partition sorted by bucket."""
     now, held = None, []
     for b in batches:
         for row in b.to_pylist():
-            if row["bucket"] != now:
+            if row[key] != now:
                 if held:
                     yield now, held
-                now, held = row["bucket"], []
+                now, held = row[key], []
             held.append(row)
     if held:
         yield now, held
 
 
+def _squeeze(raw: bytes, n: int = 1) -> bytes:
+    """Compressed; n: the number of values, whose byte planes are set apart if there are several."""
+    if n > 1:
+        raw = np.frombuffer(raw, np.uint8).reshape(n, -1).T.tobytes()
+    return len(raw).to_bytes(8, "little") + n.to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unsqueeze(b: bytes) -> bytes:
+    size, n = int.from_bytes(b[:8], "little"), int.from_bytes(b[8:16], "little")
+    raw = pa.decompress(b[16:], decompressed_size=size, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(-1, n).T.tobytes() if n > 1 else raw
+
+
 def _cat(parts, kind) -> np.ndarray:
     return np.frombuffer(b"".join(parts), kind)
 
@@ -255,7 +290,10 @@ def _find_shared(buckets: int, hot_least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, held in _by_bucket(batches):
             if bucket >= buckets:
-                yield _rows([(int.from_bytes(r["doc"], "little", signed=True), r["pos"], None, None) for r in held], _SHARED)
+                n = [len(r["pos"]) // 4 for r in held]
+                doc, pos = np.repeat(_cat([r["doc"] for r in held], "<i8"), n), _cat([r["pos"] for r in held], "<u4")
+                none = np.zeros(len(doc), np.int64)
+                yield _rows([(*r, None, None) for r in _to_targets(buckets, doc, none, pos, none)], _SHARED)
                 continue
             code = np.concatenate([_unpack5(r["code"]) for r in held])
             doc = np.repeat(_cat([r["doc"] for r in held], "<i8"), _cat([r["n"] for r in held], "<u4"))
@@ -266,12 +304,13 @@ def _find_shared(buckets: int, hot_least: int):
             codes, at = np.unique(np.concatenate([code, lead]), return_inverse=True)
             total = np.bincount(at, np.concatenate([np.ones(len(code), np.int64), count]), len(codes)).astype(np.int64)
             for c, n in zip(codes[total > hot_least].tolist(), total[total > hot_least].tolist()):
-                rows.append((None, None, bucket << 40 | c, n))
+                rows.append((None, None, None, None, None, bucket << 40 | c, n))
             if len(code):
                 order, g = _groups(code)
                 low, high = _group_min_max(g, doc[order])
                 shared = (low != high) | np.isin(code[order], lead)
-                rows += [(d, p, None, None) for d, p in _pack_by_doc(doc[order][shared], pos[order][shared])]
+                d, none = doc[order][shared], np.zeros(int(shared.sum()), np.int64)
+                rows += [(*r, None, None) for r in _to_targets(buckets, d, none, pos[order][shared], none)]
             yield _rows(rows, _SHARED)
 
     return run
@@ -340,16 +379,6 @@ def _window_masks(ctx: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 _TWO = [("bucket", _B64), ("kind", _B64), ("ctx", _BIN), ("doc", _BIN), ("th", _BIN), ("n", _BIN), ("pos", _BIN), ("mask", _BIN)]
 _TWO_DDL = "bucket bigint, kind bigint, ctx binary, doc binary, th binary, n binary, pos binary, mask binary"
-_VERDICT = [("doc_id", _B64), ("th", _B64), ("pos", _BIN), ("mask", _BIN)]
-_VERDICT_DDL = "doc_id bigint, th bigint, pos binary, mask binary"
-
-
-def _squeeze(raw: bytes) -> bytes:
-    return pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unsqueeze(raw: bytes, size: int) -> bytes:
-    return pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True)
 
 
 def _row_ids(rows: np.ndarray) -> np.ndarray:
@@ -408,7 +437,7 @@ def _send_contexts(buckets: int, splitters: np.ndarray, hot: np.ndarray, hot_buc
             texts = [t.as_py() or b"" for t in b.column("row").field("text")]
             lists = b.column("shared")
             for i, j in _slices(texts):
-                where = [np.unique(_cat(lists[k].as_py(), "<u4")).astype(np.int64) for k in range(i, j)]
+                where = [np.unique(np.frombuffer(lists[k].as_py(), "<u4")).astype(np.int64) for k in range(i, j)]
                 sizes = np.fromiter(map(len, texts[i:j]), np.int64, j - i)
                 where = [w[(w + KEY <= n) & (n >= LENGTH)] for w, n in zip(where, sizes)]
                 buf = np.frombuffer(b"".join([bytes(LEFT), *texts[i:j], bytes(LENGTH)]), np.uint8)
@@ -465,31 +494,34 @@ def _send_contexts(buckets: int, splitters: np.ndarray, hot: np.ndarray, hot_buc
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(targets: int):
     """Buckets of suffixes -> positions with the mask of their repeated strings."""
-    for _, held in _by_bucket(batches):
-        rows = [(int.from_bytes(r["doc"], "little", signed=True), int.from_bytes(r["th"], "little", signed=True), r["pos"], r["mask"]) for r in held if r["kind"] == 2]
-        for kind, width in ((0, ROW), (1, LENGTH + 6)):
-            some = [r for r in held if r["kind"] == kind]
-            if not some:
-                continue
-            text = np.frombuffer(b"".join(_unsqueeze(r["ctx"], len(r["doc"]) // 8 * width) for r in some), np.uint8).reshape(-1, width)
-            doc, th = _cat([r["doc"] for r in some], "<i8"), _cat([r["th"] for r in some], "<i8")
-            n, pos = _cat([r["n"] for r in some], "<u4"), _cat([r["pos"] for r in some], "<u4")
-            if kind == 0:
-                mask = _window_masks(text, doc)
-            else:
-                order, lcp = _sorted_runs(text[:, :LENGTH])
-                low, _ = _group_min_max(np.cumsum(lcp < LENGTH) - (lcp[0] < LENGTH), doc[order])
-                mask = np.zeros(len(doc), np.int64)
-                mask[order] = low < doc[order]
-            found = np.repeat(mask, n) > 0
-            d, t, m = np.repeat(doc, n)[found], np.repeat(th, n)[found], np.repeat(mask, n)[found].astype("<u4")
-            order, g = _groups(d, t)
-            lead = np.concatenate(([True], g[1:] != g[:-1])) if len(g) else np.zeros(0, bool)
-            ds, ts = d[order][lead], t[order][lead]
-            rows += [(int(ds[k]), int(ts[k]), p, q) for k, p, q in _pack_by_doc(g, pos[found][order], m[order])]
-        yield _rows(rows, _VERDICT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _by_bucket(batches):
+            got = []
+            if some := [r for r in held if r["kind"] == 2]:
+                n = [len(r["pos"]) // 4 for r in some]
+                got.append(tuple(np.repeat(_cat([r[c] for r in some], "<i8"), n) for c in ("doc", "th")) + tuple(_cat([r[c] for r in some], "<u4") for c in ("pos", "mask")))
+            for kind, width in ((0, ROW), (1, LENGTH + 6)):
+                some = [r for r in held if r["kind"] == kind]
+                if not some:
+                    continue
+                text = np.frombuffer(b"".join(_unsqueeze(r["ctx"]) for r in some), np.uint8).reshape(-1, width)
+                doc, th = _cat([r["doc"] for r in some], "<i8"), _cat([r["th"] for r in some], "<i8")
+                n, pos = _cat([r["n"] for r in some], "<u4"), _cat([r["pos"] for r in some], "<u4")
+                if kind == 0:
+                    mask = _window_masks(text, doc)
+                else:
+                    order, lcp = _sorted_runs(text[:, :LENGTH])
+                    low, _ = _group_min_max(np.cumsum(lcp < LENGTH) - (lcp[0] < LENGTH), doc[order])
+                    mask = np.zeros(len(doc), np.int64)
+                    mask[order] = low < doc[order]
+                found = np.repeat(mask, n) > 0
+                got.append((np.repeat(doc, n)[found], np.repeat(th, n)[found], pos[found], np.repeat(mask, n)[found]))
+            yield _rows(list(_to_targets(targets, *(np.concatenate(x) for x in zip(*got)))), _VERDICT)
+
+    return run
 
 
 def covered(n: int, pos: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -507,16 +539,16 @@ _CUT_DDL = "doc_id bigint, th bigint, n_bytes bigint, n_removed bigint, n_spans
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows, found_col, row = [], b.column("found"), b.column("row")
-        for k, (doc_id, th, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), row.field("text"))):
+        rows, row, entries = [], b.column("row"), zip(b.column("found_th"), b.column("pos"), b.column("mask"))
+        for doc_id, th, text, found in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), row.field("text"), entries):
             text = text.as_py() or b""
             size, n_removed, n_spans = len(text), 0, 0
-            found = [x for x in found_col[k].as_py() or () if x["th"] == th]
-            if found:
-                pos, mask = _cat([x["pos"] for x in found], "<u4"), _cat([x["mask"] for x in found], "<u4")
+            if found[0].is_valid:
+                own = np.frombuffer(found[0].as_py(), "<i8") == th
+                pos, mask = (np.frombuffer(x.as_py(), "<u4")[own] for x in found[1:])
                 gone = covered(size, pos.astype(np.int64), mask)
                 n_removed = int(gone.sum())
-                n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                n_spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
                 text = np.frombuffer(text, np.uint8)[~gone].tobytes()
             rows.append((doc_id, th, size, n_removed, n_spans, text))
         names = [("doc_id", _B64), ("th", _B64), ("n_bytes", _B64), ("n_removed", _B64), ("n_spans", _B64), ("kept", _BIN)]
@@ -574,17 +606,20 @@ def remove_repeats(
     named = [F.col(c).alias(f"c{i}") for i, c in enumerate(others)]
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.struct(text, *named).alias("row"))
     texts = texts.select("doc_id", F.xxhash64("row.text").alias("th"), "row", key.alias("k"))
-    per_doc = shared.where("hot IS NULL").groupBy(F.col("doc_id").alias("d")).agg(F.collect_list("pos").alias("shared"))
-    key = F.coalesce("doc_id", F.lit(int(NO_ID)))
+
+    def by_doc(packed: DataFrame) -> DataFrame:
+        packed = packed.select("target", "doc", "th", "pos", "mask").repartition("target").sortWithinPartitions("target")
+        return packed.mapInArrow(_gather, _BY_DOC_DDL)
+
+    per_doc = by_doc(shared.where("hot IS NULL")).select("d", F.col("pos").alias("shared"))
     with_anchors = texts.join(per_doc, F.col("k") == F.col("d")).select("doc_id", "th", "row", "shared")
     contexts = with_anchors.mapInArrow(_send_contexts(buckets, splitters, hot, buckets), _TWO_DDL)
     contexts = contexts.repartition("bucket").sortWithinPartitions("bucket")
-    verdicts = contexts.mapInArrow(_compare, _VERDICT_DDL)
-    verdicts = verdicts.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("th", "pos", "mask")).alias("found"))
-    both = texts.join(verdicts, F.col("k") == F.col("d"), "left")
+    verdicts = by_doc(contexts.mapInArrow(_compare(buckets), _VERDICT_DDL)).withColumnRenamed("th", "found_th")
+    both = texts.join(verdicts, F.col("k") == F.col("d"), "left").select("doc_id", "th", "row", "found_th", "pos", "mask")
     fields = ", ".join(f"c{i}: {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
     ddl = _CUT_DDL + (f", others struct<{fields}>" if others else "")
-    return both.select("doc_id", "th", "row", "found").mapInArrow(_cut, ddl)
+    return both.mapInArrow(_cut, ddl)
 
 
 def deduplicated(docs: DataFrame, text_col: str = "text", hot_least: int = HOT_LEAST) -> DataFrame:
