@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tunedata.plans import jobs
@@ -68,3 +69,29 @@ def test_cli(spark, tmp_path):
     assert main(["tmx-to-validation", str(tmx), str(tmp_path / "val"), "3"]) == 0
     assert len(_lines(tmp_path / "val")) == 3
     assert main(["unknown"]) == 2
+
+
+def test_jobs_on_plain_files(spark, tmp_path):
+    """Files without order columns, with a field of their own, a blank line, and a malformed line."""
+    rows = [{"prompt": f"p{i}", "completion": f"c{i}", "note": {"n": i}} for i in range(50)]
+    (tmp_path / "in.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n\n  \n")
+    jobs.split_dataset(spark, str(tmp_path / "in.jsonl"), str(tmp_path / "train"), str(tmp_path / "valid"), seed=3)
+    train, valid = _lines(tmp_path / "train"), _lines(tmp_path / "valid")
+    assert len(train) == 40 and len(valid) == 10
+    assert sorted(map(str, train + valid)) == sorted(str({k: r[k] for k in sorted(r)}) for r in rows)
+    assert {r["prompt"] for r in valid} != {f"p{i}" for i in range(40, 50)}  # shuffled
+    jobs.tokenise_dataset(spark, str(tmp_path / "in.jsonl"), str(tmp_path / "tok"), max_length=8, vocab_size=60)
+    assert spark.read.parquet(str(tmp_path / "tok")).groupBy("split").count().collect() != []
+
+    ev = [{"src": "a", "tgt": "b", "lang": "it-IT", "id": 7}, {"src": "c", "tgt": "d", "id": 8}]
+    (tmp_path / "ev.jsonl").write_text("\n".join(map(json.dumps, ev)))
+    jobs.fix_lang_codes(spark, str(tmp_path / "ev.jsonl"), str(tmp_path / "ev2"))
+    assert sorted((r["id"], r["lang"]) for r in _lines(tmp_path / "ev2")) == [(7, "IT"), (8, "")]
+
+    from tunedata.sources.jsonl import read_jsonl, read_jsonl_quarantine
+
+    (tmp_path / "bad.jsonl").write_text('{"src": "a"}\nnot json\n\n{"src": "b"}\n')
+    with pytest.raises(Exception):
+        read_jsonl(spark, str(tmp_path / "bad.jsonl"), "src string").collect()
+    good, bad = read_jsonl_quarantine(spark, str(tmp_path / "bad.jsonl"), "src string")
+    assert sorted(r.src for r in good.collect()) == ["a", "b"] and [r.record for r in bad.collect()] == ["not json"]

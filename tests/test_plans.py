@@ -21,6 +21,14 @@ def test_tmx_to_pairs_has_one_shuffle_on_the_unit(spark):
     assert len(ex) == 1 and ex[0].startswith("hashpartitioning(path") and "tu_idx" in ex[0], ex
 
 
+def test_units_are_parsed_once_above_the_exchange(spark):
+    rows = [(name, document(units)) for name, units in CASES]
+    files = spark.createDataFrame(rows, "path string, x string").select("path", F.encode("x", "UTF-16LE").alias("content"))
+    plan = bitext.tmx_to_pairs(parse_tmx(files), policy="training")._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Exchange hashpartitioning(path", 1)
+    assert above.count("from_xml(") == 2 and "from_xml(" not in below  # the two views of one unit
+
+
 def test_arrow_encoder_and_segment_stats_do_not_shuffle(spark):
     df = spark.createDataFrame([(i, f"w{i} x y", f"w{i} x z") for i in range(40)], "k int, a string, b string")
     vocab = spark.createDataFrame([("<unk>", 0), ("<s>", 1), ("</s>", 2), ("x", 3)], "token string, id int")

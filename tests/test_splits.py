@@ -26,7 +26,7 @@ def test_split_sizes(spark, n):
 
 
 def test_hash_rank_is_md5_order(spark):
-    rows = rank_by_hash(ids(spark, 500), "k", 42, digits=2).collect()
+    rows = rank_by_hash(ids(spark, 500), "k", 42).collect()
     expect = sorted(range(500), key=lambda k: (hashlib.md5(f"42|{k}".encode()).hexdigest(), k))
     assert [r.k for r in sorted(rows, key=lambda r: r["rank"])] == expect
     assert sorted(r["rank"] for r in rows) == list(range(1, 501))
@@ -34,7 +34,7 @@ def test_hash_rank_is_md5_order(spark):
 
 def test_composite_key_rank(spark):
     df = spark.createDataFrame([(p, i) for p in ("b", "a", "c") for i in range(300)], "path string, idx int")
-    rows = rank_by_key(df, ["path", "idx"], width=64).collect()
+    rows = rank_by_key(df, ["path", "idx"]).collect()
     expect = sorted((r.path, r.idx) for r in rows)
     assert [(r.path, r.idx) for r in sorted(rows, key=lambda r: r["rank"])] == expect
 
@@ -65,5 +65,26 @@ def test_minibatches_drop_last(spark, n, batches):
 def test_sparse_integer_keys_stay_bounded(spark):
     keys = [(k * 1_000_003_117) % (1 << 62) - (1 << 61) for k in range(2000)]
     df = spark.createDataFrame([(k,) for k in keys], "k bigint")
-    rows = rank_by_key(df, ["k"], max_buckets=64).collect()
+    rows = rank_by_key(df, ["k"]).collect()
     assert [r.k for r in sorted(rows, key=lambda r: r["rank"])] == sorted(keys)
+
+
+def test_null_string_and_outlier_keys_lose_no_row(spark):
+    some = spark.createDataFrame([(1,), (None,), (3,), (None,), (2,)], "k long")
+    assert splits.split_random(some, "k", 0.8).count() == 5
+    assert splits.split_head_tail(some, ["k"], 0.8).count() == 5
+    assert sorted(r.shuffle_pos for r in splits.shuffle_rows(some, "k").collect()) == [1, 2, 3, 4, 5]
+    assert splits.split_test_size(some, "k").count() == 5
+    assert sft.assign_batches(some, ["k"], 2, drop_last=False).count() == 5
+    text = spark.range(2000).select(F.md5(F.col("id").cast("string")).alias("s"))
+    rows = rank_by_key(text, ["s"]).collect()
+    assert [r.s for r in sorted(rows, key=lambda r: r["rank"])] == sorted(r.s for r in rows)
+    far = spark.range(2000).select(F.when(F.col("id") == 7, F.lit(1 << 60)).otherwise(F.col("id")).alias("k"))
+    rows = rank_by_key(far, ["k"]).collect()
+    assert [r.k for r in sorted(rows, key=lambda r: r["rank"])] == sorted(r.k for r in rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = rank_by_key(far, ["k"]).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(r["count"] for r in parts) < 1500  # no task holds all rows but the outlier

@@ -28,7 +28,7 @@ SPECIALS = (UNK, BOS, EOS)
 UNK_ID, BOS_ID, EOS_ID = 0, 1, 2
 PAD_ID = EOS_ID
 IGNORE = -100
-LEGACY_PROMPT = "Translate to {lang}:\n{src}"
+LEGACY_PROMPT = "Translate to {lang}:\n{src}"  # older inference prompt
 
 LABEL_MODES = ("prompt_masked", "prompt_masked_bos", "collated", "intended", "seq2seq", "seq2seq_pad100")
 
@@ -47,7 +47,7 @@ def infer_prompt(df: DataFrame, style: str = "quoted", src: str = "src", lang: s
     if style == "quoted":
         body = render_prompt(F.col(src), F.col(lang))
     elif style == "legacy":
-        body = F.concat(F.lit("Translate to "), iso2(lang), F.lit(":\n"), F.col(src))
+        body = render_prompt(F.col(src), iso2(lang), LEGACY_PROMPT)
     else:
         raise ValueError(f"style={style!r}")
     return df.withColumn("infer_prompt", F.concat(F.lit(INST_OPEN), body, F.lit(INST_CLOSE)))
@@ -111,9 +111,25 @@ def encoder(vocab: DataFrame, max_size: int) -> Callable[[Column, bool], Column]
         ids = lookup(word_tokens(text))
         return F.concat(F.array(F.lit(BOS_ID)), ids) if add_bos else ids
 
+    def first(text: Column, add_bos: bool, length: int) -> Column:
+        """The first ``length`` ids: cut before the look-up, so no more tokens go to Python."""
+        ids = lookup(F.slice(word_tokens(text), 1, length - add_bos))
+        return F.concat(F.array(F.lit(BOS_ID)), ids) if add_bos else ids
+
+    enc.first = first
+    enc.count = lambda text, add_bos: F.size(word_tokens(text)) + int(add_bos)
     return enc
 
 
+def _first(enc: Callable, text: Column, add_bos: bool, length: int) -> Column:
+    """The first ids of a text, by the short way if the encoder has one."""
+    return enc.first(text, add_bos, length) if hasattr(enc, "first") else truncate(enc(text, add_bos), length)
+
+
+def _count(enc: Callable, text: Column, add_bos: bool) -> Column:
+    return enc.count(text, add_bos) if hasattr(enc, "count") else F.size(enc(text, add_bos))
+
+
 def encode_join(
     df: DataFrame, key: Sequence[str], text: str, vocab: DataFrame, max_size: int, *, add_bos: bool = True,
     out_col: str = "ids", num_partitions: int | None = None,
@@ -189,8 +205,8 @@ def tokenize_sft(
     if mode in ("prompt_masked", "prompt_masked_bos", "collated", "intended"):
         chat = chat_template(df, prompt, completion)
         user_bos = mode in ("prompt_masked_bos", "intended")
-        full = enc(F.col("full_text"), True)
-        n_user = F.least(F.size(enc(F.col("user_text"), user_bos)), F.lit(L))
+        full = _first(enc, F.col("full_text"), True, L)
+        n_user = F.least(_count(enc, F.col("user_text"), user_bos), F.lit(L))
         tmp = chat.select(*keep, pad(full, L).alias("input_ids"), attention(full, L).alias("attention_mask"), n_user.alias("__u"))
         ids = F.col("input_ids")
         if mode == "collated":
@@ -201,11 +217,11 @@ def tokenize_sft(
             labels = mask_prefix(ids, F.col("__u"))
         return tmp.select(*keep, "input_ids", "attention_mask", labels.alias("labels"))
     if mode == "seq2seq":
-        p, c = enc(F.col(prompt), True), enc(F.col(completion), True)
+        p, c = _first(enc, F.col(prompt), True, L), _first(enc, F.col(completion), True, L)
         return df.select(*keep, pad(p, L).alias("input_ids"), attention(p, L).alias("attention_mask"), mask_value(pad(c, L), PAD_ID).alias("labels"))
     if mode == "seq2seq_pad100":
         def enc_or_pad(c: str) -> Column:
-            return F.when(F.coalesce(F.col(c), F.lit("")) == "", F.array(F.lit(PAD_ID))).otherwise(enc(F.col(c), True))
+            return F.when(F.coalesce(F.col(c), F.lit("")) == "", F.array(F.lit(PAD_ID))).otherwise(_first(enc, F.col(c), True, L))
 
         p, c = enc_or_pad(prompt), enc_or_pad(completion)
         return df.select(*keep, pad(p, L).alias("input_ids"), pad(c, L, IGNORE).alias("labels"))
@@ -229,6 +245,21 @@ def validate_tokens(df: DataFrame, length: int, cols: Sequence[str] = ("input_id
     )
 
 
+def invalid_tokens(df: DataFrame, key: Sequence[str], length: int, cols: Sequence[str] = ("input_ids", "labels")) -> DataFrame:
+    """The offending rows: ``key`` columns, ``array`` (the column) and ``problem``, one row for each
+    array that is NULL, holds a NULL id or has another length."""
+    found = []
+    for c in cols:
+        problem = (
+            F.when(F.col(c).isNull(), "null array")
+            .when(F.exists(c, lambda x: x.isNull()), "null id")
+            .when(F.size(c) != length, F.concat(F.lit("length "), F.size(c).cast("string")))
+        )
+        found.append(F.struct(F.lit(c).alias("array"), problem.alias("problem")))
+    each = df.select(*key, F.explode(F.filter(F.array(*found), lambda x: x["problem"].isNotNull())).alias("x"))
+    return each.select(*key, "x.array", "x.problem")
+
+
 def to_training_table(df: DataFrame, path: str, length: int, cols: Sequence[str] = ("input_ids", "labels"), partition_by: str | None = "split") -> None:
     """Write fixed-shape int32 arrays as Parquet (partitioned by ``split``); a wrong length fails the job."""
     out = df

@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunedata.functions.text import extract_reply, format_score, tok_13a, ustrip
+from tunedata.operators.batches import map_batches
 from tunedata.operators import bitext, inference, metrics, sft, splits, stats
 from tunedata.plans.corpus import bitext_tmx, conversation_pairs, spread, table
 from tunedata.plans.systems import SYSTEMS
 from tunedata.session import scratch_path, ship_package
 from tunedata.sources import jsonl
-from tunedata.sources.tmx import parse_tmx, read_tmx_large, tmx_errors
+from tunedata.sources.tmx import parse_tmx, read_tmx_segments, tmx_errors
 from tunedata.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,11 +76,11 @@ def tmx_first_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tmx_pairs_large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training pairs through the XML-source route for files too large for one row."""
+    """Training pairs of TMX files on disk (UTF-8 here), read through the file source."""
     src = scratch_path(spark, "tmx-files")
     incremental.write_tmx_files(bitext_tmx(spark, sf_dir, encoding="UTF-8"), src)
-    seg = read_tmx_large(spark, src, encoding="UTF-8", glob="*.txt")
-    # _metadata.file_path is a URI: the partition folder name is percent-encoded once more.
+    seg = read_tmx_segments(spark, src, encoding="UTF-8", glob="*.txt")
+    # The file path is a URI: the partition folder name is percent-encoded once more.
     seg = seg.withColumn("path", F.url_decode(incremental.original_path("path")))
     return bitext.tmx_to_pairs(seg, policy="training")
 
@@ -92,7 +93,7 @@ def tmx_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def tmx_pairs_skip_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = _segments(spark, sf_dir, on_error="skip_file")
-    return bitext.tmx_to_pairs(seg, policy="validation", max_tus=20)
+    return bitext.tmx_to_pairs(seg, policy="validation")
 
 
 # ---------------------------------------------------------------- rendering
@@ -117,7 +118,7 @@ def drop_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bitext.fix_lang_codes(validation_pairs(spark, sf_dir, max_tus=20))
+    return bitext.fix_lang_codes(validation_pairs(spark, sf_dir))
 
 
 @query
@@ -216,7 +217,7 @@ def chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def infer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = bitext.fix_lang_codes(validation_pairs(spark, sf_dir, max_tus=20))
+    ev = bitext.fix_lang_codes(validation_pairs(spark, sf_dir))
     q = sft.infer_prompt(ev, "quoted").withColumnRenamed("infer_prompt", "quoted")
     return sft.infer_prompt(q, "legacy").select(*KEYS, "quoted", F.col("infer_prompt").alias("legacy"))
 
@@ -248,7 +249,7 @@ def encode_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pad_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     enc = sft.encoder(_doc_vocab(spark, sf_dir), DOC_VOCAB)
-    ids = enc(F.col("text"), True)
+    ids = enc.first(F.col("text"), True, 256)
     docs = table(spark, sf_dir, "documents").select("doc_id", sft.pad(ids, 256).alias("i"), sft.attention(ids, 256).alias("m"))
     return docs.select("doc_id", F.array_join("i", " ").alias("input_ids"), F.array_join("m", " ").alias("attention_mask"))
 
@@ -294,6 +295,37 @@ def token_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sft.validate_tokens(tokenised(spark, sf_dir, "prompt_masked"), 256, ("input_ids", "attention_mask", "labels"))
 
 
+@query
+def token_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offending rows among id arrays with injected faults: by the id, every seventh is NULL, the next
+    holds a NULL, the next is too short."""
+    d, k = table(spark, sf_dir, "documents").select("doc_id", "n_chars"), F.col("doc_id") % 7
+    n = F.col("n_chars").cast("int")
+    ids = F.when(k == 1, F.array(n, F.lit(None).cast("int"), n)).when(k == 2, F.array(n, n)).when(k != 0, F.array(n, n, n))
+    return sft.invalid_tokens(d.select("doc_id", ids.alias("ids")), ["doc_id"], 3, ["ids"])
+
+
+@query
+def map_batches_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vectorised batch function over all documents, input columns kept."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    count = lambda b: {"n_lines": b["text"].fillna("").str.count("\n") + 1, "text": b["text"].fillna("").str.slice(0, 20)}
+    return map_batches(docs, count, "text string, n_lines bigint", keep_columns=True)
+
+
+@query
+def split_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Head/tail split on a string key."""
+    return splits.split_head_tail(table(spark, sf_dir, "pages").select("url", "page_id"), ["url", "page_id"], 0.8)
+
+
+@query
+def split_with_null_and_outlier_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Head/tail split on an integer key with NULLs (first) and one value far from all others."""
+    k = F.when(F.col("doc_id") % 5 == 0, None).when(F.col("doc_id") == 1, F.lit(1 << 60)).otherwise(F.col("doc_id"))
+    return splits.split_head_tail(table(spark, sf_dir, "documents").select(k.alias("k"), "doc_id"), ["k", "doc_id"], 0.8)
+
+
 @query
 def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     examples = splits.split_head_tail(sft_jsonl(spark, sf_dir), KEYS, 0.8).drop("pos")
@@ -431,9 +463,9 @@ def stream_tmx_sft(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_lang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The capped validation set as JSON lines, language codes fixed by a streaming projection."""
+    """The validation set as JSON lines, language codes fixed by a streaming projection."""
     src, out = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
-    jsonl.write_jsonl(validation_pairs(spark, sf_dir, max_tus=20), src)
+    jsonl.write_jsonl(validation_pairs(spark, sf_dir), src)
     ddl = "path string, tu_idx int, lang_pos int, src string, tgt string, lang string"
     q = incremental.stream_jsonl(spark, src, ddl, bitext.fix_lang_codes, out)
     q.awaitTermination()

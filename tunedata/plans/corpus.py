@@ -22,6 +22,9 @@ from tunedata.sources.tmx import tu_xml, tuv_xml, write_tmx_bytes
 # Target languages by conv_id % 5, and the third language of variant 1.
 TARGET_LANGS = ["IT-IT", "FR-FR", "DE-DE", "ES-ES", "GA-IE"]
 THIRD_LANG = "MT-MT"
+# A unit in a comment, which is no unit, and a unit without segments, which has a position.
+COMMENTED_UNIT = '<!-- <tu><tuv xml:lang="EN-GB"><seg>old</seg></tuv></tu> -->'
+EMPTY_UNITS = '<tu tuid="e" note="a &gt; b"/>\n'
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,10 +60,10 @@ def _unit_xml(k: Column, bad: Column, lang: Column, s: Column, t: Column) -> Col
     return (
         F.when(bad, tu_xml(tuv(en, F.concat(F.lit("broken & "), s)), tuv(lang, t)))
         .when(k == 0, tu_xml(tuv(en, s), tuv(lang, t)))
-        .when(k == 1, tu_xml(tuv(en, s), tuv(lang, t), tuv(F.lit(THIRD_LANG), F.concat(t, F.lit(" (mt)")))))
+        .when(k == 1, F.concat(F.lit(COMMENTED_UNIT), tu_xml(tuv(en, s), tuv(lang, t), tuv(F.lit(THIRD_LANG), F.concat(t, F.lit(" (mt)<![CDATA[ </tu>]]>"))))))
         .when(k == 2, tu_xml(tuv(en, s), tuv(lang, F.lit("  "))))
         .when(k == 3, tu_xml(tuv(en, s), F.concat(F.lit('<tuv xml:lang="'), lang, F.lit('"><seg/></tuv>'))))
-        .when(k == 4, tu_xml(tuv(en, s), tuv(lang, F.lit("draft")), tuv(lang, t)))
+        .when(k == 4, tu_xml(tuv(en, F.concat(F.lit("<!-- </tu> -->"), s)), tuv(lang, F.lit("draft")), tuv(lang, t)))
         .when(k == 5, tu_xml(tuv(en, F.concat(s, F.lit('<ph x="1"/> (note)'))), tuv(lang, t)))
         .when(k == 6, tu_xml(tuv(en, s), tuv(lang, F.concat(F.lit('<bpt i="1"/>'), t))))
         .when(k == 7, tu_xml(tuv(F.lit("en-gb"), s), tuv(lang, t)))
@@ -68,7 +71,7 @@ def _unit_xml(k: Column, bad: Column, lang: Column, s: Column, t: Column) -> Col
             k == 8,
             tu_xml(F.lit("<tuv/>"), tuv(en, s), F.lit("<tuv><seg>x</seg></tuv>"), tuv(lang, t)),
         )
-        .otherwise(tu_xml(tuv(en, F.concat(F.lit("  "), s, F.lit("\u2003"))), tuv(lang, F.concat(F.lit("\t"), t, F.lit(" \n")))))
+        .otherwise(F.concat(F.lit(EMPTY_UNITS), tu_xml(tuv(en, F.concat(F.lit("  "), s, F.lit("\u2003"))), tuv(lang, F.concat(F.lit("\t"), t, F.lit(" \n"))))))
     )
 
 

@@ -43,13 +43,15 @@ pu AS (
   FROM pages
 ),
 units AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY path ORDER BY o1, o2) - 1 AS INTEGER) AS tu_idx
+  -- each unit of variant 9 follows an empty unit, which has a position and no segments
+  SELECT *, CAST(row_number() OVER (PARTITION BY path ORDER BY o1, o2) - 1
+                 + count(*) FILTER (k = 9 AND NOT bad) OVER (PARTITION BY path ORDER BY o1, o2) AS INTEGER) AS tu_idx
   FROM (SELECT * FROM cu UNION ALL SELECT * FROM pu)
 ),
 seglists AS (
   SELECT path, tu_idx, CASE
     WHEN k IN (-1, 0, 5) THEN [{'lang': 'EN-GB', 'raw': src}, {'lang': lang, 'raw': tgt}]
-    WHEN k = 1 THEN [{'lang': 'EN-GB', 'raw': src}, {'lang': lang, 'raw': tgt}, {'lang': 'MT-MT', 'raw': tgt || ' (mt)'}]
+    WHEN k = 1 THEN [{'lang': 'EN-GB', 'raw': src}, {'lang': lang, 'raw': tgt}, {'lang': 'MT-MT', 'raw': tgt || ' (mt) </tu>'}]
     WHEN k = 2 THEN [{'lang': 'EN-GB', 'raw': src}, {'lang': lang, 'raw': '  '}]
     WHEN k IN (3, 6) THEN [{'lang': 'EN-GB', 'raw': src}, {'lang': lang, 'raw': ''}]
     WHEN k = 4 THEN [{'lang': 'EN-GB', 'raw': src}, {'lang': lang, 'raw': 'draft'}, {'lang': lang, 'raw': tgt}]
@@ -95,7 +97,7 @@ ORACLES["tmx_pairs_validation"] = with_units(pairs_cte("validation")) + "\nSELEC
 ORACLES["tmx_first_units"] = with_units(pairs_cte("validation", 20)) + "\nSELECT * FROM pairs"
 ORACLES["tmx_quarantine"] = with_units() + "\nSELECT path, CAST(count(*) AS BIGINT) AS n_bad FROM units WHERE bad GROUP BY path"
 ORACLES["tmx_pairs_skip_file"] = (
-    with_units(pairs_cte("validation", 20))
+    with_units(pairs_cte("validation"))
     + "\nSELECT * FROM pairs WHERE path NOT IN (SELECT path FROM units WHERE bad)"
 )
 ORACLES["sft_examples"] = with_units(pairs_cte("training")) + (
@@ -108,7 +110,7 @@ ORACLES["drop_blank"] = with_units(pairs_cte("validation")) + (
     f"\nSELECT path, tu_idx, lang_pos, {PROMPT.format(label=LABEL)} AS prompt, tgt AS completion FROM pairs"
     f"\nWHERE {strip('tgt')} <> ''"
 )
-ORACLES["lang_codes"] = with_units(pairs_cte("validation", 20)) + (
+ORACLES["lang_codes"] = with_units(pairs_cte("validation")) + (
     "\nSELECT path, tu_idx, lang_pos, src, tgt, substr(upper(coalesce(lang, '')), 1, 2) AS lang FROM pairs"
 )
 LANG_NAMES_VALUES = """names(code, name) AS (VALUES ('BG','Bulgarian'), ('CS','Czech'), ('DA','Danish'), ('DE','German'),
@@ -198,7 +200,7 @@ def j(x: str) -> str:
 
 
 ORACLES["chat_template"] = with_units(pairs_cte("training"), CHAT) + f"\nSELECT {KEYS}, user_text, full_text FROM chat"
-ORACLES["infer_prompts"] = with_units(pairs_cte("validation", 20)) + f"""
+ORACLES["infer_prompts"] = with_units(pairs_cte("validation")) + f"""
 SELECT {KEYS}, '<s>[INST] Translate the following English text to ' || substr(upper(lang), 1, 2) || ': ''' || src || ''' [/INST]' AS quoted,
        '<s>[INST] Translate to ' || substr(upper(lang), 1, 2) || ':' || chr(10) || src || ' [/INST]' AS legacy
 FROM pairs"""
@@ -394,3 +396,18 @@ st AS (SELECT fh.system, len(h) AS sys_len, rl.ref_len,
 ORACLES["tmx_pairs_large_files"] = ORACLES["tmx_pairs_training"]
 
 ORACLES["encode_native"] = ORACLES["encode"]
+
+ORACLES["token_problems"] = """
+SELECT doc_id, 'ids' AS "array", CASE doc_id % 7 WHEN 0 THEN 'null array' WHEN 1 THEN 'null id' ELSE 'length 2' END AS problem
+FROM documents WHERE doc_id % 7 <= 2"""
+ORACLES["map_batches_counts"] = """
+SELECT doc_id, lang, substr(coalesce(text, ''), 1, 20) AS text,
+       CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 AS BIGINT) AS n_lines
+FROM documents"""
+ORACLES["split_by_url"] = """
+SELECT url, page_id, pos, CASE WHEN pos <= floor(CAST(0.8 AS DOUBLE) * n) THEN 'train' ELSE 'valid' END AS split
+FROM (SELECT url, page_id, row_number() OVER (ORDER BY url, page_id) AS pos, count(*) OVER () AS n FROM pages)"""
+ORACLES["split_with_null_and_outlier_keys"] = """
+WITH d AS (SELECT CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id = 1 THEN 1152921504606846976 ELSE doc_id END AS k, doc_id FROM documents),
+r AS (SELECT *, row_number() OVER (ORDER BY k NULLS FIRST, doc_id) AS pos, count(*) OVER () AS n FROM d)
+SELECT k, doc_id, pos, CASE WHEN pos <= floor(CAST(0.8 AS DOUBLE) * n) THEN 'train' ELSE 'valid' END AS split FROM r"""

@@ -1,14 +1,15 @@
 """Exact global positions without pulling every row into one task.
 
-A ``row_number()`` with no ``PARTITION BY`` sorts the whole table in one task. Instead the
-rows are cut into value buckets that follow the order (the bucket of a row is a coarsening
-of its order key), counted per bucket, and numbered inside their bucket:
+A ``row_number()`` with no ``PARTITION BY`` sorts the whole table in one task. Instead the rows are
+range-partitioned on the order key at Spark's sampled quantiles, sorted within their partition, and
+written once to the shared folder with their partition and place in it. The position is
 
-    rank = (rows in all earlier buckets) + row_number() OVER (PARTITION BY bucket ORDER BY key)
+    (rows in all earlier partitions) + (place in the partition)
 
-The per-bucket counts are the only global step and have one row per non-empty bucket: at most
-2^20 rows (about 1M rows per bucket at 10^12 rows), and no more than the input has rows. Everything is value based, so a lost executor recomputes the same
-positions. The order key must be unique.
+The only global step sums one count per partition, so it is bounded by the number of partitions,
+whatever the type, spread or number of NULLs of the key. The written table fixes the partition
+bounds, so nothing changes when a lost executor's part of it is read again. The order key should be
+unique; rows that tie are numbered in the order in which they were written. NULLs come first.
 """
 
 from __future__ import annotations
@@ -19,47 +20,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-DEFAULT_HASH_DIGITS = 5  # 2^20 buckets for a hash order: ~1M rows each at 10^12 rows
-DEFAULT_KEY_WIDTH = 1 << 16  # key values per bucket for the second column of a composite key
-MAX_BUCKETS = 1 << 20  # value ranges for an integer key
+from tunedata.session import scratch_path
 
 
 def hash_order(key: Column | str, seed: int) -> Column:
     """Reproducible pseudo-random order: md5 of ``'{seed}|{key}'`` (same function in DuckDB)."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{seed}|"), k.cast("string")))
-
-
-def exact_rank(
-    df: DataFrame,
-    order: list[Column | str],
-    bucket: Column,
-    *,
-    rank_col: str = "rank",
-    total_col: str | None = None,
-) -> DataFrame:
-    """Add the 1-based global position of each row under ``order`` (and the row count).
-
-    ``bucket`` must be monotone in ``order``: sorting by ``(bucket, *order)`` equals
-    sorting by ``order``. Its distinct values should be bounded (they form the offset table).
-    """
-    b = df.withColumn("__bucket", bucket)
-    # Bucket sizes: partially aggregated before the shuffle, so only one row per bucket moves.
-    # (The input is read twice - materialise it first when it is expensive to recompute.)
-    counts = b.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    # One row per bucket: the running count over that small table gives each bucket's offset.
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(k.cast("string"), F.lit(""))))
+
+
+def exact_rank(df: DataFrame, order: list[Column | str], *, rank_col: str = "rank", total_col: str | None = None) -> DataFrame:
+    """Add the 1-based global position of each row under ``order`` (and the row count)."""
+    spark = df.sparkSession
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    mid = F.monotonically_increasing_id()  # partition in the upper bits, place in it in the lower 33
+    placed = placed.withColumn("__mid", mid)
+    path = scratch_path(spark, "rank")
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path).withColumn("__part", F.shiftright("__mid", 33))
+    counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        "__bucket",
+        "__part",
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"),
         F.sum("__n").over(Window.partitionBy()).alias("__total"),
     )
-    inner = Window.partitionBy("__bucket").orderBy(*order)
-    out = b.withColumn("__local", F.row_number().over(inner)).join(offsets, "__bucket")
-    out = out.withColumn(rank_col, (F.col("__offset") + F.col("__local")).cast("bigint"))
+    # Broadcast: one row per partition of the written table.
+    out = placed.join(F.broadcast(offsets), "__part")
+    place = F.col("__mid") - F.shiftleft("__part", 33)
+    out = out.withColumn(rank_col, (F.col("__offset") + place + 1).cast("bigint"))
     if total_col:
         out = out.withColumn(total_col, F.col("__total").cast("bigint"))
-    return out.drop("__bucket", "__local", "__offset", "__total")
+    return out.drop("__part", "__mid", "__offset", "__total")
 
 
 def key_column(key: str | Sequence[str]) -> Column:
@@ -70,34 +63,12 @@ def key_column(key: str | Sequence[str]) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in key]))
 
 
-def rank_by_hash(df: DataFrame, key: str | Sequence[str], seed: int, *, digits: int = DEFAULT_HASH_DIGITS, **kw) -> DataFrame:
+def rank_by_hash(df: DataFrame, key: str | Sequence[str], seed: int, **kw) -> DataFrame:
     """Position in the seeded md5 order of a unique key (one column or several)."""
     k = key_column(key)
-    h = hash_order(k, seed)
-    return exact_rank(df, [h, k], F.substring(h, 1, digits), **kw)
-
-
-def rank_by_key(df: DataFrame, order: list[str], *, width: int | None = None, max_buckets: int = MAX_BUCKETS, **kw) -> DataFrame:
-    """Position in the order of unique key columns.
-
-    An integer first column is cut into at most ``max_buckets`` equal value ranges: the width
-    comes from the key's range (one min/max aggregate, run when the plan is built), so sparse
-    keys never make one bucket per row. A string first column is paired with the second
-    column's ``div width`` so one large file still spreads over many buckets.
-    """
-    first = df.schema[order[0]].dataType.typeName()
-    if first in ("long", "integer", "short", "byte"):
-        c = F.col(order[0])
-        if width is None:
-            lo, hi = df.agg(F.min(c), F.max(c)).first()
-            lo, hi = (0, 0) if lo is None else (lo, hi)
-            width = max(1, -(-(hi - lo + 1) // max_buckets))
-        else:
-            lo = 0
-        # double arithmetic is monotone, so the bucket never breaks the key order (and cannot overflow)
-        bucket = F.floor((c.cast("double") - float(lo)) / float(width))
-    elif len(order) > 1:
-        bucket = F.struct(F.col(order[0]), F.floor(F.col(order[1]) / (width or DEFAULT_KEY_WIDTH)))
-    else:
-        bucket = F.col(order[0])
-    return exact_rank(df, [F.col(c) for c in order], bucket, **kw)
+    return exact_rank(df, [hash_order(k, seed), k], **kw)
+
+
+def rank_by_key(df: DataFrame, order: list[str], **kw) -> DataFrame:
+    """Position in the order of unique key columns of any type."""
+    return exact_rank(df, list(order), **kw)

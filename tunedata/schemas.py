@@ -1,49 +1,4 @@
-"""Fixed StructTypes of every table the library reads or writes (never inferred)."""
+"""DDL strings handed to from_xml: the raw inner-XML view and the text-parts view of <seg>."""
 
-from pyspark.sql import types as T
-
-S = T.StringType()
-I = T.IntegerType()
-L = T.LongType()
-D = T.DoubleType()
-
-TMX_FILES = T.StructType([T.StructField("path", S, False), T.StructField("content", T.BinaryType(), True)])
-
-# parse_tmx output: seg_raw is the unstripped leading text (NULL when <seg> is missing).
-SEGMENTS = T.StructType(
-    [
-        T.StructField("path", S, False),
-        T.StructField("tu_idx", I, False),
-        T.StructField("tuv_idx", I, False),
-        T.StructField("lang", S, True),
-        T.StructField("seg_raw", S, True),
-    ]
-)
-
-PAIRS = T.StructType(
-    [
-        T.StructField("path", S, False),
-        T.StructField("tu_idx", I, False),
-        T.StructField("lang_pos", I, False),
-        T.StructField("src", S, False),
-        T.StructField("tgt", S, False),
-        T.StructField("lang", S, False),
-    ]
-)
-
-SFT = T.StructType([T.StructField("prompt", S, True), T.StructField("completion", S, True)])
-EVAL_SET = T.StructType([T.StructField("src", S, True), T.StructField("tgt", S, True), T.StructField("lang", S, True)])
-FLAT_TEXT = T.StructType([T.StructField("text", S, True)])
-PREDICTIONS = T.StructType(list(EVAL_SET.fields) + [T.StructField("prediction", S, True)])
-
-INT_ARRAY = T.ArrayType(I, False)
-
-BLEU = T.StructType(
-    [T.StructField("score", D), T.StructField("bp", D)]
-    + [T.StructField(f"p{n}", D) for n in range(1, 5)]
-    + [T.StructField("sys_len", L), T.StructField("ref_len", L)]
-)
-
-# DDL strings handed to from_xml: the raw inner-XML view and the text-parts view of <seg>.
 TU_RAW_DDL = "tuv array<struct<`_xml:lang`: string, seg: string>>, _corrupt_record string"
 TU_PARTS_DDL = "tuv array<struct<`_xml:lang`: string, seg: struct<_VALUE: array<string>>>>"

@@ -11,7 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 
@@ -32,11 +32,22 @@ def ascii_escape_json(lines: pd.Series) -> pd.Series:
     return lines.map(lambda s: None if s is None else _NON_ASCII.sub(_u_escape, s))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, *, mode: str = "PERMISSIVE") -> DataFrame:
-    """JSON lines with a fixed schema. ``mode="FAILFAST"`` raises on a malformed line."""
+def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, *, mode: str = "FAILFAST") -> DataFrame:
+    """JSON lines with a fixed schema. A malformed line raises; :func:`read_jsonl_quarantine` sets
+    such lines apart instead. Blank lines are skipped."""
     return spark.read.schema(schema).option("mode", mode).json(path)
 
 
+def read_jsonl_quarantine(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
+    """JSON lines with a fixed schema -> ``(rows, malformed)``, the latter with the line as ``record``."""
+    fields = spark.createDataFrame([], schema).schema
+    ddl = StructType([*fields, StructField("_corrupt_record", StringType())]).simpleString()
+    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*$"))
+    parsed = lines.select("value", F.from_json("value", ddl, {"mode": "PERMISSIVE"}).alias("r"))
+    bad = F.col("r._corrupt_record").isNotNull()
+    return parsed.where(~bad).select("r.*").drop("_corrupt_record"), parsed.where(bad).select(F.col("value").alias("record"))
+
+
 def write_jsonl(df: DataFrame, path: str, *, ascii: bool = False, mode: str = "overwrite", compression: str | None = None) -> None:
     """Write JSON lines, UTF-8. ``ascii=True`` escapes non-ASCII text like ``json.dumps``."""
     if not ascii:

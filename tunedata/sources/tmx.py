@@ -9,15 +9,21 @@ clustered: the whole TMX-to-pairs plan has a single shuffle.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tunedata import schemas
 from tunedata.functions.text import WS_CLASS, xml_escape
 
-# One <tu> element (not <tuv>), non-greedy, across lines.
-TU_PATTERN = r"(?s)(<tu[\s>].*?</tu>)"
+# One <tu> element (not <tuv>), self-closing or up to its end tag; comments, CDATA sections and
+# processing instructions are consumed first, so nothing inside them opens or ends a unit.
+_SKIP = r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>"
+_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*?"""
+TU_PATTERN = rf"(?s){_SKIP}|(<tu(?=[\s>/]){_ATTRIBUTES}(?:/>|>(?:[^<]++|{_SKIP}|<(?!/tu\s*>))*+</tu\s*>))"
+# What is left of a document without its units, comments and declarations: one closed element.
+_DOCTYPE = r"(?s)<!DOCTYPE[^\[>]*(?:\[.*?\]\s*)?>"
+_ROOT = r"(?s)^[\ufeff\s]*<([\w:.\-]+)(?:\s.*)?(?:/>|</\1\s*>)\s*$"
 # Comments and processing instructions are not text (an XML parser joins the text around
 # them); CDATA sections are matched first and put back unchanged.
 NON_TEXT_PATTERN = r"(?s)(<!\[CDATA\[.*?\]\]>)|<!--.*?-->|<\?.*?\?>"
@@ -31,32 +37,11 @@ def read_tmx(spark: SparkSession, path: str, *, recursive: bool = True, glob: st
     return reader.load(path).select("path", "content")
 
 
-LARGE_FILE_BYTES = 256 << 20  # a file beyond this goes through the streaming XML source
-
-
-def read_tmx_segments(
-    spark: SparkSession,
-    path: str,
-    *,
-    encoding: str = "UTF-16LE",
-    glob: str = "*.tmx",
-    large_file_bytes: int = LARGE_FILE_BYTES,
-    **kw,
-) -> DataFrame:
-    """Segments of every TMX file under ``path``, each file on the route that suits its size.
-
-    Files up to ``large_file_bytes`` are read whole (:func:`read_tmx` + :func:`parse_tmx`:
-    parallel parsing after the unit shuffle); larger ones stream through Spark's XML source
-    (:func:`read_tmx_large`), which never holds a file in one row. Only the file listing
-    (path, length - the content column is pruned) decides; the paths of the large files are
-    the only thing brought to the driver.
-    """
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    big = [r.path for r in listing.where(F.col("length") > large_file_bytes).select("path").collect()]
-    small = parse_tmx(listing.where(F.col("length") <= large_file_bytes).select("path", "content"), encoding=encoding, **kw)
-    if not big:
-        return small
-    return small.unionByName(read_tmx_large(spark, big, encoding=encoding, glob=glob, **kw))
+def read_tmx_segments(spark: SparkSession, path: str, *, glob: str = "*.tmx", **kw) -> DataFrame:
+    """Segments of every TMX file under ``path``: :func:`read_tmx` and :func:`parse_tmx`, the
+    only route, whatever the files' sizes. A file is one row (2 GB at most) until its units are cut;
+    they are parsed after the unit shuffle, so a large file is parsed by many tasks."""
+    return parse_tmx(read_tmx(spark, path, glob=glob), **kw)
 
 
 def _leading_text(inner: Column, parts: Column) -> Column:
@@ -91,22 +76,25 @@ def parse_tmx(
 
     inline:   "leading" (text before the first inline child), "all_text" (all text nodes),
               "raw" (inner XML).
-    on_error: "quarantine" drops malformed units (see :func:`tmx_errors`), "skip_file"
-              drops every file holding one, "fail" raises on the first.
+    on_error: "quarantine" drops malformed units, "skip_file" drops every file with a malformed
+              unit or a malformed document around its units (cut off, broken markup, wrong
+              encoding), "fail" raises on either. :func:`tmx_errors` lists both kinds.
     """
     if inline not in ("leading", "all_text", "raw"):
         raise ValueError(f"inline={inline!r}")
     if on_error not in ("quarantine", "skip_file", "fail"):
         raise ValueError(f"on_error={on_error!r}")
-    units = tmx_units(files, encoding=encoding, num_partitions=num_partitions)
+    if on_error == "skip_file" and not keep_errors:
+        files = files.where(~document_is_broken(decoded(F.col("content"), encoding)))
+    units = tmx_units(files, encoding=encoding, num_partitions=num_partitions, check=on_error == "fail")
     mode = "FAILFAST" if on_error == "fail" else "PERMISSIVE"
     opts = {"mode": mode, "columnNameOfCorruptRecord": "_corrupt_record", "ignoreSurroundingSpaces": "false"}
-    parsed = units.select(
-        "path",
-        "tu_idx",
-        F.from_xml("tu", schemas.TU_RAW_DDL, opts).alias("raw"),
-        *([F.from_xml("tu", schemas.TU_PARTS_DDL, opts).alias("parts")] if inline != "raw" else []),
-    )
+    views = [F.from_xml("tu", schemas.TU_RAW_DDL, opts).alias("raw")]
+    if inline != "raw":
+        views.append(F.from_xml("tu", schemas.TU_PARTS_DDL, opts).alias("parts"))
+    # Parsed inside a generator: a filter on its output stays above it (and above the exchange), so
+    # each unit is parsed once, in the task that it was dealt to.
+    parsed = units.select("path", "tu_idx", F.explode(F.array(F.struct(*views))).alias("x")).select("path", "tu_idx", "x.*")
     return _segments(parsed, inline, on_error, keep_errors)
 
 
@@ -141,69 +129,39 @@ def _segments(parsed: DataFrame, inline: str, on_error: str, keep_errors: bool)
     )
 
 
-def read_tmx_large(
-    spark: SparkSession,
-    path: str | list[str],
-    *,
-    encoding: str = "UTF-16LE",
-    glob: str = "*.tmx",
-    inline: str = "leading",
-    on_error: str = "quarantine",
-    keep_errors: bool = False,
-) -> DataFrame:
-    """Segments of TMX files of any size, through Spark's streaming XML source (``rowTag=tu``).
-
-    ``binaryFile`` holds a whole file in one row (2 GB at most); this route never does. Each
-    unit's position comes from its file block and ``monotonically_increasing_id`` (rows of one
-    block are consecutive), offset by the rows of earlier blocks of the same file - a table
-    of one row per block. The leading-text rule needs two views of ``<seg>``, so the files are
-    scanned twice and the views joined on ``(path, tu_idx)``; that join's hash partitioning is
-    what the per-unit de-dup and pairing then reuse. Same columns as :func:`parse_tmx`; the
-    ``<seg>`` views come from Spark's XML reader, so a comment inside a segment, or a segment
-    starting with an inline element, can give a different leading text than :func:`parse_tmx`.
-    """
-    if inline not in ("leading", "all_text", "raw"):
-        raise ValueError(f"inline={inline!r}")
-    mode = "FAILFAST" if on_error == "fail" else "PERMISSIVE"
+def decoded(content: Column, encoding: str) -> Column:
+    """Text of a file, NULL where its bytes are not valid in ``encoding`` (one Arrow pass per file;
+    the built-in ``decode`` would fail the whole job)."""
 
-    def scan(ddl: str, name: str) -> DataFrame:
-        reader = (
-            spark.read.format("xml")
-            .option("rowTag", "tu")
-            .option("encoding", encoding)
-            .option("ignoreSurroundingSpaces", "false")
-            .option("mode", mode)
-            .option("columnNameOfCorruptRecord", "_corrupt_record")
-            .schema(ddl)
-        )
-        if isinstance(path, str):  # a folder: pick the files; a list names them already
-            reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-        r = reader.load(path)
-        fields = [c for c in r.columns]
-        r = r.select(
-            F.struct(*fields).alias(name),
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("__blk"),
-            F.monotonically_increasing_id().alias("__mid"),
-        )
-        blocks = r.groupBy("path", "__blk").agg(F.min("__mid").alias("__m0"), F.count("*").alias("__n"))
-        earlier = Window.partitionBy("path").orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = blocks.select("path", "__blk", "__m0", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"))
-        idx = (F.col("__off") + F.col("__mid") - F.col("__m0")).cast("int")
-        return r.join(offsets, ["path", "__blk"]).select("path", idx.alias("tu_idx"), name)
+    @F.pandas_udf("string")
+    def decode(raw: pd.Series) -> pd.Series:
+        def one(b):
+            try:
+                return None if b is None else bytes(b).decode(encoding)
+            except UnicodeDecodeError:
+                return None
 
-    raw = scan(schemas.TU_RAW_DDL, "raw")
-    if inline == "raw":
-        parsed = raw
-    else:
-        parsed = raw.join(scan(schemas.TU_PARTS_DDL.replace(">>>>", ">>>>, _corrupt_record string"), "parts"), ["path", "tu_idx"])
-    return _segments(parsed, inline, on_error, keep_errors)
+        return raw.map(one)
+
+    return decode(content)
+
+
+def document_is_broken(text: Column) -> Column:
+    """Whether what surrounds the units of a document is no well-formed element."""
+    rest = F.regexp_replace(F.regexp_replace(text, TU_PATTERN, ""), _DOCTYPE, "")
+    parsed = F.from_xml(F.regexp_replace(rest, "^[\\ufeff\\s]+", ""), "_corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return F.coalesce(text.isNull() | ~rest.rlike(_ROOT) | parsed["_corrupt_record"].isNotNull(), F.lit(True))
 
 
-def tmx_units(files: DataFrame, *, encoding: str = "UTF-16LE", num_partitions: int | None = None) -> DataFrame:
-    """``(path, content)`` → ``(path, tu_idx, tu)``: each ``<tu>`` fragment in document order."""
-    text = F.decode("content", encoding)
-    units = files.select("path", F.posexplode(F.regexp_extract_all(text, F.lit(TU_PATTERN), 1)).alias("tu_idx", "tu"))
+def tmx_units(files: DataFrame, *, encoding: str = "UTF-16LE", num_partitions: int | None = None, check: bool = False) -> DataFrame:
+    """``(path, content)`` → ``(path, tu_idx, tu)``: each ``<tu>`` fragment in document order.
+    ``check`` raises on a malformed document."""
+    files = files.select("path", decoded(F.col("content"), encoding).alias("text"))
+    text = F.col("text")
+    if check:
+        text = F.when(document_is_broken(text), F.raise_error(F.concat(F.lit("malformed document: "), "path"))).otherwise(text)
+    found = F.filter(F.regexp_extract_all(text, F.lit(TU_PATTERN), 1), lambda x: x != "")
+    units = files.select("path", F.posexplode(found).alias("tu_idx", "tu"))
     tu = F.col("tu")
     units = units.withColumn(
         "tu", F.when(tu.contains("<!--") | tu.contains("<?"), F.regexp_replace(tu, NON_TEXT_PATTERN, "$1")).otherwise(tu)
@@ -213,8 +171,11 @@ def tmx_units(files: DataFrame, *, encoding: str = "UTF-16LE", num_partitions: i
 
 
 def tmx_errors(files: DataFrame, *, encoding: str = "UTF-16LE", num_partitions: int | None = None) -> DataFrame:
-    """Malformed units quarantined by :func:`parse_tmx`: ``(path, tu_idx, record)``."""
-    return parse_tmx(files, encoding=encoding, num_partitions=num_partitions, keep_errors=True)
+    """What :func:`parse_tmx` quarantines: ``(path, tu_idx, record)``, a malformed unit, or, with a
+    NULL ``tu_idx``, a malformed document around its units."""
+    units = parse_tmx(files, encoding=encoding, num_partitions=num_partitions, keep_errors=True)
+    broken = files.where(document_is_broken(decoded(F.col("content"), encoding)))
+    return units.unionByName(broken.select("path", F.lit(None).cast("int").alias("tu_idx"), F.lit("malformed document").alias("record")))
 
 
 def tuv_xml(lang: Column, seg_xml: Column) -> Column:
@@ -237,4 +198,4 @@ def write_tmx_bytes(units: DataFrame, *, encoding: str = "UTF-16LE", bom: bool =
     return docs.select("path", F.encode(F.concat(F.lit(header), "body", F.lit("\n</body></tmx>\n")), encoding).alias("content"))
 
 
-__all__ = ["read_tmx", "parse_tmx", "read_tmx_large", "read_tmx_segments", "tmx_units", "tmx_errors", "tuv_xml", "tu_xml", "write_tmx_bytes", "xml_escape"]
+__all__ = ["read_tmx", "parse_tmx", "read_tmx_segments", "tmx_units", "tmx_errors", "tuv_xml", "tu_xml", "write_tmx_bytes", "xml_escape"]
