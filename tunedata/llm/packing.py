@@ -16,7 +16,6 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +25,7 @@ WINDOW = 2048
 OPEN = 32  # open windows per partition
 END_ID = 1  # ends each document
 MERGE = 64  # partitions whose leftovers one task of a merge round packs together
-MEMO = 400_000  # chunks a worker remembers the ids of (bounds its memory, not the result)
+MEMO = 600_000  # chunks a worker remembers the ids of (bounds its memory, not the result)
 TOKENIZER = "word_bpe_49k.json"
 
 PIECES = (
@@ -57,8 +56,9 @@ class ChunkEncoder:
     pre-tokenizer does; the pieces repeat far more often than whole chunks.
     """
 
-    SPLIT = regex.compile(r"(\p{L}+)([!-&(-;=-@\[-`{-~]*)")
-    ONE_UNIT = regex.compile(r"[a-z]+|[!-&(-/:;=-@\[-`{-~]+")
+    # ASCII punctuation without the quote and ``<``: a run of it is one unit of the pre-tokenizer.
+    PUNCTUATION = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+    PUNCTUATION_BYTES = PUNCTUATION.encode()
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -69,32 +69,30 @@ class ChunkEncoder:
 
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[bytes, list[int]] = {}
         self.flat = np.zeros(1 << 16, np.uint32)  # ids of all chunks, one after another
         self.starts = np.zeros(1 << 14, np.int64)  # chunk k has flat[starts[k]:starts[k + 1]]
 
     def _learn(self, chunks: list[bytes]) -> None:
-        cut: list[list[str]] = []
+        cut: list[tuple[bytes, ...]] = []
+        parts, punctuation = self.parts, self.PUNCTUATION_BYTES
         for c in chunks:
-            s = c.decode("utf-8", "replace")
-            m = self.SPLIT.fullmatch(s)
-            if m and not any(map(str.isdigit, m[2])):
-                word = m[1].lower() if m[1].isascii() else "".join(c.lower() for c in m[1])
-                if len(word) == len(m[1]):
-                    cut.append([word, m[2]] if m[2] else [word])
-                    continue
-            cut.append([s])
-        for p in dict.fromkeys(p for ps in cut for p in ps if p not in self.parts):
-            # Lower-case letters or ASCII punctuation: one unit for the model.
-            if p.isascii():
-                unit = p if self.ONE_UNIT.fullmatch(p) else None
-            else:  # letters that the normaliser leaves as they are, spelt in the byte alphabet
-                plain = p.isalpha() and unicodedata.is_normalized("NFC", p) and all(c.lower() == c for c in p)
-                unit = "".join(map(_BYTE_LETTERS.__getitem__, p.encode())) if plain else None
-            if unit:
-                self.parts[p] = [t.id for t in self.model.tokenize(unit)]
+            word = c.rstrip(punctuation)
+            if (word.isalpha() and word.islower()) or not word:  # ASCII letters
+                ps = (word, c[len(word) :]) if len(word) < len(c) else (word,)
+                for p in ps:
+                    if p not in parts:
+                        parts[p] = [t.id for t in self.model.tokenize(p.decode())] if p else []
+            elif not word.isascii() and (s := word.decode("utf-8", "replace")).isalpha() and len(low := "".join(map(str.lower, s))) == len(s):
+                ps = (low.encode(), c[len(word) :])
+                for p in ps:
+                    if p not in parts:
+                        parts[p] = self._ids(p.decode())
             else:
-                self.parts[p] = self.encode([p], add_special_tokens=False)[0].ids
+                ps = (c,)
+                if c not in parts:
+                    parts[c] = self.encode([c.decode("utf-8", "replace")], add_special_tokens=False)[0].ids
+            cut.append(ps)
         first, ids, ends = len(self.index), [], []
         at = int(self.starts[first])
         for c, ps in zip(chunks, cut):
@@ -109,16 +107,28 @@ class ChunkEncoder:
         self.flat[at : at + len(ids)] = ids
         self.starts[first + 1 : len(self.index) + 1] = ends
 
+    def _ids(self, p: str) -> list[int]:
+        """Ids of lower-case letters or ASCII punctuation: one unit of the model, spelt in its byte
+        alphabet, unless the normaliser would change it."""
+        if not p:
+            return []
+        if p.isascii() or unicodedata.is_normalized("NFC", p) and all(c.lower() == c for c in p):
+            return [t.id for t in self.model.tokenize("".join(map(_BYTE_LETTERS.__getitem__, p.encode())))]
+        return self.encode([p], add_special_tokens=False)[0].ids
+
     def __call__(self, text: bytes) -> np.ndarray:
-        words = text.split()
+        # The normaliser lower-cases, but after special tokens are found in the text as it is.
+        words = (text if b"<|" in text else text.lower()).split()
         get = self.index.get
         idx = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-        if len(words) and idx.min() < 0:
+        missing = np.nonzero(idx < 0)[0]
+        if len(missing):
             if len(self.index) > MEMO:
                 self.forget()
-                get = self.index.get
-            self._learn(list(dict.fromkeys(w for w in words if w not in self.index)))
-            idx = np.fromiter(map(get, words), np.int64, len(words))
+                get, missing = self.index.get, np.arange(len(words))
+            new = [words[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            idx[missing] = np.fromiter(map(get, new), np.int64, len(new))
         at = self.starts[idx]
         n = self.starts[idx + 1] - at
         total = int(n.sum())
