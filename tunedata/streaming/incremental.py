@@ -18,7 +18,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from tunedata.operators import bitext
 from tunedata.session import scratch_path
-from tunedata.sources.tmx import parse_tmx
+from tunedata.sources.tmx import parse_tmx, tmx_errors
 
 BINARY_FILE = StructType(
     [
@@ -43,8 +43,14 @@ def stream_tmx_to_sft(
     max_tus: int | None = None,
     max_files_per_trigger: int | None = None,
     available_now: bool = True,
+    on_error: str = "quarantine",
+    errors: str | None = None,
 ) -> StreamingQuery:
-    """Turn every new TMX file under ``input_dir`` into prompt/completion JSON lines."""
+    """Turn every new TMX file under ``input_dir`` into prompt/completion JSON lines.
+
+    ``on_error`` as for ``parse_tmx``; malformed units and documents of each batch are written as
+    JSON lines under ``errors`` if that is given.
+    """
     reader = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE)
@@ -56,7 +62,9 @@ def stream_tmx_to_sft(
     files = reader.load(input_dir).select("path", "content")
 
     def run_batch(batch: DataFrame, epoch: int) -> None:
-        seg = parse_tmx(batch, encoding=encoding)
+        if errors:
+            tmx_errors(batch, encoding=encoding).write.mode("overwrite").json(f"{errors.rstrip('/')}/epoch={epoch}")
+        seg = parse_tmx(batch, encoding=encoding, on_error=on_error)
         pairs = bitext.tmx_to_pairs(seg, policy=policy, src_lang=src_lang, max_tus=max_tus)
         sft = bitext.to_sft(pairs, keep=["path", "tu_idx", "lang_pos"])
         sft.write.mode("overwrite").json(f"{output_dir.rstrip('/')}/epoch={epoch}")
