@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunedata.llm.common import read, ship_package
+from tunedata.llm.common import read, ship_package, small
 
 SAMPLE = 3000  # training documents per class
 ROUNDS = 200  # steps of the optimiser
@@ -170,17 +170,6 @@ def id_share(id_col: Column, parts: int) -> Column:
     return F.crc32(id_col.cast("bigint").cast("string").cast("binary")) % parts
 
 
-def _slices(texts: list[bytes]) -> Iterator[slice]:
-    i, held = 0, 0
-    for j, t in enumerate(texts):
-        held += len(t)
-        if held >= SLICE:
-            yield slice(i, j + 1)
-            i, held = j + 1, 0
-    if i < len(texts):
-        yield slice(i, len(texts))
-
-
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Trains on at most ``sample`` documents of each class among ``labels (doc_id, quality)``.
 
@@ -225,10 +214,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t.as_py() or b"" for t in b.column(1)]
-            parts = [score_texts(texts[s], model) for s in _slices(texts)]
-            cols = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(3)]
+        for b in small(batches, lambda b: b.column(1), SLICE):
+            cols = score_texts([t.as_py() or b"" for t in b.column(1)], model)
             kinds = [pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "score", "n_lines", "n_bad_lines"])
 
@@ -241,10 +228,9 @@ def filtered(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: st
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [(t.as_py() or "").encode() for t in b.column(text_col)]
-            parts = [score_texts(texts[s], model)[0] for s in _slices(texts)]
-            yield b.filter(pa.array(np.concatenate(parts) >= threshold if parts else [], pa.bool_()))
+        for b in small(batches, lambda b: b.column(text_col), SLICE):
+            texts = [t.as_py() or b"" for t in b.column(text_col).cast(pa.binary())]
+            yield b.filter(pa.array(score_texts(texts, model)[0] >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -26,12 +26,11 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunedata.llm.common import read, ship_package, written
+from tunedata.llm.common import read, ship_package, small, written
 
 LENGTH = 50  # bytes of a repeated string
 KEY = 24  # bytes of an anchor's string
@@ -537,8 +536,8 @@ def covered(n: int, pos: np.ndarray, mask: np.ndarray) -> np.ndarray:
 _CUT_DDL = "doc_id bigint, th bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+def _cut(batches: Iterator[pa.RecordBatch], as_text: bool = False) -> Iterator[pa.RecordBatch]:
+    for b in small(batches, lambda b: b.column("row").field("text")):
         rows, row, entries = [], b.column("row"), zip(b.column("found_th"), b.column("pos"), b.column("mask"))
         for doc_id, th, text, found in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), row.field("text"), entries):
             text = text.as_py() or b""
@@ -550,8 +549,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n_removed = int(gone.sum())
                 n_spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
                 text = np.frombuffer(text, np.uint8)[~gone].tobytes()
-            rows.append((doc_id, th, size, n_removed, n_spans, text))
-        names = [("doc_id", _B64), ("th", _B64), ("n_bytes", _B64), ("n_removed", _B64), ("n_spans", _B64), ("kept", _BIN)]
+            rows.append((doc_id, th, size, n_removed, n_spans, text.decode("utf-8", "ignore") if as_text else text))
+        names = [("doc_id", _B64), ("th", _B64), ("n_bytes", _B64), ("n_removed", _B64), ("n_spans", _B64), ("kept", pa.string() if as_text else _BIN)]
         out = _rows(rows, names)
         others = [f.name for f in row.type if f.name != "text"]
         if others:
@@ -560,6 +559,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
+def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _cut(batches, True)
+
+
 def _splitters(src: DataFrame, buckets: int) -> np.ndarray:
     """At most ``buckets - 1`` leading strings that cut a sample of the anchors evenly."""
     n = src.count()
@@ -578,6 +581,7 @@ def _splitters(src: DataFrame, buckets: int) -> np.ndarray:
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_least: int = HOT_LEAST, others: Sequence[str] = (),
+    as_text: bool = False,
 ) -> DataFrame:
     """``(doc_id, th, n_bytes, n_removed, n_spans, kept binary)``, one row per input row.
 
@@ -585,7 +589,8 @@ def remove_repeats(
     rows of the same id are no repeats of each other. A null text is empty; texts below 50 bytes
     keep everything; a null id counts as larger than all others. ``kept`` may cut a character
     in two, as strings are bytes. The columns named in ``others`` come along in a struct of that name;
-    columns not named are ignored. The splitters' sample and the most
+    columns not named are ignored. ``as_text``: ``kept`` is a string, without the bytes of characters
+    that a cut leaves incomplete. The splitters' sample and the most
     frequent anchors (at most 4096 numbers) are all that the driver sees.
     """
     spark = docs.sparkSession
@@ -618,21 +623,16 @@ def remove_repeats(
     verdicts = by_doc(contexts.mapInArrow(_compare(buckets), _VERDICT_DDL)).withColumnRenamed("th", "found_th")
     both = texts.join(verdicts, F.col("k") == F.col("d"), "left").select("doc_id", "th", "row", "found_th", "pos", "mask")
     fields = ", ".join(f"c{i}: {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
-    ddl = _CUT_DDL + (f", others struct<{fields}>" if others else "")
-    return both.mapInArrow(_cut, ddl)
+    ddl = (_CUT_DDL.replace("kept binary", "kept string") if as_text else _CUT_DDL) + (f", others struct<{fields}>" if others else "")
+    return both.mapInArrow(_cut_text if as_text else _cut, ddl)
 
 
 def deduplicated(docs: DataFrame, text_col: str = "text", hot_least: int = HOT_LEAST) -> DataFrame:
     """``docs`` with its texts cut; all rows and other columns stay as they are. Bytes of a character
     that a cut leaves incomplete go too; a null text becomes empty."""
     others = [c for c in docs.columns if c != text_col]
-    cut = remove_repeats(docs, "doc_id", text_col, hot_least, others)
-
-    @F.pandas_udf("string")
-    def text(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    named = {c: F.col(f"others.c{i}").alias(c) for i, c in enumerate(others)} | {text_col: text("kept").alias(text_col)}
+    cut = remove_repeats(docs, "doc_id", text_col, hot_least, others, as_text=True)
+    named = {c: F.col(f"others.c{i}").alias(c) for i, c in enumerate(others)} | {text_col: F.col("kept").alias(text_col)}
     return cut.select(*[named[c] for c in docs.columns])
 
 
