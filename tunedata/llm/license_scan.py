@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunedata.llm.common import read
+from tunedata.llm.common import read, written
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -95,7 +95,8 @@ def scan(
     reaches = sorted(r.reach for r in t.select("reach").distinct().collect())
     known = [r[0] for r in known]
     has = lambda a: F.exists(a, lambda x: x.isin(known))
-    d = docs.select(F.col(id_col).alias("doc_id"), shingles(F.col(text_col)).alias("sh")).where(has(F.col("sh")))
+    # Written, as each length of window reads it: the texts are read and hashed once.
+    d = written(docs.select(F.col(id_col).alias("doc_id"), shingles(F.col(text_col)).alias("sh")).where(has(F.col("sh"))), "license-shingles")
     cut = []
     for reach in reaches:
         starts = F.sequence(F.lit(0), F.size("sh") - 1, F.lit(reach))
