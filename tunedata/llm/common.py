@@ -7,12 +7,12 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunedata.session import scratch_path, ship_package
 
-__all__ = ["ASCII_SPACE", "WORD", "components", "grouped", "read", "scratch_path", "ship_package", "small", "written"]
+__all__ = ["ASCII_SPACE", "WORD", "components", "grouped", "read", "row_key", "scratch_path", "ship_package", "small", "written"]
 
 #: The contracts' word pattern and white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,6 +32,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(df: DataFrame) -> Column:
+    """SHA-256 of all columns: equal for rows that are equal in all of them."""
+    return F.sha2(F.to_json(F.struct(*df.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}), 256)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges (a long, b long)`` -> ``(node long, component long)``,
     the component being the smallest node id of it. Nodes without an edge are not returned.
