@@ -81,3 +81,16 @@ def test_validate_and_vocab_size(spark):
     docs = spark.createDataFrame([("a a a b b c d",)], "text string")
     v = sft.build_vocab(docs, ["text"], 5).orderBy("id").collect()
     assert [(x.token, x.id) for x in v] == [("<unk>", 0), ("<s>", 1), ("</s>", 2), ("a", 3), ("b", 4)]
+
+
+def test_every_token_has_an_id(spark):
+    """No token of the corpus becomes <unk>, and ids and order survive any split into hot and rare."""
+    texts = [" ".join(f"w{j}" for j in range(i, i + 40)) + " the the" for i in range(0, 4000, 8)] + ["", None, "the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    numbered = sft.number_tokens(docs, ["text"])
+    table = {r.token: r.id for r in numbered.collect()}
+    assert sorted(table.values()) == list(range(len(table))) and len(table) > 4000 and table["the"] == 3
+    want = {k: [table[t] for t in py_tokens(x or "")] for k, x in enumerate(texts)}
+    for hot in (0, 5, 100_000):
+        got = sft.encode_all(docs, {"ids": sft.word_tokens("text")}, numbered, hot=hot).collect()
+        assert {r.k: r.ids for r in got} == want and sft.UNK_ID not in {i for r in got for i in r.ids}

@@ -9,6 +9,7 @@ batching - is array expressions.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -20,7 +21,8 @@ from pyspark.sql import Window
 
 from tunedata.functions.text import INST_CLOSE, INST_OPEN, iso2, word_tokens
 from tunedata.operators.bitext import render_prompt
-from tunedata.plans.rank import rank_by_key
+from tunedata.plans.rank import exact_rank, rank_by_key
+from tunedata.session import scratch_path
 
 # Special tokens and their ids; padding uses the end-of-sequence id.
 UNK, BOS, EOS = "<unk>", "<s>", "</s>"
@@ -121,12 +123,21 @@ def encoder(vocab: DataFrame, max_size: int) -> Callable[[Column, bool], Column]
     return enc
 
 
-def _first(enc: Callable, text: Column, add_bos: bool, length: int) -> Column:
-    """The first ids of a text, by the short way if the encoder has one."""
+JOINED = object()  # in place of an encoder: ids of column c are joined already, in __ids_c
+
+
+def _first(enc: Callable, text: str, add_bos: bool, length: int) -> Column:
+    """The first ids of a text column, by the short way if the encoder has one."""
+    if enc is JOINED:
+        ids = F.slice(F.col(f"__ids_{text}"), 1, length - add_bos)
+        return F.concat(F.array(F.lit(BOS_ID)), ids) if add_bos else ids
+    text = F.col(text)
     return enc.first(text, add_bos, length) if hasattr(enc, "first") else truncate(enc(text, add_bos), length)
 
 
 def _count(enc: Callable, text: Column, add_bos: bool) -> Column:
+    if enc is JOINED:
+        return F.size(word_tokens(text)) + int(add_bos)
     return enc.count(text, add_bos) if hasattr(enc, "count") else F.size(enc(text, add_bos))
 
 
@@ -156,6 +167,55 @@ def encode_join(
     return out.withColumn(out_col, got.cast("array<int>")).drop("__ids")
 
 
+HOT_TOKENS = 4096  # most frequent tokens, looked up by broadcast (4,096 rows whatever the corpus)
+
+
+def number_tokens(df: DataFrame, cols: Sequence[str], specials: Sequence[str] = SPECIALS) -> DataFrame:
+    """``(token, id, freq)`` of every token of the text columns, without a size limit: the specials
+    first, then by frequency (ties by token), as in :func:`build_vocab`.
+
+    The ids are places in a range sort written once (:func:`tunedata.plans.rank.exact_rank`).
+    """
+    words = F.explode(F.concat(*[F.coalesce(word_tokens(c), F.array().cast("array<string>")) for c in cols]))
+    counts = df.select(words.alias("token")).where(~F.col("token").isin(*specials)).groupBy("token").agg(F.count("*").alias("freq"))
+    ranked = exact_rank(counts, [F.desc("freq"), "token"])
+    ranked = ranked.select("token", (F.col("rank") - 1 + len(specials)).cast("int").alias("id"), F.col("freq").cast("bigint").alias("freq"))
+    head = df.sparkSession.createDataFrame([(s, i, 0) for i, s in enumerate(specials)], "token string, id int, freq bigint")
+    return head.unionByName(ranked)
+
+
+def encode_all(df: DataFrame, tokens: dict[str, Column], numbered: DataFrame, *, hot: int = HOT_TOKENS) -> DataFrame:
+    """``df`` plus, for each ``name: array of tokens``, the array ``name`` of their ids, whatever the
+    number of distinct tokens. ``numbered``: :func:`number_tokens`.
+
+    Tokens are joined to their ids by a shuffle join; the ``hot`` smallest ids, which are the most
+    frequent tokens, are broadcast apart, so no key of the shuffle join holds a large share of the rows.
+    A token that ``numbered`` does not have gets ``UNK_ID``.
+    """
+    spark = df.sparkSession
+    names = list(tokens)
+    path = scratch_path(spark, "encode-rows")
+    df.select("*", *[c.alias(f"__t_{n}") for n, c in tokens.items()], F.monotonically_increasing_id().alias("__row")).write.parquet(path)
+    base = spark.read.parquet(path)  # written: a row's number is fixed only then
+    each = [
+        base.select("__row", F.lit(k).cast("tinyint").alias("__k"), F.posexplode(f"__t_{n}").alias("__pos", "token"))
+        for k, n in enumerate(names)
+    ]
+    toks = functools.reduce(DataFrame.unionByName, each)
+    ids = numbered.select("token", "id")
+    top = ids.where(F.col("id") < hot).select("token", F.col("id").alias("__hot"))
+    toks = toks.join(F.broadcast(top), "token", "left")
+    found = toks.where("__hot IS NOT NULL").select("__row", "__k", "__pos", F.col("__hot").alias("id"))
+    rare = toks.where("__hot IS NULL").drop("__hot").join(ids.where(F.col("id") >= hot), "token", "left")
+    found = found.unionByName(rare.select("__row", "__k", "__pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
+    pairs = [F.array_sort(F.collect_list(F.when(F.col("__k") == k, F.struct("__pos", "id")))) for k in range(len(names))]
+    got = found.groupBy("__row").agg(*[F.transform(p, lambda x: x["id"]).alias(n) for n, p in zip(names, pairs)])
+    out = base.drop(*[f"__t_{n}" for n in names]).join(got, "__row", "left").drop("__row")
+    for n in names:
+        out = out.withColumn(n, F.coalesce(F.col(n), F.array().cast("array<int>")))
+    return out
+
+
 # ---------------------------------------------------------------- shaping
 
 
@@ -205,7 +265,7 @@ def tokenize_sft(
     if mode in ("prompt_masked", "prompt_masked_bos", "collated", "intended"):
         chat = chat_template(df, prompt, completion)
         user_bos = mode in ("prompt_masked_bos", "intended")
-        full = _first(enc, F.col("full_text"), True, L)
+        full = _first(enc, "full_text", True, L)
         n_user = F.least(_count(enc, F.col("user_text"), user_bos), F.lit(L))
         tmp = chat.select(*keep, pad(full, L).alias("input_ids"), attention(full, L).alias("attention_mask"), n_user.alias("__u"))
         ids = F.col("input_ids")
@@ -217,17 +277,28 @@ def tokenize_sft(
             labels = mask_prefix(ids, F.col("__u"))
         return tmp.select(*keep, "input_ids", "attention_mask", labels.alias("labels"))
     if mode == "seq2seq":
-        p, c = _first(enc, F.col(prompt), True, L), _first(enc, F.col(completion), True, L)
+        p, c = _first(enc, prompt, True, L), _first(enc, completion, True, L)
         return df.select(*keep, pad(p, L).alias("input_ids"), attention(p, L).alias("attention_mask"), mask_value(pad(c, L), PAD_ID).alias("labels"))
     if mode == "seq2seq_pad100":
         def enc_or_pad(c: str) -> Column:
-            return F.when(F.coalesce(F.col(c), F.lit("")) == "", F.array(F.lit(PAD_ID))).otherwise(_first(enc, F.col(c), True, L))
+            return F.when(F.coalesce(F.col(c), F.lit("")) == "", F.array(F.lit(PAD_ID))).otherwise(_first(enc, c, True, L))
 
         p, c = enc_or_pad(prompt), enc_or_pad(completion)
         return df.select(*keep, pad(p, L).alias("input_ids"), pad(c, L, IGNORE).alias("labels"))
     raise ValueError(f"mode={mode!r}; one of {LABEL_MODES}")
 
 
+def tokenize_all(
+    df: DataFrame, numbered: DataFrame, mode: str = "prompt_masked", max_length: int = 256, *,
+    prompt: str = "prompt", completion: str = "completion", keep: Sequence[str] = (),
+) -> DataFrame:
+    """:func:`tokenize_sft` with the ids of ``numbered`` (:func:`number_tokens`), whatever its size."""
+    cols = [prompt, completion] if mode.startswith("seq2seq") else ["full_text"]
+    # Tokens beyond the length are cut before the look-up.
+    tokens = {f"__ids_{c}": F.slice(word_tokens(c), 1, max_length) for c in cols}
+    return tokenize_sft(encode_all(chat_template(df, prompt, completion), tokens, numbered), JOINED, mode, max_length, prompt=prompt, completion=completion, keep=keep)
+
+
 # ---------------------------------------------------------------- checks, tables, batches
 
 

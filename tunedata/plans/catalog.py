@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunedata.functions.text import extract_reply, format_score, tok_13a, ustrip
+from tunedata.functions.text import extract_reply, format_score, tok_13a, ustrip, word_tokens
 from tunedata.operators.batches import map_batches
 from tunedata.operators import bitext, inference, metrics, sft, splits, stats
 from tunedata.plans.corpus import bitext_tmx, conversation_pairs, spread, table
@@ -290,6 +290,59 @@ for _mode in sft.LABEL_MODES:
     _label_query(_mode)
 
 
+# ---------------------------------------------------------------- the same with every token numbered
+
+
+def _all_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sft.number_tokens(table(spark, sf_dir, "documents"), ["text"])
+
+
+@query
+def encode_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``encode`` with an id for every token of the corpus."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = sft.encode_all(docs, {"ids": word_tokens("text")}, _all_tokens(spark, sf_dir))
+    ids = F.concat(F.array(F.lit(sft.BOS_ID)), "ids")
+    return got.select("doc_id", F.size(ids).cast("bigint").alias("n_ids"), F.array_join(ids, " ").alias("ids"))
+
+
+@query
+def pad_mask_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.slice(word_tokens("text"), 1, 255).alias("t"))
+    got = sft.encode_all(docs, {"ids": F.col("t")}, _all_tokens(spark, sf_dir))
+    ids = F.concat(F.array(F.lit(sft.BOS_ID)), "ids")
+    return got.select("doc_id", F.array_join(sft.pad(ids, 256), " ").alias("input_ids"), F.array_join(sft.attention(ids, 256), " ").alias("attention_mask"))
+
+
+def tokenised_all(spark: SparkSession, sf_dir: str, mode: str, examples: DataFrame | None = None) -> DataFrame:
+    examples = sft_jsonl(spark, sf_dir) if examples is None else examples
+    numbered = sft.number_tokens(sft.chat_template(examples), ["full_text"])
+    length = 128 if mode.startswith("seq2seq") else 256
+    keep = [c for c in examples.columns if c not in ("prompt", "completion")]
+    return sft.tokenize_all(examples, numbered, mode, length, keep=keep)
+
+
+def _label_all_query(mode: str):
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _joined(tokenised_all(spark, sf_dir, mode))
+
+    q.__name__ = f"labels_{mode}_all"
+    return query(q)
+
+
+for _mode in sft.LABEL_MODES:
+    _label_all_query(_mode)
+
+
+@query
+def training_table_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    examples = splits.split_head_tail(sft_jsonl(spark, sf_dir), KEYS, 0.8).drop("pos")
+    split = tokenised_all(spark, sf_dir, "intended", examples)
+    out = scratch_path(spark, "training-table")
+    sft.to_training_table(split, out, 256)
+    return _joined(spark.read.parquet(out)).select(*KEYS, "split", "input_ids", "attention_mask", "labels")
+
+
 @query
 def token_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sft.validate_tokens(tokenised(spark, sf_dir, "prompt_masked"), 256, ("input_ids", "attention_mask", "labels"))

@@ -411,3 +411,8 @@ ORACLES["split_with_null_and_outlier_keys"] = """
 WITH d AS (SELECT CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id = 1 THEN 1152921504606846976 ELSE doc_id END AS k, doc_id FROM documents),
 r AS (SELECT *, row_number() OVER (ORDER BY k NULLS FIRST, doc_id) AS pos, count(*) OVER () AS n FROM d)
 SELECT k, doc_id, pos, CASE WHEN pos <= floor(CAST(0.8 AS DOUBLE) * n) THEN 'train' ELSE 'valid' END AS split FROM r"""
+
+# Every token numbered: the same SQL without the limit of the vocabulary.
+for _name in ("encode", "pad_mask", "training_table", *(f"labels_{_m}" for _m in ("prompt_masked", "prompt_masked_bos", "collated", "intended", "seq2seq", "seq2seq_pad100"))):
+    _size = 5000 if _name in ("encode", "pad_mask") else 2000
+    ORACLES[f"{_name}_all"] = ORACLES[_name].replace(f" QUALIFY row_number() OVER (ORDER BY freq DESC, token) <= {_size - 3}", "")
