@@ -91,3 +91,19 @@ def test_rows_without_an_id(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (None, "a b c d"), (None, "x y z w"), (None, "x y z w"), (2, "q")], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.text) for r in simhash.deduplicated(docs).collect())
     assert got == [("1", "a b c d"), ("2", "q"), ("None", "x y z w")]
+
+
+def test_near_copies_without_an_id_and_texts_that_share_one(spark):
+    """Rows without an id link within the radius like others, and a repeated id loses no text."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(999)}" for _ in range(3000)]
+    near = next(  # a copy with one word changed, at one or two bits
+        t for k in range(len(words)) for t in [" ".join([*words[:k], "zz", *words[k + 1 :]])] if 1 <= (brute_fp(t) ^ brute_fp(" ".join(words))).bit_count() <= 2
+    )
+    text, other = " ".join(words), "some text of its own altogether"
+    only = spark.createDataFrame([(None, text), (None, near), (None, other)], "doc_id long, text string")
+    assert sorted(r.text == other for r in simhash.deduplicated(only).collect()) == [False, True]
+    beside = spark.createDataFrame([(4, text), (None, near), (3, other), (3, "a second text of id three")], "doc_id long, text string")
+    assert sorted(r.component_id for r in simhash.simhash_components(beside).collect()) == [3, 3, 4, 4]
+    got = {(r.doc_id, r.text) for r in simhash.deduplicated(beside).collect()}
+    assert got == {(4, text), (3, other), (3, "a second text of id three")}

@@ -15,13 +15,12 @@ from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunedata.llm.common import components, grouped, read, ship_package, written
+from tunedata.llm.common import components, grouped, read, row_key, ship_package, written
 
 SHINGLE = 3
 RADIUS = 2
@@ -50,17 +49,21 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp long)``; ``fp`` holds the 64 bits as a signed long. A null text has no words."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """``(doc_id, fp long)``, and ``key`` from ``key_col`` if given; ``fp`` holds the 64 bits as a signed
+    long. A null text has no words."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py() or b"", shingle) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *key])
 
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return src.mapInArrow(run, "doc_id bigint, fp bigint")
+    key = ["key"] if key_col else []
+    src = docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *[F.col(key_col).alias(k) for k in key]
+    )
+    return src.mapInArrow(run, "doc_id bigint, fp bigint" + (", key string" if key else ""))
 
 
 def _reach(radius: int) -> list[tuple[int, ...]]:
@@ -157,36 +160,39 @@ def links(classes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
     return tasks.mapInArrow(run, "a bigint, b bigint")
 
 
+def _roots(fps: DataFrame, radius: int) -> DataFrame:
+    """``(fp, root)``, one row per distinct fingerprint: ``root`` is the smallest fingerprint of its
+    component. A fingerprint is its own node, so rows without an id link like any other."""
+    nodes = written(fps.select("fp").distinct(), "simhash-classes")
+    comp = components(links(nodes.select("fp", F.col("fp").alias("node")), radius))
+    return nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, **cols: str) -> DataFrame:
     """``(doc_id, fp long, component_id long)``, one row per input row.
 
     Null and blank texts have fingerprint zero and link like any other; equal fingerprints are one
-    class, whose smallest doc_id stands for it; a null doc_id gets the component of its class
-    (null if the class has no other id). Other columns are ignored.
+    class. ``component_id`` is the smallest doc_id of the component, also for its rows without an id
+    (null if the component has no id). Other columns are ignored.
     """
     fps = written(fingerprints(docs, shingle, **cols), "simhash-fp")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-classes")
-    comp = components(links(classes.where("node IS NOT NULL"), radius))
-    merged = classes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(merged, "fp")
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
+    classes = written(_roots(fps, radius).join(least, "fp"), "simhash-roots")
+    # written: a join with a plain table, which AQE may split or broadcast by measured size
+    lowest = written(classes.groupBy("root").agg(F.min("node").alias("component_id")), "simhash-lowest")
+    return fps.join(classes.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, one row per id. Of rows
-    without an id, one stays for each fingerprint that no row with an id has."""
-    got = simhash_components(docs, shingle, radius)
-    kept = got.where("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    ship_package(docs.sparkSession)
-
-    @F.pandas_udf("bigint")
-    def fp(text: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint((t or "").encode(), shingle) for t in text], np.uint64).view(np.int64))
-
-    no_id = docs.where("doc_id IS NULL").withColumn("simhash_fp", fp("text"))
-    taken = got.where("doc_id IS NOT NULL").select(F.col("fp").alias("simhash_fp")).distinct()
-    no_id = no_id.join(taken, "simhash_fp", "left_anti").dropDuplicates(["simhash_fp"])
-    return with_id.unionByName(no_id.select(*with_id.columns))
+    """One row of ``docs`` per component: that with the smallest id; rows without an id come last, and
+    ties are decided by the fingerprint and the hash of the row."""
+    keyed = docs.withColumn("simhash_key", row_key(docs))
+    fps = written(fingerprints(keyed, shingle, key_col="simhash_key"), "simhash-fp")
+    least = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x"))
+    classes = _roots(fps, radius).join(least, "fp")
+    best = classes.groupBy("root").agg(F.min(F.struct("x.none", "x.doc_id", "fp", "x.key")).alias("x"))
+    kept = keyed.join(best.select(F.col("x.key").alias("simhash_key")), "simhash_key", "left_semi")
+    return kept.dropDuplicates(["simhash_key"]).select(*docs.columns)
 
 
 def hex16(fp: Column) -> Column:
