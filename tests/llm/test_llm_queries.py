@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_has_one_query():
     names = entry.queries()
-    assert sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 14))
     assert "pipeline" in names
 
 
