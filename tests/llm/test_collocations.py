@@ -1,6 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tunedata.llm import collocations as C
@@ -58,18 +59,35 @@ def test_other_lengths_and_top(spark, longest):
 def test_long_texts_are_cut_between_words(monkeypatch):
     monkeypatch.setattr(C, "SLICE", 7)
     text = b"ab cd ef gh ij kl mn op qr st uv wx yz ab cd ef. ab cd ef, " * 3
+    want = Counter()
+    for piece in re.split(rb"[.,]", text) + [b"zz"]:
+        w = piece.split()
+        want.update((tuple(w[i : i + 3]) + (b"", b""))[:3] for i in range(len(w)))
     for limit in (1, 5, 17, 10**6):
-        counter, got = C.WindowCounter(3, limit), Counter()
+        counter, groups = C.WindowCounter(3, 4, limit), {}
         for b in [*counter.add("x", text), *counter.add("x", b"zz"), *counter.flush()]:
             for r in b.to_pylist():
-                got[r["w1"], r["w2"], r["w3"]] += r["n"]
-        want = Counter()
-        for piece in re.split(rb"[.,]", text) + [b"zz"]:
-            w = piece.split()
-            want.update((tuple(w[i : i + 3]) + (b"", b""))[:3] for i in range(len(w)))
+                groups.setdefault(r["part"], C.Group(3, 1, limit)).add(r["names"], r["codes"], r["n"])
+        got = Counter()
+        for g in groups.values():
+            for b in g.rows("x"):
+                for r in b.to_pylist():
+                    got[r["w1"], r["w2"], r["w3"]] += r["n"]
         assert got == want
 
 
+def test_unique_rows():
+    rng = np.random.default_rng(0)
+    cols, n = [rng.integers(0, 4, 200) for _ in range(3)], rng.integers(1, 9, 200)
+    want = Counter()
+    for *key, v in zip(*cols, n):
+        want[tuple(key)] += v
+    for base in (4, 1 << 40):
+        got, total = C.unique_rows(cols, n, base)
+        assert list(zip(*(c.tolist() for c in got))) == sorted(want) and total.tolist() == [want[k] for k in sorted(want)]
+    assert len(C.unique_rows([c[:0] for c in cols], n[:0], 4)[1]) == 0
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "text string, lang string")
     assert C.top(C.collocations(docs)).collect() == []

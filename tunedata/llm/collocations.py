@@ -5,13 +5,16 @@ piece (lead columns), padded where the piece ends. Each shorter phrase is a pref
 that start with it, so its count is the sum of theirs: one ROLLUP over the window's columns gives
 all orders, where a separate explosion per order would move every word once for each.
 
-Windows are counted in their tasks first (words coded by a dictionary of the task), so what is shuffled
-are distinct windows, however frequent a word, phrase or language is. A window that is too rare to be a
-candidate gives its count to its prefixes only. Counts, products and scores are integers.
+Windows are counted in their tasks first, so that a frequent word, phrase or language is no hot key, and
+travel in packs of coded columns, one per task, language and group of first two words. In its group a
+window's count is whole, and so are those of its prefixes of two words or more: a prefix that is too rare
+to be a candidate is padded, which leaves its count to the shorter ones. What remains enters the ROLLUP,
+which sums over the groups. Counts, products and scores are integers.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,6 +31,7 @@ INSIDE = 50  # per cent of a candidate's occurrences that lie in one longer cand
 TOP = 2000  # phrases per language
 WORDS = 4_000_000  # words that a task counts together, so that its memory is bounded
 SLICE = 4 << 20  # bytes of a text that are split together
+GROUP = 32 << 20  # bytes of text whose windows make up a group, on average
 SALT = 64  # parts of a language that are cut to the top on their own
 
 # A-Z in lower case, the ends of pieces as line feeds, tabs as blanks (fixed values of the contract).
@@ -35,12 +39,35 @@ _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcd
 _END = b"."  # stands for the end of a piece: no word holds it
 
 
+def unique_rows(cols: list[np.ndarray], n: np.ndarray, base: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of columns of codes below ``base``, ascending, with their ``n`` added up."""
+    if base ** len(cols) < 1 << 63:
+        key = cols[0]
+        for c in cols[1:]:
+            key = key * base + c
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = key[1:] != key[:-1]
+    else:
+        order = np.lexsort(cols[::-1])
+        new = np.zeros(max(len(order) - 1, 0), bool)
+        for c in cols:
+            new |= c[order][1:] != c[order][:-1]
+    first = np.concatenate(([True], new))[: len(order)].nonzero()[0]
+    return [c[order[first]] for c in cols], np.add.reduceat(n[order], first) if len(first) else n[:0]
+
+
+def _pack(names: list[bytes], cols: list[np.ndarray]) -> tuple[bytes, bytes]:
+    """The words in use, the pad first, and the columns in codes of these."""
+    used, codes = np.unique(np.concatenate([[0], *cols]), return_inverse=True)
+    return b" ".join(names[k] for k in used.tolist()), codes[1:].astype("<i4").tobytes()
+
+
 class WindowCounter:
-    """Counts of the padded windows of ``longest`` words, per language."""
+    """Packs ``(part, lang, names, codes, n)`` of the padded windows of ``longest`` words and their counts."""
 
-    def __init__(self, longest: int, limit: int = WORDS):
-        self.longest, self.limit = longest, limit
-        self.most = int(2 ** (62 / longest))  # words of the dictionary, so that a window is one integer
+    def __init__(self, longest: int, parts: int = 1, limit: int = WORDS):
+        self.longest, self.parts, self.limit = longest, parts, limit
         self._reset()
 
     def _reset(self) -> None:
@@ -61,7 +88,7 @@ class WindowCounter:
             at = cut
             if self._full() and at < len(text):
                 # The last words of the slice start windows that end in the next one.
-                kept = np.concatenate(self.held[lang])[-(self.longest - 1) or self.size :]
+                kept = np.concatenate(self.held[lang])[1 - self.longest :]
                 names = list(self.codes)
                 carried = [names[k] for k in kept.tolist()]
                 yield from self.flush(lang, len(carried))
@@ -71,66 +98,125 @@ class WindowCounter:
             yield from self.flush()
 
     def _full(self) -> bool:
-        return self.size >= self.limit or len(self.codes) > self.most // 2 or self.bytes > 16 * SLICE
+        return self.size >= self.limit or self.bytes > 16 * SLICE
 
     def _take(self, lang: str, words: list[bytes]) -> None:
         self.held[lang].append(np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words)))
         self.size += len(words)
 
     def flush(self, open_lang: str | None = None, carried: int = 0) -> Iterator[pa.RecordBatch]:
-        """Batches ``(lang, w1, .., n)`` of what is held, in order; the last ``carried`` words of
-        ``open_lang`` start no window yet."""
+        """What is held, in order; the last ``carried`` words of ``open_lang`` start no window yet."""
         names = [b"", *list(self.codes)[1:]]  # the end of a piece pads
-        order = sorted(range(len(names)), key=names.__getitem__)
-        rank = np.empty(len(names), np.int64)
-        rank[order] = np.arange(len(names))
-        names = pa.array([names[k] for k in order], pa.binary())
-        base = len(names)
+        mix = np.fromiter(map(zlib.crc32, names), np.uint64, len(names))
         for lang in sorted(self.held):
-            first = rank[np.concatenate(self.held[lang])]
+            first = np.concatenate(self.held[lang])
             starts = len(first) - (carried if lang == open_lang else 0)
-            key, last = first.copy(), first
+            cols = [first]
             for k in range(1, self.longest):
                 lead = np.zeros_like(first)
                 lead[:-k] = first[k:]
-                lead[last == 0] = 0
-                key, last = key * base + lead, lead
-            key, n = np.unique(key[:starts][first[:starts] > 0], return_counts=True)
-            for i in range(0, len(key), 1 << 16):
-                rest, cols = key[i : i + (1 << 16)], []
-                for _ in range(self.longest):
-                    rest, code = np.divmod(rest, base)
-                    cols.append(names.take(pa.array(code)))
-                count = n[i : i + (1 << 16)].astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(count), pa.string()), *cols[::-1], pa.array(count)],
-                    ["lang", *(f"w{k + 1}" for k in range(self.longest)), "n"],
-                )
+                lead[cols[-1] == 0] = 0
+                cols.append(lead)
+            own = first[:starts] > 0
+            cols, n = unique_rows([c[:starts][own] for c in cols], np.ones(own.sum(), np.int64), len(names))
+            part = ((mix[cols[0]] * np.uint64(0x9E3779B1) + mix[cols[1]]) % np.uint64(self.parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            ends = np.searchsorted(part[order], np.arange(self.parts + 1))
+            for p in np.unique(part).tolist():
+                at = order[ends[p] : ends[p + 1]]
+                row = [p, lang, *_pack(names, [c[at] for c in cols]), n[at].astype("<i4").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _PACK_TYPES)], _PACK_NAMES)
         self._reset()
 
 
-def windows(docs: DataFrame, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(lang, w1, .., n)``: windows counted per task; pads are empty."""
-    ship_package(docs.sparkSession)
+_PACK_NAMES = ["part", "lang", "names", "codes", "n"]
+_PACK_TYPES = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+
+
+class Group:
+    """The windows of a group, put together from packs."""
+
+    def __init__(self, longest: int, least: int, limit: int = WORDS):
+        self.longest, self.least, self.limit = longest, least, limit
+        self.codes: dict[bytes, int] = {b"": 0}
+        self.cols, self.n, self.size = [[] for _ in range(longest)], [], 0
+
+    def add(self, names: bytes, codes: bytes, n: bytes) -> None:
+        own = np.array([self.codes.setdefault(w, len(self.codes)) for w in names.split(b" ")], np.int64)
+        for held, c in zip(self.cols, np.split(own[np.frombuffer(codes, "<i4")], self.longest)):
+            held.append(c)
+        self.n.append(np.frombuffer(n, "<i4").astype(np.int64))
+        self.size += len(self.n[-1])
+        if self.size > self.limit:
+            self._merge()
+            self.limit = max(self.limit, 2 * self.size)
+
+    def _merge(self) -> None:
+        cols, n = unique_rows([np.concatenate(c) for c in self.cols], np.concatenate(self.n), len(self.codes))
+        self.cols, self.n, self.size = [[c] for c in cols], [n], len(n)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = WindowCounter(longest)
+    def rows(self, lang: str) -> Iterator[pa.RecordBatch]:
+        """The windows, prefixes of two words or more that are too rare padded."""
+        self._merge()
+        cols, n = [c[0] for c in self.cols], self.n[0]
+        new = np.zeros(len(n), bool)
+        new[:1] = True
+        padded = [c.copy() for c in cols]
+        for k in range(self.longest):
+            new[1:] |= cols[k][1:] != cols[k][:-1]
+            if k:
+                f = np.add.reduceat(n, new.nonzero()[0])[np.cumsum(new) - 1]
+                for c in padded[k:]:
+                    c[f < self.least] = 0
+        cols, n = unique_rows(padded, n, len(self.codes))
+        names = pa.array(list(self.codes), pa.binary())
+        for i in range(0, len(n), 1 << 16):
+            some = [names.take(pa.array(c[i : i + (1 << 16)])) for c in cols]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some[0]), pa.string()), *some, pa.array(n[i : i + (1 << 16)])], ["lang", *_names(self.longest), "n"])
+
+
+def _names(longest: int) -> list[str]:
+    return [f"w{k + 1}" for k in range(longest)]
+
+
+def windows(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``(lang, w1, .., n)``: counts of windows (pads are empty). Rows add up to every prefix's count;
+    prefixes of two words or more seen less than ``least`` times are padded."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    src = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text"))
+    size = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = WindowCounter(longest, parts)
         for b in small(batches, lambda b: b.column(1)):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
                 yield from counter.add(lang, text.as_py() or b"")
         yield from counter.flush()
 
-    src = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    return src.mapInArrow(run, "lang string, " + "".join(f"w{k + 1} binary, " for k in range(longest)) + "n bigint")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, None
+        for b in batches:
+            for part, lang, *pack in zip(*(c.to_pylist() for c in b.columns)):
+                if (part, lang) != key:
+                    if group:
+                        yield from group.rows(key[1])
+                    key, group = (part, lang), Group(longest, least)
+                group.add(*pack)
+        if group:
+            yield from group.rows(key[1])
+
+    packs = src.mapInArrow(count, "part bigint, lang string, names binary, codes binary, n binary")
+    packs = packs.repartition(parts, "part").sortWithinPartitions("part", "lang")
+    return packs.mapInArrow(merge, "lang string, " + "".join(f"{c} binary, " for c in _names(longest)) + "n bigint")
 
 
 def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, **kw) -> DataFrame:
     """``(lang, k, words, phrase, f)``: every phrase of up to ``longest`` words that occurs ``least`` times
     or more, and with ``k`` 0 each language's number of words."""
-    names = [f"w{k + 1}" for k in range(longest)]
-    counted = windows(docs, longest, **kw).groupBy("lang", *names).agg(F.sum("n").alias("n"))
-    # A rare longest window is no candidate: it counts for its prefixes under one pad.
-    counted = counted.withColumn(names[-1], F.when(F.col("n") >= least, F.col(names[-1])).otherwise(F.lit(b"")))
+    names = _names(longest)
+    counted = windows(docs, longest, least, **kw)
     rolled = docs.sparkSession.sql(
         f"SELECT lang, {', '.join(names)}, SUM(n) AS f FROM {{counted}} GROUP BY lang, ROLLUP({', '.join(names)}) "
         f"HAVING f >= {int(least)} OR w1 IS NULL",
