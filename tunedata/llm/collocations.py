@@ -29,9 +29,9 @@ LONGEST = 3
 LEAST = 10  # a candidate's occurrences
 INSIDE = 50  # per cent of a candidate's occurrences that lie in one longer candidate drop it
 TOP = 2000  # phrases per language
-WORDS = 4_000_000  # words that a task counts together, so that its memory is bounded
+WORDS = 2_000_000  # words that a task counts together, so that its memory is bounded
 SLICE = 4 << 20  # bytes of a text that are split together
-GROUP = 32 << 20  # bytes of text whose windows make up a group, on average
+GROUP = 8 << 20  # bytes of text whose windows make up a group, on average
 SALT = 64  # parts of a language that are cut to the top on their own
 
 # A-Z in lower case, the ends of pieces as line feeds, tabs as blanks (fixed values of the contract).
@@ -42,7 +42,7 @@ _END = b"."  # stands for the end of a piece: no word holds it
 def unique_rows(cols: list[np.ndarray], n: np.ndarray, base: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct rows of columns of codes below ``base``, ascending, with their ``n`` added up."""
     if base ** len(cols) < 1 << 63:
-        key = cols[0]
+        key = cols[0].astype(np.int64)
         for c in cols[1:]:
             key = key * base + c
         order = np.argsort(key, kind="stable")
@@ -101,7 +101,7 @@ class WindowCounter:
         return self.size >= self.limit or self.bytes > 16 * SLICE
 
     def _take(self, lang: str, words: list[bytes]) -> None:
-        self.held[lang].append(np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words)))
+        self.held[lang].append(np.fromiter(map(self.codes.__getitem__, words), np.int32, len(words)))
         self.size += len(words)
 
     def flush(self, open_lang: str | None = None, carried: int = 0) -> Iterator[pa.RecordBatch]:

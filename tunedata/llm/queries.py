@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tunedata.llm import collocations, embedding_dedup, license_scan, mixing, packing, quality_crf, rule_ledger, simhash, suffix_dedup, toxicity, warc, whitening
+from tunedata.llm import collocations, embedding_dedup, license_scan, mixing, neighbour_graph, packing, quality_crf, rule_ledger, simhash, suffix_dedup, toxicity, warc, whitening
 
 QUERIES = {
     "op3_pivot_index": embedding_dedup.op3_pivot_index,
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_simhash": simhash.op6_simhash,
     "op5_curriculum_mix": mixing.op5_curriculum_mix,
     "op10_rule_ledger": rule_ledger.op10_rule_ledger,
+    "op11_nn_descent": neighbour_graph.op11_nn_descent,
     "op12_collocations": collocations.op12_collocations,
     "op13_whitening": whitening.op13_whitening,
 }
@@ -23,5 +24,6 @@ ORACLES = {
     "op8_warc_index": warc.ORACLE_SQL,
     "op5_curriculum_mix": mixing.ORACLE_SQL,
     "op10_rule_ledger": rule_ledger.ORACLE_SQL,
+    "op11_nn_descent": neighbour_graph.op11_nn_descent,
     "op12_collocations": collocations.ORACLE_SQL,
 }
