@@ -48,7 +48,7 @@ STARTS = 16
 BEAM = 256
 STEP = 64
 EXACT = 48
-QUERIES = 256  # queries of a block
+QUERIES = 32  # queries of a block
 
 MESSAGE = "block bigint, kind int, src bigint, data binary"
 POINTS, LISTS, EDGES, WANT, VECTORS, FOUND, LINKS, STATE, NEIGHBOURS, ASK, SCORED, EXPAND = range(12)

@@ -25,7 +25,8 @@ WINDOW = 2048
 OPEN = 32  # open windows per partition
 END_ID = 1  # ends each document
 MERGE = 64  # partitions whose leftovers one task of a merge round packs together
-MEMO = 600_000  # chunks a worker remembers the ids of (bounds its memory, not the result)
+MEMO = 128 << 20  # bytes that a task's memory of chunks takes, about (bounds memory, not the result)
+ENTRY = 150  # bytes of an entry beside its text, about
 TOKENIZER = "word_bpe_49k.json"
 
 PIECES = (
@@ -48,7 +49,7 @@ _BYTE_LETTERS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in e
 
 
 class ChunkEncoder:
-    """Ids of white-space-separated chunks, remembered per worker.
+    """Ids of white-space-separated chunks, remembered within a task.
 
     The tokenizer drops white space and no pattern of its pre-tokenizer spans it, so a text's ids
     are those of its chunks in order. A chunk of letters followed by ASCII punctuation (no quote,
@@ -72,10 +73,11 @@ class ChunkEncoder:
         self.parts: dict[bytes, list[int]] = {}
         self.flat = np.zeros(1 << 16, np.uint32)  # ids of all chunks, one after another
         self.starts = np.zeros(1 << 14, np.int64)  # chunk k has flat[starts[k]:starts[k + 1]]
+        self.held = 0  # bytes, about
 
     def _learn(self, chunks: list[bytes]) -> None:
         cut: list[tuple[bytes, ...]] = []
-        parts, punctuation = self.parts, self.PUNCTUATION_BYTES
+        parts, punctuation, known = self.parts, self.PUNCTUATION_BYTES, len(self.parts)
         for c in chunks:
             word = c.rstrip(punctuation)
             if (word.isalpha() and word.islower()) or not word:  # ASCII letters
@@ -93,6 +95,7 @@ class ChunkEncoder:
                 if c not in parts:
                     parts[c] = self.encode([c.decode("utf-8", "replace")], add_special_tokens=False)[0].ids
             cut.append(ps)
+        self.held += sum(map(len, chunks)) + ENTRY * (len(chunks) + len(parts) - known)
         first, ids, ends = len(self.index), [], []
         at = int(self.starts[first])
         for c, ps in zip(chunks, cut):
@@ -123,7 +126,7 @@ class ChunkEncoder:
         idx = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         missing = np.nonzero(idx < 0)[0]
         if len(missing):
-            if len(self.index) > MEMO:
+            if self.held > MEMO:
                 self.forget()
                 get, missing = self.index.get, np.arange(len(words))
             new = [words[i] for i in missing.tolist()]
@@ -244,7 +247,10 @@ def pack(
                     ids = np.append(encode(t.as_py() or b""), np.uint32(END_ID))
                     yield i, 0, len(ids), ids
 
-        yield from _emit(Packer(size, open_windows), TaskContext.get().partitionId(), pieces(), True)
+        try:
+            yield from _emit(Packer(size, open_windows), TaskContext.get().partitionId(), pieces(), True)
+        finally:
+            encode.forget()  # the worker lives on
 
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     packed = written(src.mapInArrow(run, PIECES), "packed-0")

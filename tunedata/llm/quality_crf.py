@@ -12,6 +12,7 @@ driver; scoring is one pass over the texts without a shuffle.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from operator import eq
 from typing import NamedTuple
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from tunedata.llm.common import read, ship_package, small
 
 SAMPLE = 3000  # training documents per class
+LINES = 128  # consecutive lines that a training document gives at most, from a place that its text decides
 ROUNDS = 200  # steps of the optimiser
 DECAY = 1e-3  # of the weights
 SLICE = 4 << 20  # bytes of text handled together
@@ -171,7 +173,8 @@ def id_share(id_col: Column, parts: int) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Trains on at most ``sample`` documents of each class among ``labels (doc_id, quality)``.
+    """Trains on at most ``sample`` documents of each class among ``labels (doc_id, quality)``, of each on
+    at most ``LINES`` consecutive lines: what the driver gets is bounded, however long a text.
 
     Labels other than 0 and 1 are ignored. With one class or none, scores are that class's share
     (0.5 without labels).
@@ -187,11 +190,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     some = some[0].unionByName(some[1]).select(F.col("doc_id").alias("label_id"), "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, lambda b: b.column(1), SLICE):
             texts = [t.as_py() or b"" for t in b.column(1)]
             x, _, count = line_features(texts)
-            cuts = np.concatenate(([0], np.cumsum(count)))
-            rows = [x[i:j].astype(np.float32).tobytes() for i, j in zip(cuts, cuts[1:])]
+            first = np.cumsum(count) - count
+            skip = [zlib.crc32(t) % (n - LINES + 1) if n > LINES else 0 for t, n in zip(texts, count.tolist())]
+            rows = [x[i + k : i + k + min(n, LINES)].astype(np.float32).tobytes() for i, k, n in zip(first, skip, count)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["quality", "x"])
 
     # Broadcast: at most 2 * sample rows of two numbers.
