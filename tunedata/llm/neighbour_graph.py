@@ -51,7 +51,7 @@ EXACT = 48
 QUERIES = 32  # queries of a block
 
 MESSAGE = "block bigint, kind int, src bigint, data binary"
-POINTS, LISTS, EDGES, WANT, VECTORS, FOUND, LINKS, STATE, NEIGHBOURS, ASK, SCORED, EXPAND = range(12)
+POINTS, LISTS, EDGES, WANT, VECTORS, FOUND, LINKS, STATE, SEEN, NEIGHBOURS, ASK, SCORED, EXPAND = range(13)
 
 
 # --- messages: rows to a block, their content pickled numpy arrays -----------------------------------
@@ -310,7 +310,7 @@ def _gather(turn: int, side: int):
         v, u, fresh = (np.concatenate(x) for x in zip(*sides))
         order = np.lexsort((~fresh, u, v))  # an edge that is fresh on one side is fresh
         order = order[np.concatenate(([True], (v[order][1:] != v[order][:-1]) | (u[order][1:] != u[order][:-1])))[: len(order)]]
-        yield _message(block, EDGES, 0, v[order], u[order], fresh[order])
+        yield _message(block, EDGES, 0, (v[order] - block * BLOCK).astype(np.int16), u[order], fresh[order])
         want = np.unique(u)
         yield from _to_blocks(WANT, block, want, want)
 
@@ -325,11 +325,11 @@ def _serve(block, got):
         yield _message(src, VECTORS, block, nodes, codes[at], factor[at], extra[at], worst[at])
 
 
-def _padded(v, u, first: int) -> np.ndarray:
+def _padded(v, u) -> np.ndarray:
     """Rows sorted by v -> one row per node of the block, padded with -1."""
     at = _places(v)
     out = np.full((BLOCK, int(at.max(initial=-1)) + 1), -1, np.int64)
-    out[v - first, at] = u
+    out[v, at] = u
     return out
 
 
@@ -338,6 +338,7 @@ def _join_neighbours(degree: int, rows: int = 64):
         if VECTORS not in got or EDGES not in got:
             return
         v, u, fresh = got[EDGES][0][1]
+        v = v.astype(np.int64)
         parts = [m[1] for m in got[VECTORS]]
         nodes = np.concatenate([p[0] for p in parts])
         z = np.concatenate([_floats(*p[1:4]) for p in parts])
@@ -345,7 +346,7 @@ def _join_neighbours(degree: int, rows: int = 64):
         order = np.argsort(nodes)
         nodes, z, worst = nodes[order], z[order], worst[order]
         u = np.searchsorted(nodes, u)
-        new, old = (_padded(v[m], u[m], block * BLOCK) for m in (fresh, ~fresh))
+        new, old = (_padded(v[m], u[m]) for m in (fresh, ~fresh))
         found = []
         for i in range(0, BLOCK, rows):
             a = new[i : i + rows]
@@ -469,7 +470,7 @@ def _states(dim: int, n: int, beam: int):
             q = np.arange(m, dtype=np.int64) << _NODE
             first = np.unique(np.concatenate([(q[:, None] | starts).ravel(), (q | own)[own >= 0]]))
             pool = np.full((m, beam), -1, np.int64), np.full((m, beam), -np.inf, np.float32), np.zeros((m, beam), bool)
-            yield from _batches(iter([_message(at, STATE, 1, keys, x, *pool, np.zeros(0, np.int64)), _message(at, NEIGHBOURS, 0, first)]))
+            yield from _batches(iter([_message(at, STATE, 1, keys, x, *pool), _message(at, NEIGHBOURS, 0, first)]))
 
         for b in batches:
             block, key, own = (b.column(i).to_numpy() for i in range(3))
@@ -487,13 +488,15 @@ def _states(dim: int, n: int, beam: int):
 
 def _ask(block, got):
     """Asks for the scores of neighbours not seen before."""
-    keys, x, nodes, s, done, seen = got[STATE][0][1]
+    keys, x, nodes, s, done = got[STATE][0][1]
+    seen = np.cumsum(got[SEEN][0][1][0]) if SEEN in got else np.zeros(0, np.int64)
     new = np.unique(_concat(got.get(NEIGHBOURS, []), 1, (np.int64,))[0])
     at = np.searchsorted(seen, new)
     if len(seen):
         new = new[seen[np.minimum(at, len(seen) - 1)] != new]
     seen = np.sort(np.concatenate([seen, new]), kind="stable")
-    yield _message(block, STATE, 0, keys, x, nodes, s, done, seen)
+    yield _message(block, STATE, 0, keys, x, nodes, s, done)
+    yield _message(block, SEEN, 0, np.diff(seen, prepend=0))  # small numbers, which compress
     q, node = new >> _NODE, new & ((1 << _NODE) - 1)
     order = np.argsort(node // BLOCK, kind="stable")
     q, node = q[order], node[order]
@@ -519,7 +522,7 @@ def _advance(step: int):
     """Takes scores into the beams; the next ``step`` nodes of each that were not looked at are next."""
 
     def f(block, got):
-        keys, x, nodes, s, done, seen = got[STATE][0][1]
+        keys, x, nodes, s, done = got[STATE][0][1]
         q, w, t = _concat(got.get(SCORED, []), 3, (np.int64, np.int64, np.float32))
         rows, cols = np.nonzero(nodes >= 0)
         flag = np.concatenate([done[rows, cols], np.zeros(len(q), bool)])
@@ -529,7 +532,7 @@ def _advance(step: int):
         go = left & (np.cumsum(left, axis=1) <= step)
         done |= go
         rows, cols = np.nonzero(go)
-        yield _message(block, STATE, len(rows), keys, x, nodes, s, done, seen)
+        yield _message(block, STATE, len(rows), keys, x, nodes, s, done)
         yield from _to_blocks(EXPAND, block, nodes[rows, cols], rows, nodes[rows, cols])
 
     return f
@@ -562,9 +565,10 @@ def search(index: Index, queries: DataFrame, k: int = K, beam: int = BEAM, step:
     first = queries.select(F.floor(F.col("key") / QUERIES).alias("block"), "key", F.coalesce("node", F.lit(-1)).alias("own"), "vector")
     first = first.repartition(parts, "block").sortWithinPartitions("block", "key").mapInArrow(_states(index.dim, index.n, beam), MESSAGE)
     state = written(first, "ann-state")
-    near = state.where(F.col("kind") == NEIGHBOURS)
+    near, seen = state.where(F.col("kind") == NEIGHBOURS), state.where(F.col("kind") == SEEN)
     while True:
-        asked = written(_by_block(_ask, state.where(F.col("kind") == STATE), near), "ann-asked")
+        asked = written(_by_block(_ask, state.where(F.col("kind") == STATE), near, seen), "ann-asked")
+        seen = asked.where(F.col("kind") == SEEN)
         scored = _by_block(_score, asked.where(F.col("kind") == ASK), index.points)
         state = written(_by_block(_advance(step), asked.where(F.col("kind") == STATE), scored), "ann-state")
         if not state.where(F.col("kind") == STATE).agg(F.sum("src")).first()[0]:

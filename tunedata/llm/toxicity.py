@@ -2,13 +2,16 @@
 
 Voters: words, word beginnings and patterns. A voter says "toxic" where it hits and abstains
 elsewhere; one voter says "clean" where no lexical voter hits. A generative label model (a hidden
-class per document, an accuracy per voter, excess agreement of voter pairs within a class as
-their correlation) is fitted by expectation-maximisation; correlated voters share their weight.
-Its posterior labels train the linear classifier that scores all documents.
-
-The lexicon is read off a bounded sample of labelled documents (``TOXIC`` and ``CLEAN`` documents at
-most, the first of each class by a hash of their id), so it fits the corpus' languages. Scoring is
-one pass without a shuffle; only the lexicon (``VOTERS`` entries at most) and weights are sent out.
+class per document, the rates at which each voter speaks within either class, agreement of voter
+pairs beyond what the class explains as their correlation) is fitted by expectation-maximisation on
+the votes alone; correlated voters share their weight. Its posterior labels train the linear
+classifier that scores all documents.
+
+Labels only choose the voters, from a bounded sample of labelled documents (``TOXIC`` and ``CLEAN`` at
+most, the first of each class by a hash of their id), and give the share of toxic documents. The
+voters vote on that sample and on ``OTHERS`` documents at most that are taken whatever their label, and
+the label model sees no label of either. Scoring is one pass without a shuffle; only the lexicon, whose
+size the sample bounds, and weights are sent out.
 """
 
 from __future__ import annotations
@@ -23,17 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunedata.llm.common import read, ship_package, written
+from tunedata.llm.common import read, ship_package, small, written
 from tunedata.llm.quality_crf import id_share
 
 TOXIC, CLEAN = 3000, 9000  # sampled documents per class
-VOTERS = 400  # lexical voters
-LEAST, SHARE = 4, 0.01  # a lexical voter hits so many, and this share, of the toxic sample
+OTHERS = 6000  # documents besides, with or without a label, that are voted on
+LEAST = 4  # documents of the toxic sample that a lexical voter hits
 EVIDENCE = 28.0  # least log-likelihood ratio statistic of a lexical voter: above chance for 10^6 terms
 ODDS = 3.0  # least log-odds of a lexical voter
 STEMS = (4, 5, 6, 7)  # lengths of word beginnings
-TRUST = 0.999  # accuracy that the label model gives the labels themselves, as one more voter
 THRESHOLD = 0.3
+SAME = 0.5  # voters that agree so much more than the class explains share their weight
 WORDS = re.compile(r"[^\W\d_]+")
 #: Pattern voters (fixed values).
 PATTERNS = {
@@ -89,37 +92,42 @@ class Model(NamedTuple):
     prior: float
 
 
-def label_model(
-    votes: np.ndarray, clean_vote: np.ndarray, prior: float, gold: np.ndarray | None = None, rounds: int = 30
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _held(evidence: np.ndarray, share: float) -> np.ndarray:
+    """Posteriors whose mean is ``share``: correlated evidence would else shift it from round to round."""
+    low, high = -60.0, 60.0
+    for _ in range(50):
+        mid = (low + high) / 2
+        post = 1 / (1 + np.exp(-np.clip(evidence + mid, -30, 30)))
+        low, high = (mid, high) if post.mean() < share else (low, mid)
+    return post
+
+
+def label_model(votes: np.ndarray, clean_vote: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of "toxic" per row, accuracy per voter, and how much of its weight each keeps.
 
-    ``votes``: rows x voters, 1 where a voter says toxic; ``clean_vote``: 1 where the clean voter
-    speaks; ``gold``: the labels, a voter that is right with probability ``TRUST``. The class share
-    is held at ``prior``; hit rates given each class are learnt.
+    ``votes``: rows x voters, 1 where a voter says toxic; ``clean_vote``: 1 where the clean voter speaks. The
+    class share is held at ``prior``; the rates at which voters speak given each class are learnt.
     """
-    n, m = votes.shape
-    lexical = votes.sum(1)
-    post = np.where(clean_vote > 0, prior / 10, np.clip(0.5 + 0.2 * lexical, 0, 0.95))
-    if gold is not None:
-        post = np.where(gold > 0, TRUST, 1 - TRUST)
-    told = 0.0 if gold is None else (2 * gold - 1) * np.log(TRUST / (1 - TRUST))
-    keep = np.ones(m)
-    hit1 = hit0 = np.zeros(m)
+    m = votes.shape[1]
+    said = np.concatenate([votes, clean_vote[:, None]], 1)
+    post = np.where(clean_vote > 0, prior / 10, np.clip(0.3 + 0.2 * votes.sum(1), 0, 0.95))
+    rate1 = rate0 = np.full(m + 1, 0.5)
+    keep = np.ones(m + 1)
     for _ in range(rounds):
-        w1, w0 = post.sum() + 1e-9, (1 - post).sum() + 1e-9
-        hit1, hit0 = (post @ votes + 0.5) / (w1 + 1), ((1 - post) @ votes + 0.5) / (w0 + 1)
-        c1, c0 = (post @ clean_vote + 0.5) / (w1 + 1), ((1 - post) @ clean_vote + 0.5) / (w0 + 1)
+        w1, w0 = post.sum(), (1 - post).sum()
+        rate1, rate0 = (post @ said + 0.5) / (w1 + 1), ((1 - post) @ said + 0.5) / (w0 + 1)
         # correlation: agreement of two voters beyond what the class explains, within the toxic class
-        x = (votes - hit1) * np.sqrt(post)[:, None]
-        cov = x.T @ x / w1
+        x = (said - rate1) * np.sqrt(post)[:, None]
+        cov = x.T @ x / (w1 + 1e-9)
         sd = np.sqrt(np.diag(cov)) + 1e-9
-        rho = np.clip(cov / sd[:, None] / sd[None, :], 0, 1)
-        rho[rho < 0.2] = 0
+        rho = np.abs(cov / sd[:, None] / sd[None, :])
+        rho[rho < SAME] = 0
+        np.fill_diagonal(rho, 1)
+        rho[:m, m] = 0  # the clean voter only repeats what the others leave unsaid: it yields, they don't
         keep = 1 / np.maximum(rho.sum(1), 1)
-        evidence = votes @ (keep * np.log(hit1 / hit0)) + clean_vote * np.log(c1 / c0) + (1 - clean_vote) * np.log((1 - c1) / (1 - c0))
-        post = 1 / (1 + np.exp(-np.clip(evidence + told + np.log(prior / (1 - prior)), -30, 30)))
-    return post, hit1 * prior / (hit1 * prior + hit0 * (1 - prior)), keep
+        evidence = said @ (keep * np.log(rate1 / rate0)) + (1 - said) @ (keep * np.log((1 - rate1) / (1 - rate0)))
+        post = _held(evidence, prior)
+    return post, (rate1 * prior / (rate1 * prior + rate0 * (1 - prior)))[:m], keep[:m]
 
 
 def train_linear(x: np.ndarray, target: np.ndarray, rounds: int = 300) -> np.ndarray:
@@ -139,7 +147,7 @@ def _texts(b: pa.RecordBatch, k: int) -> list[str]:
 
 def _learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, lambda b: b.column(1)):
             by = (Counter(), Counter())
             for y, t in zip(b.column(0).to_pylist(), _texts(b, 1)):
                 by[y].update(terms(t))
@@ -152,10 +160,11 @@ def _learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
     share = n_toxic / (n_toxic + n_clean)
     both = F.col("a") + F.col("b")
     part = lambda k, p: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (both * p))).otherwise(0.0)
-    got = got.where(F.col("a") >= max(LEAST, SHARE * n_toxic)).withColumn("odds", odds)
+    got = got.where(F.col("a") >= LEAST).withColumn("odds", odds)
     got = got.where((F.col("odds") >= ODDS) & (2 * (part("a", share) + part("b", 1 - share)) >= EVIDENCE))
-    best = got.orderBy(F.desc(F.col("odds") * F.sqrt("a")), "term").limit(VOTERS).collect()
-    return Lexicon(sorted(r.term for r in best))
+    # Forms of one family that hit the same documents are one voter, the shortest.
+    family = got.groupBy(F.substring("term", 1, min(STEMS)).alias("stem"), "a", "b").agg(F.min(F.struct(F.length("term"), "term")).alias("x"))
+    return Lexicon(sorted(r.term for r in family.select("x.term").collect()))
 
 
 def _without_copies(sample: DataFrame) -> DataFrame:
@@ -187,27 +196,41 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     some = some[0].unionByName(some[1]).select(F.col("doc_id").alias("label_id"), "toxic")
     # Broadcast: at most TOXIC + CLEAN rows of two numbers.
     sample = docs.select(F.col("doc_id").alias("d"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), F.col("d") == F.col("label_id"))
-    sample = written(_without_copies(sample.select("d", "toxic", "text")), "toxicity-sample")
-    sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    whole = sample.select("d", "toxic", "text")
+    count = lambda df: {r.toxic: r["count"] for r in df.groupBy("toxic").count().collect()}
+    sample = written(_without_copies(whole), "toxicity-sample")
+    sizes = count(sample)
+    if min(sizes.get(0, 0), sizes.get(1, 0)) < LEAST:  # too few to learn from: copies count then
+        sample = written(whole.select("toxic", "text"), "toxicity-sample")
+        sizes = count(sample)
     if len(sizes) < 2:
         return empty
     lexicon = _learn_lexicon(sample, sizes[1], sizes[0])
+    ids = docs.select(F.col("doc_id").alias("other_id")).where("other_id IS NOT NULL").distinct().orderBy(F.xxhash64("other_id"), "other_id").limit(OTHERS)
+    # Broadcast: at most OTHERS numbers.
+    others = docs.select(F.col("doc_id").alias("d"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), F.col("d") == F.col("other_id"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, lambda b: b.column(1)):
             got = [lexicon.hits(t) for t in _texts(b, 1)]
             cols = [b.column(0), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["toxic", "votes", "hits", "words"])
 
-    got = sample.mapInArrow(vote, "toxic int, votes array<int>, hits bigint, words bigint").collect()
-    got.sort(key=lambda r: (r.toxic, r.votes, r.hits, r.words))  # the order of tasks must not matter
+    voted = sample.select("toxic", "text").unionByName(others.select(F.lit(None).cast("int").alias("toxic"), "text"))
+    got = voted.mapInArrow(vote, "toxic int, votes array<int>, hits bigint, words bigint").collect()
+    got.sort(key=lambda r: (r.votes, r.hits, r.words))  # the order of tasks must not matter
     votes = np.zeros((len(got), lexicon.n))
     dense = np.zeros((len(got), N_DENSE))
     for k, r in enumerate(got):
         votes[k, r.votes] = 1
         dense[k] = lexicon.features(r.votes, r.hits, r.words)[1]
     clean = (votes[:, : len(lexicon.entries)].sum(1) == 0).astype(float)
-    post, _, _ = label_model(votes, clean, sizes[1] / len(got), np.array([float(r.toxic) for r in got]))
+    # The labels' shares give how much of what is voted on is toxic and hit by a lexical voter.
+    heard = sum(r.toxic == 1 and any(k < len(lexicon.entries) for k in r.votes) for r in got) / sizes[1]
+    share = heard * (sizes[1] + prior * (len(got) - sizes[0] - sizes[1])) / len(got)
+    if not 0 < share < 1:
+        return empty
+    post, _, _ = label_model(votes, clean, share)
     return Model(lexicon, train_linear(np.concatenate([votes, dense], 1), post), prior)
 
 
@@ -221,7 +244,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     lexicon, w = model.lexicon, model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, lambda b: b.column(1)):
             p, voters, hits = [], [], []
             for t in _texts(b, 1):
                 votes, count, words = lexicon.hits(t)
