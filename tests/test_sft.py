@@ -94,3 +94,19 @@ def test_every_token_has_an_id(spark):
     for hot in (0, 5, 100_000):
         got = sft.encode_all(docs, {"ids": sft.word_tokens("text")}, numbered, hot=hot).collect()
         assert {r.k: r.ids for r in got} == want and sft.UNK_ID not in {i for r in got for i in r.ids}
+
+
+def test_coded_words_equal_the_join(spark):
+    """The same ids for any size of the dictionaries; a dictionary has each word once, whatever its share."""
+    texts = ["the the the the", "", None, "a the b a", "unseen the"] * 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(3)
+    numbered = sft.number_tokens(docs.where("text <> 'unseen the'"), ["text"])
+    tokens = {"ids": sft.word_tokens("text"), "twice": F.slice(sft.word_tokens("text"), 1, 2)}
+    want = sorted(map(tuple, sft.encode_all(docs, tokens, numbered).collect()), key=str)
+    assert any(sft.UNK_ID in r[2] for r in want)
+    for limit in (1, 7, 10**6):
+        assert sorted(map(tuple, sft.encode_words(docs, tokens, numbered, limit=limit).collect()), key=str) == want
+    assert sft.encode_words(docs.limit(0), tokens, numbered).collect() == []
+    coded = docs.select(F.col("k").cast("long").alias("__row"), sft.word_tokens("text").alias("t")).coalesce(1)
+    packs = coded.mapInArrow(sft._code(["t"], 10**6), "chunk bigint, rows binary, sizes binary, codes binary, words array<string>").collect()
+    assert sum(len(p.words) for p in packs) == 4 and sum(len(p.codes) for p in packs) == 4 * 40 * (4 + 4 + 2)

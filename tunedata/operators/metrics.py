@@ -247,9 +247,8 @@ def bleu_first_hypothesis(
     references as alternatives - what a corpus scorer computes when handed N one-element
     reference lists instead of reference streams.
 
-    The first hypothesis is picked by ``min_by`` (one row per group); its n-grams are the
-    broadcast side (bounded by one text per group); every reference's n-grams are semi-joined
-    to them, counted per reference, then maxed. Marker rows (n = 0) carry the lengths.
+    The first hypothesis is picked by ``min_by`` (one row per group); every reference's
+    n-grams are joined to its n-grams, counted per reference, then maxed. Marker rows (n = 0) carry the lengths.
     """
     given = list(group_cols)
     g = given or ["__all"]
@@ -271,7 +270,7 @@ def bleu_first_hypothesis(
         .select(*g, *okeys, F.size("__r").alias("rl"), F.explode(F.concat(marker, _all_ngrams(F.col("__r")))).alias("x"))
         .select(*g, *okeys, "rl", F.col("x.n").alias("n"), F.col("x.gram").alias("gram"))
     )
-    j = ref_grams.join(F.broadcast(hyp_grams), [*g, "n", "gram"])  # one hypothesis per group
+    j = ref_grams.join(hyp_grams, [*g, "n", "gram"])  # broadcast by Spark only where its measured size allows
     per_ref = j.groupBy(*g, *okeys, "n", "gram").agg(
         F.count("*").alias("rc"), F.first("hc").alias("hc"), F.first("hl").alias("hl"), F.first("rl").alias("rl")
     )

@@ -10,10 +10,12 @@ batching - is array expressions.
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -216,6 +218,68 @@ def encode_all(df: DataFrame, tokens: dict[str, Column], numbered: DataFrame, *,
     return out
 
 
+CODED = 1_000_000  # tokens that are coded together, so that a dictionary and its codes are bounded
+
+
+def _code(names: Sequence[str], limit: int) -> Callable:
+    """Rows of token arrays -> one row per slice of a batch: its distinct words, and the tokens as codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 33
+        for b in batches:
+            lists = [b.column(n) for n in names]
+            sizes = np.stack([pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in lists]).astype(np.int64)
+            ends, i = np.cumsum(sizes.sum(0)), 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, "right")))
+                coded = pa.concat_arrays([x.slice(i, j - i).flatten() for x in lists]).dictionary_encode()
+                codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype("<i4")
+                row = [chunk, b.column("__row").slice(i, j - i).to_numpy().astype("<i8").tobytes(), sizes[:, i:j].astype("<i4").tobytes(), codes.tobytes()]
+                words = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+                yield pa.RecordBatch.from_arrays([*(pa.array([x]) for x in row), words], ["chunk", "rows", "sizes", "codes", "words"])
+                chunk, i = chunk + 1, j
+
+    return run
+
+
+def _decode(names: Sequence[str]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                rows, sizes, codes = (np.frombuffer(b.column(n)[k].as_py(), t) for n, t in (("rows", "<i8"), ("sizes", "<i4"), ("codes", "<i4")))
+                ids = np.append(b.column("ids")[k].values.to_numpy(zero_copy_only=False) if b.column("ids")[k].is_valid else np.zeros(0, np.int32), np.int32(UNK_ID))
+                found, at, cols = ids[codes].astype(np.int32), 0, []
+                for n in sizes.reshape(len(names), len(rows)):
+                    offsets = np.concatenate([[0], np.cumsum(n)])
+                    cols.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found[at : at + offsets[-1]])))
+                    at += offsets[-1]
+                yield pa.RecordBatch.from_arrays([pa.array(rows), *cols], ["__row", *names])
+
+    return run
+
+
+def encode_words(df: DataFrame, tokens: dict[str, Column], numbered: DataFrame, *, limit: int = CODED) -> DataFrame:
+    """What :func:`encode_all` returns, without a shuffled row per token: each task codes its tokens by
+    a dictionary of the distinct words in every ``limit`` tokens, only these words are joined to their ids
+    (so a frequent word is one row per dictionary), and the codes are replaced where they are.
+    """
+    spark = df.sparkSession
+    names = list(tokens)
+    path, packs = scratch_path(spark, "encode-rows"), scratch_path(spark, "encode-codes")
+    df.select("*", *[c.alias(f"__t_{n}") for n, c in tokens.items()], F.monotonically_increasing_id().alias("__row")).write.parquet(path)
+    base = spark.read.parquet(path)  # written: a row's number is fixed only then
+    marked = [f"__t_{n}" for n in names]
+    base.select("__row", *marked).mapInArrow(_code(marked, limit), "chunk bigint, rows binary, sizes binary, codes binary, words array<string>").write.parquet(packs)
+    coded = spark.read.parquet(packs)
+    words = coded.select("chunk", F.posexplode("words").alias("__pos", "token")).join(numbered.select("token", "id"), "token", "left")
+    ids = words.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("__pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))).alias("x"))
+    both = coded.drop("words").join(ids.select("chunk", F.transform("x", lambda x: x["id"]).alias("ids")), "chunk", "left")
+    got = both.select("rows", "sizes", "codes", "ids").mapInArrow(_decode(names), "__row bigint, " + ", ".join(f"`{n}` array<int>" for n in names))
+    return base.drop(*marked).join(got, "__row").drop("__row")
+
+
 # ---------------------------------------------------------------- shaping
 
 
@@ -290,13 +354,14 @@ def tokenize_sft(
 
 def tokenize_all(
     df: DataFrame, numbered: DataFrame, mode: str = "prompt_masked", max_length: int = 256, *,
-    prompt: str = "prompt", completion: str = "completion", keep: Sequence[str] = (),
+    prompt: str = "prompt", completion: str = "completion", keep: Sequence[str] = (), encode: Callable = encode_words,
 ) -> DataFrame:
-    """:func:`tokenize_sft` with the ids of ``numbered`` (:func:`number_tokens`), whatever its size."""
+    """:func:`tokenize_sft` with the ids of ``numbered`` (:func:`number_tokens`), whatever its size.
+    ``encode``: :func:`encode_words`, or :func:`encode_all` (JVM only)."""
     cols = [prompt, completion] if mode.startswith("seq2seq") else ["full_text"]
     # Tokens beyond the length are cut before the look-up.
     tokens = {f"__ids_{c}": F.slice(word_tokens(c), 1, max_length) for c in cols}
-    return tokenize_sft(encode_all(chat_template(df, prompt, completion), tokens, numbered), JOINED, mode, max_length, prompt=prompt, completion=completion, keep=keep)
+    return tokenize_sft(encode(chat_template(df, prompt, completion), tokens, numbered), JOINED, mode, max_length, prompt=prompt, completion=completion, keep=keep)
 
 
 # ---------------------------------------------------------------- checks, tables, batches

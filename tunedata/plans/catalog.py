@@ -206,8 +206,7 @@ def split_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- SFT tokenisation
 
 KEYS = ["path", "tu_idx", "lang_pos"]
-CHAT_VOCAB = 2000
-DOC_VOCAB = 5000
+DOC_VOCAB = 5000  # rows of the report `vocab`; every other query numbers all tokens
 
 
 @query
@@ -231,27 +230,39 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doc_vocab(spark, sf_dir)
 
 
+def _all_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sft.number_tokens(table(spark, sf_dir, "documents"), ["text"])
+
+
+def _encoded(spark: SparkSession, sf_dir: str, route: Callable) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = route(docs, {"ids": word_tokens("text")}, _all_tokens(spark, sf_dir))
+    ids = F.concat(F.array(F.lit(sft.BOS_ID)), "ids")
+    return got.select("doc_id", F.size(ids).cast("bigint").alias("n_ids"), F.array_join(ids, " ").alias("ids"))
+
+
+def _padded(spark: SparkSession, sf_dir: str, route: Callable) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.slice(word_tokens("text"), 1, 255).alias("t"))
+    got = route(docs, {"ids": F.col("t")}, _all_tokens(spark, sf_dir))
+    ids = F.concat(F.array(F.lit(sft.BOS_ID)), "ids")
+    return got.select("doc_id", F.array_join(sft.pad(ids, 256), " ").alias("input_ids"), F.array_join(sft.attention(ids, 256), " ").alias("attention_mask"))
+
+
 @query
 def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    enc = sft.encoder(_doc_vocab(spark, sf_dir), DOC_VOCAB)
-    docs = table(spark, sf_dir, "documents").select("doc_id", enc(F.col("text"), True).alias("ids"))
-    return docs.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.array_join("ids", " ").alias("ids"))
+    """An id for every token of the corpus, tokens coded by dictionaries of their tasks."""
+    return _encoded(spark, sf_dir, sft.encode_words)
 
 
 @query
 def encode_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same ids as ``encode`` through the JVM-only path (explode, broadcast join, regroup)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = sft.encode_join(docs, ["doc_id"], "text", _doc_vocab(spark, sf_dir), DOC_VOCAB)
-    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.array_join("ids", " ").alias("ids"))
+    """The same ids as ``encode`` through the JVM-only path (explode, join, regroup)."""
+    return _encoded(spark, sf_dir, sft.encode_all)
 
 
 @query
 def pad_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    enc = sft.encoder(_doc_vocab(spark, sf_dir), DOC_VOCAB)
-    ids = enc.first(F.col("text"), True, 256)
-    docs = table(spark, sf_dir, "documents").select("doc_id", sft.pad(ids, 256).alias("i"), sft.attention(ids, 256).alias("m"))
-    return docs.select("doc_id", F.array_join("i", " ").alias("input_ids"), F.array_join("m", " ").alias("attention_mask"))
+    return _padded(spark, sf_dir, sft.encode_words)
 
 
 SFT_DDL = "path string, tu_idx int, lang_pos int, prompt string, completion string"
@@ -264,13 +275,12 @@ def sft_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(jsonl.read_jsonl(spark, out, SFT_DDL))
 
 
-def tokenised(spark: SparkSession, sf_dir: str, mode: str, examples: DataFrame | None = None) -> DataFrame:
+def tokenised(spark: SparkSession, sf_dir: str, mode: str, examples: DataFrame | None = None, route: Callable = sft.encode_words) -> DataFrame:
     examples = sft_jsonl(spark, sf_dir) if examples is None else examples
-    chat = sft.chat_template(examples)
-    enc = sft.encoder(sft.build_vocab(chat, ["full_text"], CHAT_VOCAB), CHAT_VOCAB)
+    numbered = sft.number_tokens(sft.chat_template(examples), ["full_text"])
     length = 128 if mode.startswith("seq2seq") else 256
     keep = [c for c in examples.columns if c not in ("prompt", "completion")]
-    return sft.tokenize_sft(examples, enc, mode, length, keep=keep)
+    return sft.tokenize_all(examples, numbered, mode, length, keep=keep, encode=route)
 
 
 def _joined(df: DataFrame) -> DataFrame:
@@ -290,41 +300,22 @@ for _mode in sft.LABEL_MODES:
     _label_query(_mode)
 
 
-# ---------------------------------------------------------------- the same with every token numbered
-
-
-def _all_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sft.number_tokens(table(spark, sf_dir, "documents"), ["text"])
+# ---------------------------------------------------------------- the same by the JVM-only route
 
 
 @query
 def encode_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``encode`` with an id for every token of the corpus."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    got = sft.encode_all(docs, {"ids": word_tokens("text")}, _all_tokens(spark, sf_dir))
-    ids = F.concat(F.array(F.lit(sft.BOS_ID)), "ids")
-    return got.select("doc_id", F.size(ids).cast("bigint").alias("n_ids"), F.array_join(ids, " ").alias("ids"))
+    return _encoded(spark, sf_dir, sft.encode_all)
 
 
 @query
 def pad_mask_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.slice(word_tokens("text"), 1, 255).alias("t"))
-    got = sft.encode_all(docs, {"ids": F.col("t")}, _all_tokens(spark, sf_dir))
-    ids = F.concat(F.array(F.lit(sft.BOS_ID)), "ids")
-    return got.select("doc_id", F.array_join(sft.pad(ids, 256), " ").alias("input_ids"), F.array_join(sft.attention(ids, 256), " ").alias("attention_mask"))
-
-
-def tokenised_all(spark: SparkSession, sf_dir: str, mode: str, examples: DataFrame | None = None) -> DataFrame:
-    examples = sft_jsonl(spark, sf_dir) if examples is None else examples
-    numbered = sft.number_tokens(sft.chat_template(examples), ["full_text"])
-    length = 128 if mode.startswith("seq2seq") else 256
-    keep = [c for c in examples.columns if c not in ("prompt", "completion")]
-    return sft.tokenize_all(examples, numbered, mode, length, keep=keep)
+    return _padded(spark, sf_dir, sft.encode_all)
 
 
 def _label_all_query(mode: str):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _joined(tokenised_all(spark, sf_dir, mode))
+        return _joined(tokenised(spark, sf_dir, mode, route=sft.encode_all))
 
     q.__name__ = f"labels_{mode}_all"
     return query(q)
@@ -337,7 +328,7 @@ for _mode in sft.LABEL_MODES:
 @query
 def training_table_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     examples = splits.split_head_tail(sft_jsonl(spark, sf_dir), KEYS, 0.8).drop("pos")
-    split = tokenised_all(spark, sf_dir, "intended", examples)
+    split = tokenised(spark, sf_dir, "intended", examples, sft.encode_all)
     out = scratch_path(spark, "training-table")
     sft.to_training_table(split, out, 256)
     return _joined(spark.read.parquet(out)).select(*KEYS, "split", "input_ids", "attention_mask", "labels")
@@ -362,7 +353,7 @@ def token_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 def map_batches_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vectorised batch function over all documents, input columns kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    count = lambda b: {"n_lines": b["text"].fillna("").str.count("\n") + 1, "text": b["text"].fillna("").str.slice(0, 20)}
+    count = lambda b: {"n_lines": b["text"].fillna("").str.count("\n") + 1, "text": b["text"].fillna("").str.replace("\n", "|", regex=False)}
     return map_batches(docs, count, "text string, n_lines bigint", keep_columns=True)
 
 

@@ -90,15 +90,20 @@ def flatten_dataset(spark: SparkSession, in_path: str, out: str, schema: str = "
 
 
 def tokenise_dataset(spark: SparkSession, in_path: str, out: str, *, mode: str = "prompt_masked", max_length: int = 256,
-                     vocab_size: int = 32000, train_frac: float = 0.8, order: tuple[str, ...] = tuple(ORDER), schema: str | None = None) -> None:
+                     vocab_size: int | None = None, train_frac: float = 0.8, order: tuple[str, ...] = tuple(ORDER), schema: str | None = None) -> None:
     """Prompt/completion JSON lines → Parquet of fixed-length ``int32`` arrays, partitioned by
-    ``split`` (head/tail split in ``order``, as the trainers do), vocabulary built from the data."""
+    ``split`` (head/tail split in ``order``, as the trainers do). Every token of the data has an id, unless
+    ``vocab_size`` asks for the most frequent ones only."""
     ship_package(spark)
     df, by = _keyed(spark, _rows(spark, in_path, schema), list(order))
     df = splits.split_head_tail(spread(df), by, train_frac).drop("pos", "__row")
-    enc = sft.encoder(sft.build_vocab(sft.chat_template(df), ["full_text"], vocab_size), vocab_size)
     keep = [c for c in df.columns if c not in ("prompt", "completion")]
-    sft.to_training_table(sft.tokenize_sft(df, enc, mode, max_length, keep=keep), out, max_length)
+    chat = sft.chat_template(df)
+    if vocab_size is None:
+        rows = sft.tokenize_all(df, sft.number_tokens(chat, ["full_text"]), mode, max_length, keep=keep)
+    else:
+        rows = sft.tokenize_sft(df, sft.encoder(sft.build_vocab(chat, ["full_text"], vocab_size), vocab_size), mode, max_length, keep=keep)
+    sft.to_training_table(rows, out, max_length)
 
 
 def evaluate(spark: SparkSession, eval_path: str, systems: Mapping[str, Callable[[], Callable]], out: str, *,

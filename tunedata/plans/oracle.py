@@ -401,7 +401,7 @@ ORACLES["token_problems"] = """
 SELECT doc_id, 'ids' AS "array", CASE doc_id % 7 WHEN 0 THEN 'null array' WHEN 1 THEN 'null id' ELSE 'length 2' END AS problem
 FROM documents WHERE doc_id % 7 <= 2"""
 ORACLES["map_batches_counts"] = """
-SELECT doc_id, lang, substr(coalesce(text, ''), 1, 20) AS text,
+SELECT doc_id, lang, replace(coalesce(text, ''), chr(10), '|') AS text,
        CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 AS BIGINT) AS n_lines
 FROM documents"""
 ORACLES["split_by_url"] = """
@@ -412,7 +412,8 @@ WITH d AS (SELECT CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id = 1 THEN 115292
 r AS (SELECT *, row_number() OVER (ORDER BY k NULLS FIRST, doc_id) AS pos, count(*) OVER () AS n FROM d)
 SELECT k, doc_id, pos, CASE WHEN pos <= floor(CAST(0.8 AS DOUBLE) * n) THEN 'train' ELSE 'valid' END AS split FROM r"""
 
-# Every token numbered: the same SQL without the limit of the vocabulary.
+# Every token is numbered: the vocabulary has no limit (that of ``vocab``, a report, stays).
 for _name in ("encode", "pad_mask", "training_table", *(f"labels_{_m}" for _m in ("prompt_masked", "prompt_masked_bos", "collated", "intended", "seq2seq", "seq2seq_pad100"))):
     _size = 5000 if _name in ("encode", "pad_mask") else 2000
-    ORACLES[f"{_name}_all"] = ORACLES[_name].replace(f" QUALIFY row_number() OVER (ORDER BY freq DESC, token) <= {_size - 3}", "")
+    ORACLES[_name] = ORACLES[f"{_name}_all"] = ORACLES[_name].replace(f" QUALIFY row_number() OVER (ORDER BY freq DESC, token) <= {_size - 3}", "")
+ORACLES["encode_native"] = ORACLES["encode"]
