@@ -76,10 +76,11 @@ def tmx_first_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tmx_pairs_large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training pairs of TMX files on disk (UTF-8 here), read through the file source."""
+    """Training pairs of TMX files on disk (UTF-8 here), cut by chunks. These files are small, so the
+    chunks are too: most files take several, and units straddle them."""
     src = scratch_path(spark, "tmx-files")
     incremental.write_tmx_files(bitext_tmx(spark, sf_dir, encoding="UTF-8"), src)
-    seg = read_tmx_segments(spark, src, encoding="UTF-8", glob="*.txt")
+    seg = read_tmx_segments(spark, src, encoding="UTF-8", glob="*.txt", chunk_bytes=16 << 10)
     # The file path is a URI: the partition folder name is percent-encoded once more.
     seg = seg.withColumn("path", F.url_decode(incremental.original_path("path")))
     return bitext.tmx_to_pairs(seg, policy="training")

@@ -1,10 +1,10 @@
 """TMX translation memories as DataFrames.
 
-A file is read whole by the ``binaryFile`` source (one row per file), decoded, and cut
-into ``<tu>`` fragments with one regex pass. The fragments are hash-partitioned on
+Files are cut into ``<tu>`` fragments chunk by chunk (:mod:`tunedata.sources.tmx_chunks`); documents
+that are rows already, by one regex pass. The fragments are hash-partitioned on
 ``(path, tu_idx)`` so the XML parse runs in parallel even for one huge file, and every
 later per-unit step (language de-dup, source/target pairing) finds its input already
-clustered: the whole TMX-to-pairs plan has a single shuffle.
+clustered: the whole TMX-to-pairs plan has a single shuffle of units.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tunedata import schemas
 from tunedata.functions.text import WS_CLASS, xml_escape
+from tunedata.session import scratch_path
+from tunedata.sources.tmx_chunks import CHUNK_BYTES, scan_tmx
 
 # One <tu> element (not <tuv>), self-closing or up to its end tag; comments, CDATA sections and
 # processing instructions are consumed first, so nothing inside them opens or ends a unit.
@@ -30,18 +32,62 @@ NON_TEXT_PATTERN = r"(?s)(<!\[CDATA\[.*?\]\]>)|<!--.*?-->|<\?.*?\?>"
 
 
 def read_tmx(spark: SparkSession, path: str, *, recursive: bool = True, glob: str = "*.tmx") -> DataFrame:
-    """Scan TMX files as ``(path, content)`` rows; pass the result to :func:`parse_tmx`."""
+    """TMX files as ``(path, content)`` rows, 2 GB at most each, for :func:`parse_tmx`;
+    :func:`read_tmx_segments` reads files of any size."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     return reader.load(path).select("path", "content")
 
 
-def read_tmx_segments(spark: SparkSession, path: str, *, glob: str = "*.tmx", **kw) -> DataFrame:
-    """Segments of every TMX file under ``path``: :func:`read_tmx` and :func:`parse_tmx`, the
-    only route, whatever the files' sizes. A file is one row (2 GB at most) until its units are cut;
-    they are parsed after the unit shuffle, so a large file is parsed by many tasks."""
-    return parse_tmx(read_tmx(spark, path, glob=glob), **kw)
+def read_tmx_segments(
+    spark: SparkSession,
+    path: str,
+    *,
+    encoding: str = "UTF-16LE",
+    inline: str = "leading",
+    on_error: str = "quarantine",
+    num_partitions: int | None = None,
+    glob: str = "*.tmx",
+    recursive: bool = True,
+    chunk_bytes: int = CHUNK_BYTES,
+) -> DataFrame:
+    """Segments of every TMX file under ``path``, whatever their sizes: the rows of :func:`parse_tmx`,
+    each file cut by a task per ``chunk_bytes``."""
+    _check_options(inline, on_error)
+    scan = scan_tmx(spark, path, encoding=encoding, recursive=recursive, glob=glob, chunk_bytes=chunk_bytes)
+    units = scan.units
+    if on_error != "quarantine":
+        broken = scan.documents.where(_frame_is_broken()).select("path")
+        if on_error == "skip_file":
+            units = units.join(broken, "path", "left_anti")
+        elif first := broken.first():
+            raise ValueError(f"malformed document: {first.path}")
+    return _parse_units(_dealt(units, num_partitions), inline, on_error)
+
+
+def read_tmx_errors(
+    spark: SparkSession, path: str, *, encoding: str = "UTF-16LE", glob: str = "*.tmx", recursive: bool = True, chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
+    """:func:`tmx_errors` of the TMX files under ``path``, whatever their sizes."""
+    scan = scan_tmx(spark, path, encoding=encoding, recursive=recursive, glob=glob, chunk_bytes=chunk_bytes)
+    units = _parse_units(_dealt(scan.units, None), "leading", "quarantine", keep_errors=True)
+    return units.unionByName(_document_errors(scan.documents.where(_frame_is_broken())))
+
+
+def _frame_is_broken() -> Column:
+    return F.col("undecodable") | F.col("open_end") | rest_is_broken(F.col("rest"))
+
+
+def _document_errors(broken: DataFrame) -> DataFrame:
+    return broken.select("path", F.lit(None).cast("int").alias("tu_idx"), F.lit("malformed document").alias("record"))
+
+
+def _check_options(inline: str, on_error: str) -> None:
+    if inline not in ("leading", "all_text", "raw"):
+        raise ValueError(f"inline={inline!r}")
+    if on_error not in ("quarantine", "skip_file", "fail"):
+        raise ValueError(f"on_error={on_error!r}")
 
 
 def _leading_text(inner: Column, parts: Column) -> Column:
@@ -80,13 +126,15 @@ def parse_tmx(
               unit or a malformed document around its units (cut off, broken markup, wrong
               encoding), "fail" raises on either. :func:`tmx_errors` lists both kinds.
     """
-    if inline not in ("leading", "all_text", "raw"):
-        raise ValueError(f"inline={inline!r}")
-    if on_error not in ("quarantine", "skip_file", "fail"):
-        raise ValueError(f"on_error={on_error!r}")
+    _check_options(inline, on_error)
     if on_error == "skip_file" and not keep_errors:
         files = files.where(~document_is_broken(decoded(F.col("content"), encoding)))
     units = tmx_units(files, encoding=encoding, num_partitions=num_partitions, check=on_error == "fail")
+    return _parse_units(units, inline, on_error, keep_errors)
+
+
+def _parse_units(units: DataFrame, inline: str, on_error: str, keep_errors: bool = False) -> DataFrame:
+    """``(path, tu_idx, tu)``, dealt out -> segments, or what is quarantined."""
     mode = "FAILFAST" if on_error == "fail" else "PERMISSIVE"
     opts = {"mode": mode, "columnNameOfCorruptRecord": "_corrupt_record", "ignoreSurroundingSpaces": "false"}
     views = [F.from_xml("tu", schemas.TU_RAW_DDL, opts).alias("raw")]
@@ -95,6 +143,11 @@ def parse_tmx(
     # Parsed inside a generator: a filter on its output stays above it (and above the exchange), so
     # each unit is parsed once, in the task that it was dealt to.
     parsed = units.select("path", "tu_idx", F.explode(F.array(F.struct(*views))).alias("x")).select("path", "tu_idx", "x.*")
+    if on_error == "skip_file" and not keep_errors:
+        # Written once: the files with a malformed unit and the units themselves are read from it.
+        spark, table = units.sparkSession, scratch_path(units.sparkSession, "tmx-parsed")
+        parsed.write.parquet(table)
+        parsed = spark.read.schema(parsed.schema).parquet(table)
     return _segments(parsed, inline, on_error, keep_errors)
 
 
@@ -102,7 +155,7 @@ def _segments(parsed: DataFrame, inline: str, on_error: str, keep_errors: bool)
     """``(path, tu_idx, raw, parts)`` parsed units → one row per ``<tuv>``."""
     bad = F.col("raw._corrupt_record").isNotNull()
     if keep_errors:
-        return parsed.where(bad).select("path", "tu_idx", F.col("raw._corrupt_record").alias("record"))
+        return parsed.where(bad).select("path", F.col("tu_idx").cast("int").alias("tu_idx"), F.col("raw._corrupt_record").alias("record"))
     good = parsed.where(~bad)
     if on_error == "skip_file":
         bad_files = parsed.where(bad).select("path").distinct()
@@ -148,9 +201,14 @@ def decoded(content: Column, encoding: str) -> Column:
 
 def document_is_broken(text: Column) -> Column:
     """Whether what surrounds the units of a document is no well-formed element."""
-    rest = F.regexp_replace(F.regexp_replace(text, TU_PATTERN, ""), _DOCTYPE, "")
+    return text.isNull() | rest_is_broken(F.regexp_replace(text, TU_PATTERN, ""))
+
+
+def rest_is_broken(outside: Column) -> Column:
+    """The same from the text outside units, comments and processing instructions."""
+    rest = F.regexp_replace(outside, _DOCTYPE, "")
     parsed = F.from_xml(F.regexp_replace(rest, "^[\\ufeff\\s]+", ""), "_corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    return F.coalesce(text.isNull() | ~rest.rlike(_ROOT) | parsed["_corrupt_record"].isNotNull(), F.lit(True))
+    return F.coalesce(~rest.rlike(_ROOT) | parsed["_corrupt_record"].isNotNull(), F.lit(True))
 
 
 def tmx_units(files: DataFrame, *, encoding: str = "UTF-16LE", num_partitions: int | None = None, check: bool = False) -> DataFrame:
@@ -161,7 +219,11 @@ def tmx_units(files: DataFrame, *, encoding: str = "UTF-16LE", num_partitions: i
     if check:
         text = F.when(document_is_broken(text), F.raise_error(F.concat(F.lit("malformed document: "), "path"))).otherwise(text)
     found = F.filter(F.regexp_extract_all(text, F.lit(TU_PATTERN), 1), lambda x: x != "")
-    units = files.select("path", F.posexplode(found).alias("tu_idx", "tu"))
+    return _dealt(files.select("path", F.posexplode(found).alias("tu_idx", "tu")), num_partitions)
+
+
+def _dealt(units: DataFrame, num_partitions: int | None) -> DataFrame:
+    """Units without comments and processing instructions, hash-partitioned."""
     tu = F.col("tu")
     units = units.withColumn(
         "tu", F.when(tu.contains("<!--") | tu.contains("<?"), F.regexp_replace(tu, NON_TEXT_PATTERN, "$1")).otherwise(tu)
@@ -175,7 +237,7 @@ def tmx_errors(files: DataFrame, *, encoding: str = "UTF-16LE", num_partitions:
     NULL ``tu_idx``, a malformed document around its units."""
     units = parse_tmx(files, encoding=encoding, num_partitions=num_partitions, keep_errors=True)
     broken = files.where(document_is_broken(decoded(F.col("content"), encoding)))
-    return units.unionByName(broken.select("path", F.lit(None).cast("int").alias("tu_idx"), F.lit("malformed document").alias("record")))
+    return units.unionByName(_document_errors(broken))
 
 
 def tuv_xml(lang: Column, seg_xml: Column) -> Column:
@@ -198,4 +260,4 @@ def write_tmx_bytes(units: DataFrame, *, encoding: str = "UTF-16LE", bom: bool =
     return docs.select("path", F.encode(F.concat(F.lit(header), "body", F.lit("\n</body></tmx>\n")), encoding).alias("content"))
 
 
-__all__ = ["read_tmx", "parse_tmx", "read_tmx_segments", "tmx_units", "tmx_errors", "tuv_xml", "tu_xml", "write_tmx_bytes", "xml_escape"]
+__all__ = ["read_tmx", "parse_tmx", "read_tmx_segments", "read_tmx_errors", "tmx_units", "tmx_errors", "tuv_xml", "tu_xml", "write_tmx_bytes", "xml_escape"]
