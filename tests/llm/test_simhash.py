@@ -107,3 +107,8 @@ def test_near_copies_without_an_id_and_texts_that_share_one(spark):
     assert sorted(r.component_id for r in simhash.simhash_components(beside).collect()) == [3, 3, 4, 4]
     got = {(r.doc_id, r.text) for r in simhash.deduplicated(beside).collect()}
     assert got == {(4, text), (3, other), (3, "a second text of id three")}
+
+
+def test_a_column_of_the_same_name_is_kept(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "x"), (2, "a b c d", "y"), (3, "other words here now", "z")], "doc_id long, text string, simhash_key string")
+    assert sorted((r.doc_id, r.simhash_key) for r in simhash.deduplicated(docs).collect()) == [(1, "x"), (3, "z")]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tunedata.session import scratch_path, ship_package
 
-__all__ = ["ASCII_SPACE", "WORD", "components", "grouped", "read", "row_key", "scratch_path", "ship_package", "small", "written"]
+__all__ = ["ASCII_SPACE", "WORD", "components", "grouped", "read", "row_key", "scratch_path", "ship_package", "small", "unused", "written"]
 
 #: The contracts' word pattern and white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +37,14 @@ def row_key(df: DataFrame) -> Column:
     return F.sha2(F.to_json(F.struct(*df.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}), 256)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (whatever its case)."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges (a long, b long)`` -> ``(node long, component long)``,
     the component being the smallest node id of it. Nodes without an edge are not returned.

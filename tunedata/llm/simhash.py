@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunedata.llm.common import components, grouped, read, row_key, ship_package, written
+from tunedata.llm.common import components, grouped, read, row_key, ship_package, unused, written
 
 SHINGLE = 3
 RADIUS = 2
@@ -186,13 +186,14 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of ``docs`` per component: that with the smallest id; rows without an id come last, and
     ties are decided by the fingerprint and the hash of the row."""
-    keyed = docs.withColumn("simhash_key", row_key(docs))
-    fps = written(fingerprints(keyed, shingle, key_col="simhash_key"), "simhash-fp")
+    row = unused(docs, "simhash_key")
+    keyed = docs.withColumn(row, row_key(docs))
+    fps = written(fingerprints(keyed, shingle, key_col=row), "simhash-fp")
     least = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x"))
     classes = _roots(fps, radius).join(least, "fp")
     best = classes.groupBy("root").agg(F.min(F.struct("x.none", "x.doc_id", "fp", "x.key")).alias("x"))
-    kept = keyed.join(best.select(F.col("x.key").alias("simhash_key")), "simhash_key", "left_semi")
-    return kept.dropDuplicates(["simhash_key"]).select(*docs.columns)
+    kept = keyed.join(best.select(F.col("x.key").alias(row)), row, "left_semi")
+    return kept.dropDuplicates([row]).select(*docs.columns)
 
 
 def hex16(fp: Column) -> Column:
