@@ -282,12 +282,14 @@ def scan_tmx(spark: SparkSession, path: str, *, encoding: str = "UTF-16LE", recu
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    files = reader.load(path).select("path", "length")  # the content is not read here
+    cores = spark.sparkContext.defaultParallelism
+    # The content is not read here; a task lists many files.
+    files = reader.load(path).select("path", "length").coalesce(cores)
     last = F.greatest(F.ceil(F.col("length") / chunk_bytes) - 1, F.lit(0)).cast("bigint")
     chunks = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk"))
-    size = files.agg(F.count("*").alias("files"), F.sum(last + 1).alias("chunks"), F.sum("length").alias("bytes")).first()
-    full = (size["bytes"] or 0) // chunk_bytes
-    tasks = max(1, min(MAX_TASKS, max(full, min(size["chunks"] or 1, spark.sparkContext.defaultParallelism))))
+    size = files.agg(F.sum(last + 1).alias("chunks"), F.sum("length").alias("bytes")).first()
+    # A task per CHUNK_BYTES, however small the chunks are.
+    tasks = max(1, min(MAX_TASKS, max((size["bytes"] or 0) // CHUNK_BYTES, min(size["chunks"] or 1, cores))))
     measured = chunks.repartition(tasks, "path", "chunk").mapInArrow(
         _measure(encoding, chunk_bytes),
         "path string, length bigint, chunk bigint, bad boolean, ends array<int>, opens array<bigint>, rests array<string>",
