@@ -81,9 +81,9 @@ def tmx_pairs_large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = scratch_path(spark, "tmx-files")
     incremental.write_tmx_files(bitext_tmx(spark, sf_dir, encoding="UTF-8"), src)
     seg = read_tmx_segments(spark, src, encoding="UTF-8", glob="*.txt", chunk_bytes=16 << 10)
+    pairs = bitext.tmx_to_pairs(seg, policy="training")  # by the files' own paths, on which units are dealt out
     # The file path is a URI: the partition folder name is percent-encoded once more.
-    seg = seg.withColumn("path", F.url_decode(incremental.original_path("path")))
-    return bitext.tmx_to_pairs(seg, policy="training")
+    return pairs.withColumn("path", F.url_decode(incremental.original_path("path")))
 
 
 @query
