@@ -11,7 +11,8 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,6 +86,73 @@ def persist_predictions(df: DataFrame, path: str, partition_by: str | None = "sy
     return df.sparkSession.read.parquet(path)
 
 
+_COMMITS = "row_group int, n_rows bigint"
+
+
+def _commits(spark: SparkSession, path: str) -> dict[int, int] | None:
+    """What the commit log under ``path`` holds; None if there is none yet."""
+    try:
+        return {r.row_group: r.n_rows for r in spark.read.schema(_COMMITS).parquet(path).collect()}
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def predict_resumable(
+    df: DataFrame,
+    make_predict_fn: Callable[[], Callable],
+    input_cols: Sequence[str],
+    key: Sequence[str],
+    path: str,
+    *,
+    groups: int = 256,
+    groups_at_once: int = 32,
+    files_per_group: int = 8,
+    stop_after: int | None = None,
+    **options,
+) -> DataFrame:
+    """:func:`predict` with a commit log, so that a run that was cut off goes on where it stopped.
+
+    The rows are dealt into ``groups`` by a hash of ``key`` and written to ``path/input`` once, in at
+    most ``files_per_group`` parts a group. Then ``groups_at_once`` groups at a time are scored into
+    ``path/rows``, a folder per group, and entered in ``path/commits`` once they are written. A
+    call with the same ``path`` takes the input as written by the first and scores only groups without
+    an entry; what an unfinished run left of a group is overwritten. Returned are the rows of
+    committed groups; ``stop_after`` ends the call after so many rounds. The driver holds a number
+    per group. ``df`` must have no column ``row_group``.
+    """
+    if "row_group" in {c.lower() for c in df.columns}:
+        raise ValueError("column row_group is the log's own")
+    spark, path = df.sparkSession, path.rstrip("/")
+    place = [F.pmod(F.xxhash64(*key), F.lit(groups)).cast("int").alias("row_group")]
+    schema = df.select(*df.columns, *place).schema
+    if _commits(spark, f"{path}/input-commits") is None:
+        part = F.pmod(F.xxhash64(*input_cols, *key), F.lit(files_per_group))
+        dealt = df.select(*df.columns, *place).repartition("row_group", part)
+        dealt.write.mode("overwrite").partitionBy("row_group").parquet(f"{path}/input")
+        spark.range(1).select(F.lit(groups).alias("row_group"), F.lit(0).cast("bigint").alias("n_rows")).write.mode("overwrite").parquet(f"{path}/input-commits")
+    groups = max(_commits(spark, f"{path}/input-commits"))
+    rows = spark.read.schema(schema).parquet(f"{path}/input")
+    scored = predict(rows, make_predict_fn, input_cols, **options)
+    done = _commits(spark, f"{path}/commits") or {}
+    todo = [g for g in range(groups) if g not in done]
+    for k, i in enumerate(range(0, len(todo), groups_at_once)):
+        if k == stop_after:
+            break
+        now = F.col("row_group").isin(todo[i : i + groups_at_once])
+        out = scored.where(now).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy("row_group").parquet(f"{path}/rows")
+        n = spark.read.schema(scored.schema).parquet(f"{path}/rows").where(now).groupBy("row_group").agg(F.count("*").alias("n_rows"))
+        all_now = spark.createDataFrame([(g,) for g in todo[i : i + groups_at_once]], "row_group int")
+        log = all_now.join(n, "row_group", "left").select("row_group", F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"))
+        log.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    done = _commits(spark, f"{path}/commits")
+    if not done:
+        return scored.drop("row_group").where(F.lit(False))
+    return spark.read.schema(scored.schema).parquet(f"{path}/rows").where(F.col("row_group").isin(sorted(done))).drop("row_group")
+
+
 def diff_predictions(a: DataFrame, b: DataFrame, key: Sequence[str], group_cols: Sequence[str] = (), col: str = "prediction") -> DataFrame:
     """Rows compared and rows whose outputs differ between two systems (per group)."""
     j = a.select(*key, *group_cols, F.col(col).alias("__a")).join(b.select(*key, F.col(col).alias("__b")), list(key))

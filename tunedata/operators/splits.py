@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tunedata.plans.permute import permuted
 from tunedata.plans.rank import rank_by_hash, rank_by_key
 
 
@@ -44,6 +45,16 @@ def split_head_tail(df: DataFrame, order: list[str], train_frac: float = 0.8, *,
     return r.withColumn("split", F.when(F.col(pos_col) <= n_train, "train").otherwise("valid")).drop("__n")
 
 
+def epoch_orders(df: DataFrame, order: list[str], epochs: Sequence[int], seed: int = 42, *, pos_col: str = "epoch_pos", total_col: str = "n_rows") -> DataFrame:
+    """Every row once per epoch with its 0-based place in that epoch's order. The rows are ranked once,
+    by ``order`` (a unique key); each epoch's order is a keyed permutation of the ranks, so it depends on
+    the seed, the epoch and the rank alone and not on the partitioning."""
+    ranked = rank_by_key(df, order, rank_col="__pos", total_col=total_col)
+    places = [F.struct(F.lit(e).cast("int").alias("epoch"), permuted(F.col("__pos") - 1, F.col(total_col), f"{seed}|{e}").alias("at")) for e in epochs]
+    out = ranked.withColumn("__e", F.explode(F.array(*places)))
+    return out.select(*df.columns, total_col, F.col("__e.epoch").alias("epoch"), F.col("__e.at").alias(pos_col))
+
+
 def check_partition(all_rows: DataFrame, parts: list[DataFrame], key: str) -> DataFrame:
     """One row ``(n_all, n_parts, n_overlap, n_missing, n_extra)`` checking that ``parts`` are
     disjoint and together equal ``all_rows`` (by ``key``)."""

@@ -18,7 +18,7 @@ from tunedata.operators import bitext, inference, metrics, sft, splits, stats
 from tunedata.plans.corpus import bitext_tmx, conversation_pairs, spread, table
 from tunedata.plans.systems import SYSTEMS
 from tunedata.session import scratch_path, ship_package
-from tunedata.sources import jsonl
+from tunedata.sources import jsonl, shards
 from tunedata.sources.tmx import parse_tmx, read_tmx_segments, tmx_errors
 from tunedata.streaming import incremental
 
@@ -386,6 +386,23 @@ def minibatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sft.assign_batches(keys, KEYS, batch_size=8, grad_accum=4)
 
 
+@query
+def epoch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mini-batches of three epochs, each in an order of its own."""
+    keys = sft_jsonl(spark, sf_dir).select(*KEYS)
+    o = splits.epoch_orders(keys, KEYS, range(3))
+    batch = F.floor(F.col("epoch_pos") / 8).cast("bigint")
+    return o.where(batch < F.floor(F.col("n_rows") / 8)).select(*KEYS, "epoch", "epoch_pos", batch.alias("batch_id"))
+
+
+@query
+def batches_from_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches 20 and later, read from shards through their index as a trainer that resumes does."""
+    out = scratch_path(spark, "shards")
+    shards.write_shards(sft_jsonl(spark, sf_dir), KEYS, out, rows_per_shard=500)
+    return shards.read_batches(spark, out, 8, first_batch=20).select(*KEYS, "prompt", "completion", "batch_id")
+
+
 # ---------------------------------------------------------------- batch inference
 
 
@@ -415,6 +432,15 @@ def predictions_by_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(spark, sf_dir).select("system", *KEYS, "lang", "prediction")
 
 
+@query
+def predictions_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One system, stopped after the first of four rounds and run again to the end."""
+    ev, out = eval_set(spark, sf_dir), scratch_path(spark, "resumable")
+    for rounds in (1, None):
+        p = inference.predict_resumable(ev, SYSTEMS["reversed"], ["infer_prompt", "src", "tgt"], KEYS, out, groups=16, groups_at_once=4, stop_after=rounds)
+    return p.select(*KEYS, "lang", "prediction")
+
+
 @query
 def prediction_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = predictions(spark, sf_dir)

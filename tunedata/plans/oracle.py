@@ -262,6 +262,20 @@ r AS (SELECT {KEYS}, row_number() OVER (ORDER BY {KEYS}) AS pos, count(*) OVER (
 SELECT {KEYS}, CAST((pos - 1) // 8 AS BIGINT) AS batch_id, CAST((pos - 1) // 8 // 4 AS BIGINT) AS step_id
 FROM r WHERE (pos - 1) // 8 < n // 8"""
 
+ORACLES["epoch_batches"] = with_units(pairs_cte("training")).replace("WITH", "WITH RECURSIVE", 1) + f""",
+r AS (SELECT {KEYS}, row_number() OVER (ORDER BY {KEYS}) - 1 AS x, count(*) OVER () AS n FROM pairs),
+h AS (SELECT CAST(e.range AS INTEGER) AS epoch, CAST(i.range AS INTEGER) AS i, md5('42|' || e.range || '|' || i.range) AS h FROM range(3) e, range(128) i),
+c AS (SELECT epoch, i, CAST('0x' || substr(h, 1, 15) AS BIGINT) AS k, CAST('0x' || substr(h, 16, 7) AS BIGINT) AS a,
+             CAST('0x' || substr(h, 23, 7) AS BIGINT) AS b FROM h),
+w AS (SELECT {KEYS}, n, epoch, CAST(0 AS INTEGER) AS i, CAST(x AS BIGINT) AS x FROM r, (SELECT DISTINCT epoch FROM c)
+      UNION ALL
+      SELECT {KEYS}, n, w.epoch, w.i + 1, CASE WHEN ((greatest(x, (k % n + n - x) % n) % 2147483647) * (a + 1) + b) % 2147483647 < 1073741823
+             THEN (k % n + n - x) % n ELSE x END FROM w JOIN c ON c.epoch = w.epoch AND c.i = w.i)
+SELECT {KEYS}, epoch, x AS epoch_pos, CAST(x // 8 AS BIGINT) AS batch_id FROM w WHERE i = 128 AND x // 8 < n // 8"""
+ORACLES["batches_from_index"] = with_units(pairs_cte("training")) + f""",
+r AS (SELECT *, row_number() OVER (ORDER BY {KEYS}) - 1 AS pos, count(*) OVER () AS n FROM ({SFT_SQL}))
+SELECT {KEYS}, prompt, completion, CAST(pos // 8 AS BIGINT) AS batch_id FROM r WHERE pos // 8 BETWEEN 20 AND n // 8 - 1"""
+
 # ---------------------------------------------------------------- inference
 
 def words(x: str) -> str:
@@ -282,6 +296,7 @@ ORACLES["reply_extract"] = "WITH " + UNITS.split("cu AS")[0].rstrip().rstrip(","
 SELECT conv_id, turn, {strip("string_split('<s>[INST] ' || src || CASE WHEN turn % 3 = 0 THEN ' [/INST] draft [/INST] ' ELSE ' [/INST] ' END || tgt, '[/INST]')[-1]")} AS reply
 FROM cp"""
 ORACLES["predictions_by_system"] = with_units(EVAL) + f"\nSELECT system, {KEYS}, lang, prediction FROM preds"
+ORACLES["predictions_resumed"] = with_units(EVAL) + f"\nSELECT {KEYS}, lang, prediction FROM preds WHERE system = 'reversed'"
 ORACLES["prediction_diff"] = with_units(EVAL) + f"""
 SELECT a.lang, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (WHERE a.prediction IS DISTINCT FROM b.prediction) AS BIGINT) AS n_diff
 FROM preds a JOIN preds b USING ({KEYS}) WHERE a.system = 'echo' AND b.system = 'half' GROUP BY a.lang"""
