@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tunedata.llm import embedding_dedup as E
 
@@ -77,7 +78,40 @@ def test_empty(spark):
     assert E.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
-def test_recall_on_the_table(spark):
-    sf = "/root/testdata/sf0.01"
-    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
-    check(spark, rows, least=0.99)
+def planted(seed, n, cosines, common):
+    """``n`` unit vectors that share a mean (cosines of about ``common``), and for each of them one at every cosine."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(np.sqrt(common) * unit(rng.normal(size=64)) + np.sqrt(1 - common) * unit(rng.normal(size=(n, 64))))
+    away = rng.normal(size=(len(cosines), n, 64))
+    away = unit(away - (away * base).sum(2, keepdims=True) * base)
+    near = [c * base + np.sqrt(1 - c * c) * w for c, w in zip(cosines, away)]
+    return [v.tolist() for v in np.concatenate([base, *near])]
+
+
+@pytest.mark.parametrize("common", [0.0, 0.5])
+def test_recall_at_the_border(spark, common):
+    """Pairs planted at cosines of 0.9501 to 0.96, beside the vectors of a table, through 1,024 pivots."""
+    table = [r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").collect()]
+    vectors = planted(3, 500, (0.9501, 0.955, 0.96), common) + table
+    rows = list(enumerate(vectors))
+    check(spark, rows, least=0.97, pivots=1024)
+
+
+def test_order_of_pivots_and_shared_counts():
+    rng = np.random.default_rng(5)
+    u, pivots = E._unit(rng.normal(size=(40, 8))), E._unit(rng.normal(size=(30, 8))).astype(np.float32)
+    near = E.describe(u, pivots, 6)
+    assert (near == np.argsort(-(u.astype(np.float32) @ pivots.T), axis=1, kind="stable")[:, :6]).all()
+    want = [[len(set(x) & set(y)) for y in near.tolist()] for x in near[:9].tolist()]
+    assert E._shared(near[:9], E._lists_of(near), 40).tolist() == want
+
+
+def test_pivots_grow_and_lie_apart():
+    assert [E.pivots_for(n) for n in (0, 10_000, 1_000_000, 10**12)] == [64, 400, 4000, 16384]
+    rng = np.random.default_rng(6)
+    dense = rng.normal(size=16) + 0.01 * rng.normal(size=(300, 16))  # a dense group takes one pivot
+    chosen = E.choose_pivots([*dense, *rng.normal(size=(300, 16)), np.ones(3)], 100)
+    assert len(chosen[16]) == 100 and chosen[3].shape == (1, 3)
+    each = chosen[16] @ chosen[16].T - 2 * np.eye(100)
+    assert each.max() < 0.9
