@@ -95,3 +95,17 @@ def test_jobs_on_plain_files(spark, tmp_path):
         read_jsonl(spark, str(tmp_path / "bad.jsonl"), "src string").collect()
     good, bad = read_jsonl_quarantine(spark, str(tmp_path / "bad.jsonl"), "src string")
     assert sorted(r.src for r in good.collect()) == ["a", "b"] and [r.record for r in bad.collect()] == ["not json"]
+
+
+def test_lang_codes_keep_fields_of_any_type(spark, tmp_path):
+    rows = [{"lang": "it-IT", "id": 7, "x": 1}, {"x": {"a": [1, None, {"b": "\u00fc\""}]}, "lang": None}, {"x": "s", "lang": {"no": "text"}, "z": 1.5},
+            {"x": None, "big": 12345678901234567890, "e": 1e300, "t": True}]
+    (tmp_path / "m.jsonl").write_text("\n\n".join(map(json.dumps, rows)) + "\n  \n")
+    jobs.fix_lang_codes(spark, str(tmp_path / "m.jsonl"), str(tmp_path / "out"))
+    want = [r | {"lang": "IT" if r.get("lang") == "it-IT" else ""} for r in rows]
+    order = lambda r: json.dumps(r, sort_keys=True)
+    assert sorted(_lines(tmp_path / "out"), key=order) == sorted(want, key=order)
+    for bad in ("not json", "[1]", '{"a":1,"a":2}'):
+        (tmp_path / "bad.jsonl").write_text(bad + "\n")
+        with pytest.raises(Exception):
+            jobs.fix_lang_codes(spark, str(tmp_path / "bad.jsonl"), str(tmp_path / "bad-out"))

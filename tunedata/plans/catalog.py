@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tunedata.functions.text import extract_reply, format_score, tok_13a, ustrip, word_tokens
 from tunedata.operators.batches import map_batches
 from tunedata.operators import bitext, inference, metrics, sft, splits, stats
+from tunedata.plans import jobs
 from tunedata.plans.corpus import bitext_tmx, conversation_pairs, spread, table
 from tunedata.plans.systems import SYSTEMS
 from tunedata.session import scratch_path, ship_package
@@ -152,6 +153,22 @@ def jsonl_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("r.*", "is_ascii")
 
 
+@query
+def lang_codes_mixed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines in which a field is a number, an object or an array, by line, with their language
+    codes fixed and every field kept."""
+    src, out = scratch_path(spark, "mixed-jsonl"), scratch_path(spark, "mixed-fixed")
+    n, k = F.col("n_chars").cast("string"), F.col("doc_id") % 3
+    meta = F.when(k == 0, n).when(k == 1, F.concat(F.lit('{"n":'), n, F.lit(',"to":null}'))).otherwise(F.concat(F.lit("["), n, F.lit(',"x"]')))
+    lang = F.when(F.col("lang").isNotNull(), F.concat(F.lit('"lang":"'), "lang", F.lit('-xx",'))).otherwise("")
+    docs = table(spark, sf_dir, "documents")
+    docs.select(F.concat(F.lit("{"), lang, F.lit('"id":'), F.col("doc_id").cast("string"), F.lit(',"meta":'), meta, F.lit("}")).alias("value")).write.text(src)
+    jobs.fix_lang_codes(spark, src, out)
+    rows = jsonl.read_jsonl_objects(spark, out)
+    field = lambda name: F.col("row")[name]
+    return rows.select(F.try_variant_get(field("id"), "$", "bigint").alias("doc_id"), jsonl.field_text("row", "lang").alias("lang"), F.to_json(field("meta")).alias("meta"))
+
+
 @query
 def preview_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.preview(_keyed_sft(spark, sf_dir), 5, ["path", "tu_idx", "lang_pos"], ["prompt", "completion"])

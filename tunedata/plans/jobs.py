@@ -11,6 +11,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tunedata.functions.text import iso2
 from tunedata.operators import bitext, inference, metrics, sft, splits
 from tunedata.plans.corpus import spread
 from tunedata.session import scratch_path, ship_package
@@ -60,9 +61,14 @@ def _keyed(spark: SparkSession, df: DataFrame, key: list[str]) -> tuple[DataFram
 
 
 def fix_lang_codes(spark: SparkSession, in_path: str, out: str, schema: str | None = None) -> None:
-    """Validation JSON lines → the same, all fields kept, with two-letter upper-case language codes."""
+    """Validation JSON lines → the same, all fields kept, with two-letter upper-case language codes. Without a
+    ``schema`` the lines may hold any fields, of types that differ from line to line."""
     ship_package(spark)
-    df = _rows(spark, in_path, schema)
+    if schema is None:
+        rows = jsonl.read_jsonl_objects(spark, in_path)
+        fixed = jsonl.with_field("row", "lang", iso2(jsonl.field_text("row", "lang")))
+        return jsonl.write_jsonl_objects(rows.select(fixed.alias("row")), out)
+    df = jsonl.read_jsonl(spark, in_path, schema)
     if "lang" not in df.columns:
         df = df.withColumn("lang", F.lit(None).cast("string"))
     jsonl.write_jsonl(bitext.fix_lang_codes(df), out)

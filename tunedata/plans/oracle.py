@@ -127,6 +127,9 @@ ORACLES["lang_names"] = with_units(pairs_cte("training"), LANG_NAMES_VALUES) + (
 SFT_SQL = f"SELECT path, tu_idx, lang_pos, {PROMPT.format(label=LABEL)} AS prompt, tgt AS completion FROM pairs"
 ORACLES["jsonl_roundtrip"] = with_units(pairs_cte("training")) + "\n" + SFT_SQL
 ORACLES["jsonl_ascii"] = with_units(pairs_cte("training")) + f"\nSELECT *, true AS is_ascii FROM ({SFT_SQL})"
+ORACLES["lang_codes_mixed_fields"] = """SELECT doc_id, upper(substr(coalesce(lang || '-xx', ''), 1, 2)) AS lang,
+  CASE doc_id % 3 WHEN 0 THEN CAST(n_chars AS VARCHAR) WHEN 1 THEN '{"n":' || n_chars || ',"to":null}' ELSE '[' || n_chars || ',"x"]' END AS meta
+FROM documents"""
 ORACLES["preview_examples"] = with_units(pairs_cte("training")) + f"""
 SELECT CAST(row_number() OVER (ORDER BY path, tu_idx, lang_pos) AS INTEGER) AS example_no, prompt, completion
 FROM ({SFT_SQL}) ORDER BY path, tu_idx, lang_pos LIMIT 5"""

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -48,6 +48,32 @@ def read_jsonl_quarantine(spark: SparkSession, path: str, schema: StructType | s
     return parsed.where(~bad).select("r.*").drop("_corrupt_record"), parsed.where(bad).select(F.col("value").alias("record"))
 
 
+def read_jsonl_objects(spark: SparkSession, path: str, col: str = "row") -> DataFrame:
+    """JSON lines of any fields as one ``map<string, variant>`` column: a field may be a number in one
+    line and an object in the next, and nothing looks for a schema first. Blank lines are skipped; a line
+    that is no JSON object, or names a field twice, raises."""
+    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*$"))
+    return lines.select(F.parse_json("value").cast("map<string, variant>").alias(col))
+
+
+def with_field(row: Column | str, name: str, value: Column) -> Column:
+    """A ``map<string, variant>`` with one field set, all others kept."""
+    row = F.col(row) if isinstance(row, str) else row
+    others = F.map_filter(row, lambda k, _: k != name)
+    return F.map_concat(others, F.create_map(F.lit(name), value.cast("variant")))
+
+
+def field_text(row: Column | str, name: str) -> Column:
+    """A field as text: NULL if it is missing, null, an object or an array."""
+    value = F.element_at(F.col(row) if isinstance(row, str) else row, F.lit(name))
+    return F.when(~F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)"), F.try_variant_get(value, "$", "string"))
+
+
+def write_jsonl_objects(df: DataFrame, path: str, col: str = "row", mode: str = "overwrite") -> None:
+    """The ``map<string, variant>`` column as JSON lines."""
+    df.select(F.to_json(col).alias("value")).write.mode(mode).text(path)
+
+
 def write_jsonl(df: DataFrame, path: str, *, ascii: bool = False, mode: str = "overwrite", compression: str | None = None) -> None:
     """Write JSON lines, UTF-8. ``ascii=True`` escapes non-ASCII text like ``json.dumps``."""
     if not ascii:
