@@ -90,6 +90,11 @@ def test_hot_anchors_are_cut_up(spark):
     check(spark, corpus(2, 90, hot=True), hot_least=2)
 
 
+def test_buckets_grow_with_the_text(spark):
+    """Far more buckets than shuffle partitions (and than a slice fills) change nothing."""
+    check(spark, corpus(3, 60, hot=True), hot_least=2, bucket_bytes=400)
+
+
 def test_nulls_ties_and_repeats(spark):
     long = "some words that are long enough to be found again elsewhere, surely so"
     check(spark, [(1, long), (1, long), (1, "x" + long), (None, long), (None, "q " + long), (2, long + "é"), (3, "é" * 60), (4, "é" * 60)], parts=3)

@@ -39,7 +39,9 @@ LEFT = SPAN - 1  # bytes before an anchor that its strings can reach
 CONTEXT = LEFT + LENGTH
 ROW = 80  # CONTEXT, the bytes that exist before and after the anchor, filled up to whole words
 LEAD = 16  # leading bytes that choose a bucket
-SAMPLE_DOCS = 2000  # documents that the splitters are sampled from, at most about so many
+SAMPLE_DOCS = 2000, 100_000  # documents that the splitters are sampled from, at least and at most about so many
+BUCKET_BYTES = 32 << 20  # text behind a bucket, which a task holds whole
+MAX_PARTITIONS = 10_000  # shuffle partitions; a task takes its buckets one after the other
 HOT_LEAST, HOT_MOST = 50_000, 4096  # anchor strings cut up: more frequent than, at most so many
 PIECE = 1 << 16  # positions hashed at once, to stay in the processor's cache
 SLICE = 8 << 20  # bytes of text handled together
@@ -193,12 +195,10 @@ def _to_targets(targets: int, doc: np.ndarray, th: np.ndarray, pos: np.ndarray,
     """What belongs to documents, packed into one row per group of documents."""
     group = ((doc.astype(np.uint64) * _MIX[0]) >> np.uint64(32)).astype(np.int64) % targets
     order = np.lexsort((doc, group))
-    cuts = np.searchsorted(group[order], np.arange(targets + 1))
+    found, starts = np.unique(group[order], return_index=True)
     cols = [doc.astype("<i8"), th.astype("<i8"), pos.astype("<u4"), mask.astype("<u4")]
-    for k in range(targets):
-        o = order[cuts[k] : cuts[k + 1]]
-        if len(o):
-            yield (k, *(_squeeze(c[o].tobytes(), len(o)) for c in cols))
+    for k, o in zip(found.tolist(), np.split(order, starts[1:])):
+        yield (k, *(_squeeze(c[o].tobytes(), len(o)) for c in cols))
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,13 +239,12 @@ def _send_anchors(buckets: int):
                 one = one[np.lexsort((pos[one], doc[one], bucket[one]))]
                 lead_order = np.argsort(bucket[lead], kind="stable")
                 lead, count = lead[lead_order], count[lead_order]
-                cut_one = np.searchsorted(bucket[one], np.arange(buckets + 1))
-                cut_lead = np.searchsorted(bucket[lead], np.arange(buckets + 1))
-                for k in range(buckets):
-                    o, r = one[cut_one[k] : cut_one[k + 1]], slice(cut_lead[k], cut_lead[k + 1])
-                    if len(o) or r.stop > r.start:
-                        docs, n = np.unique(doc[o], return_counts=True)
-                        rows.append((k, _pack5(code[o]), docs.tobytes(), n.astype("<u4").tobytes(), pos[o].tobytes(), _pack5(code[lead[r]]), count[r].astype("<u4").tobytes()))
+                found = np.union1d(bucket[one], bucket[lead])
+                cuts = [np.searchsorted(bucket[at], found, side) for at in (one, lead) for side in ("left", "right")]
+                for k, *(from_one, to_one, from_lead, to_lead) in zip(found.tolist(), *cuts):
+                    o, r = one[from_one:to_one], slice(from_lead, to_lead)
+                    docs, n = np.unique(doc[o], return_counts=True)
+                    rows.append((k, _pack5(code[o]), docs.tobytes(), n.astype("<u4").tobytes(), pos[o].tobytes(), _pack5(code[lead[r]]), count[r].astype("<u4").tobytes()))
                 yield _rows(rows, _ONE)
 
     return run
@@ -421,13 +420,11 @@ def _send_contexts(buckets: int, splitters: np.ndarray, hot: np.ndarray, hot_buc
         bucket = bucket_of(suffix[first])
         order = np.argsort(bucket, kind="stable")
         starts = np.cumsum(count) - count
-        cuts = np.searchsorted(bucket[order], np.arange(len(splitters) + 2))
-        for k in range(len(splitters) + 1):
-            o = order[cuts[k] : cuts[k + 1]]
-            if len(o):
-                f, c = first[o], count[o]
-                p = pos[np.repeat(starts[o] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
-                yield (k, kind, _squeeze(rows[f].tobytes()), doc[f].tobytes(), th[f].tobytes(), count[o].astype("<u4").tobytes(), p.astype("<u4").tobytes(), None)
+        found, cuts = np.unique(bucket[order], return_index=True)
+        for k, o in zip(found.tolist(), np.split(order, cuts[1:])):
+            f, c = first[o], count[o]
+            p = pos[np.repeat(starts[o] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
+            yield (k, kind, _squeeze(rows[f].tobytes()), doc[f].tobytes(), th[f].tobytes(), count[o].astype("<u4").tobytes(), p.astype("<u4").tobytes(), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -563,10 +560,10 @@ def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _cut(batches, True)
 
 
-def _splitters(src: DataFrame, buckets: int) -> np.ndarray:
-    """At most ``buckets - 1`` leading strings that cut a sample of the anchors evenly."""
-    n = src.count()
-    some = src.sample(min(1.0, SAMPLE_DOCS / max(n, 1)), seed=7).select("text").limit(2 * SAMPLE_DOCS)
+def _splitters(src: DataFrame, n: int, buckets: int) -> np.ndarray:
+    """At most ``buckets - 1`` leading strings that cut a sample of the anchors of ``n`` documents evenly."""
+    docs = min(max(SAMPLE_DOCS[0], 4 * buckets), SAMPLE_DOCS[1])
+    some = src.sample(min(1.0, docs / max(n, 1)), seed=7).select("text").limit(2 * docs)
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -581,7 +578,7 @@ def _splitters(src: DataFrame, buckets: int) -> np.ndarray:
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_least: int = HOT_LEAST, others: Sequence[str] = (),
-    as_text: bool = False,
+    as_text: bool = False, bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """``(doc_id, th, n_bytes, n_removed, n_spans, kept binary)``, one row per input row.
 
@@ -590,20 +587,27 @@ def remove_repeats(
     keep everything; a null id counts as larger than all others. ``kept`` may cut a character
     in two, as strings are bytes. The columns named in ``others`` come along in a struct of that name;
     columns not named are ignored. ``as_text``: ``kept`` is a string, without the bytes of characters
-    that a cut leaves incomplete. The splitters' sample and the most
+    that a cut leaves incomplete. There is a bucket per ``bucket_bytes`` of text (a shuffle partition at
+    least). The splitters' sample and the most
     frequent anchors (at most 4096 numbers) are all that the driver sees.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text)
-    sent = src.mapInArrow(_send_anchors(buckets), _ONE_DDL)
-    sent = sent.repartition("bucket").sortWithinPartitions("bucket")
+    size = src.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    buckets = max(least, -(-(size["bytes"] or 0) // bucket_bytes))
+
+    def dealt(df: DataFrame, key: str) -> DataFrame:
+        parts = [min(buckets, MAX_PARTITIONS)] if buckets > least else []
+        return df.repartition(*parts, key).sortWithinPartitions(key)
+
+    sent = dealt(src.mapInArrow(_send_anchors(buckets), _ONE_DDL), "bucket")
     shared = written(sent.mapInArrow(_find_shared(buckets, hot_least), _SHARED_DDL), "suffix-shared")
     hot = shared.where("hot IS NOT NULL").orderBy(F.desc("n"), "hot").select("hot").limit(HOT_MOST).collect()
     hot = np.array(sorted(r.hot for r in hot), np.int64)
-    splitters = _splitters(src, buckets)
+    splitters = _splitters(src, size["n"], buckets)
 
     # The texts go by id once: the same exchange serves both joins, so it holds the same columns
     # for both (as one struct, which neither can prune).
@@ -613,13 +617,13 @@ def remove_repeats(
     texts = texts.select("doc_id", F.xxhash64("row.text").alias("th"), "row", key.alias("k"))
 
     def by_doc(packed: DataFrame) -> DataFrame:
-        packed = packed.select("target", "doc", "th", "pos", "mask").repartition("target").sortWithinPartitions("target")
+        packed = dealt(packed.select("target", "doc", "th", "pos", "mask"), "target")
         return packed.mapInArrow(_gather, _BY_DOC_DDL)
 
     per_doc = by_doc(shared.where("hot IS NULL")).select("d", F.col("pos").alias("shared"))
     with_anchors = texts.join(per_doc, F.col("k") == F.col("d")).select("doc_id", "th", "row", "shared")
     contexts = with_anchors.mapInArrow(_send_contexts(buckets, splitters, hot, buckets), _TWO_DDL)
-    contexts = contexts.repartition("bucket").sortWithinPartitions("bucket")
+    contexts = dealt(contexts, "bucket")
     verdicts = by_doc(contexts.mapInArrow(_compare(buckets), _VERDICT_DDL)).withColumnRenamed("th", "found_th")
     both = texts.join(verdicts, F.col("k") == F.col("d"), "left").select("doc_id", "th", "row", "found_th", "pos", "mask")
     fields = ", ".join(f"c{i}: {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
