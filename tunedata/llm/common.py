@@ -6,10 +6,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tunedata.operators.batches import small
 from tunedata.session import scratch_path, ship_package
 
 __all__ = ["ASCII_SPACE", "WORD", "components", "grouped", "read", "row_key", "scratch_path", "ship_package", "small", "unused", "written"]
@@ -103,15 +103,3 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[
                 held.append(part)
     if held:
         yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
-
-
-def small(batches: Iterator[pa.RecordBatch], texts, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of rows with at most ``limit`` bytes of text (one row at least), so that
-    neither the worker nor the JVM holds a large batch of results. ``texts``: batch -> its texts."""
-    for b in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(texts(b)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-        i = 0
-        while i < b.num_rows:
-            j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + limit, "right")))
-            yield b.slice(i, j - i)
-            i = j

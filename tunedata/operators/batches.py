@@ -1,10 +1,13 @@
-"""A vectorised row-batch function over a table."""
+"""A vectorised row-batch function over a table; slices of Arrow batches."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -27,3 +30,15 @@ def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: T.StructType
                 yield pd.DataFrame({**{f.name: b[f.name] for f in kept}, **{n: list(got[n]) for n in names}})
 
     return df.mapInPandas(run, T.StructType([*kept, *new]))
+
+
+def small(batches: Iterator[pa.RecordBatch], texts, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of rows with at most ``limit`` bytes of text (one row at least), so that
+    neither the worker nor the JVM holds a large batch of results. ``texts``: batch -> its texts."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts(b)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + limit, "right")))
+            yield b.slice(i, j - i)
+            i = j

@@ -9,12 +9,15 @@ clustered: the whole TMX-to-pairs plan has a single shuffle of units.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunedata import schemas
 from tunedata.functions.text import WS_CLASS, xml_escape
+from tunedata.operators.batches import small
 from tunedata.session import scratch_path
 from tunedata.sources.tmx_chunks import CHUNK_BYTES, scan_tmx
 
@@ -127,9 +130,8 @@ def parse_tmx(
               encoding), "fail" raises on either. :func:`tmx_errors` lists both kinds.
     """
     _check_options(inline, on_error)
-    if on_error == "skip_file" and not keep_errors:
-        files = files.where(~document_is_broken(decoded(F.col("content"), encoding)))
-    units = tmx_units(files, encoding=encoding, num_partitions=num_partitions, check=on_error == "fail")
+    drop = on_error == "skip_file" and not keep_errors
+    units = tmx_units(files, encoding=encoding, num_partitions=num_partitions, check=on_error == "fail", drop_broken=drop)
     return _parse_units(units, inline, on_error, keep_errors)
 
 
@@ -182,21 +184,32 @@ def _segments(parsed: DataFrame, inline: str, on_error: str, keep_errors: bool)
     )
 
 
-def decoded(content: Column, encoding: str) -> Column:
-    """Text of a file, NULL where its bytes are not valid in ``encoding`` (one Arrow pass per file;
-    the built-in ``decode`` would fail the whole job)."""
+DECODED_BYTES = 4 << 20  # of content that is decoded together
+
+
+def _decode(encoding: str) -> Callable:
+    def one(b: pa.Scalar) -> str | None:
+        try:
+            return bytes(b.as_buffer()).decode(encoding) if b.is_valid else None
+        except UnicodeDecodeError:
+            return None
 
-    @F.pandas_udf("string")
-    def decode(raw: pd.Series) -> pd.Series:
-        def one(b):
-            try:
-                return None if b is None else bytes(b).decode(encoding)
-            except UnicodeDecodeError:
-                return None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, lambda b: b.column("content"), DECODED_BYTES):
+            texts = pa.array([one(x) for x in b.column("content")], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("path"), texts], ["path", "text"])
 
-        return raw.map(one)
+    return run
 
-    return decode(content)
+
+def decoded(files: DataFrame, encoding: str) -> DataFrame:
+    """``(path, content)`` → ``(path, text)``, NULL where the bytes are not valid in ``encoding`` (the
+    built-in ``decode`` would fail the whole job).
+
+    An Arrow batch of documents is taken in slices of ``DECODED_BYTES`` (one document at least), so a
+    worker holds the texts of one slice, however many documents there are. Filters stay above.
+    """
+    return files.select("path", "content").mapInArrow(_decode(encoding), "path string, text string")
 
 
 def document_is_broken(text: Column) -> Column:
@@ -211,11 +224,12 @@ def rest_is_broken(outside: Column) -> Column:
     return F.coalesce(~rest.rlike(_ROOT) | parsed["_corrupt_record"].isNotNull(), F.lit(True))
 
 
-def tmx_units(files: DataFrame, *, encoding: str = "UTF-16LE", num_partitions: int | None = None, check: bool = False) -> DataFrame:
+def tmx_units(files: DataFrame, *, encoding: str = "UTF-16LE", num_partitions: int | None = None, check: bool = False, drop_broken: bool = False) -> DataFrame:
     """``(path, content)`` → ``(path, tu_idx, tu)``: each ``<tu>`` fragment in document order.
-    ``check`` raises on a malformed document."""
-    files = files.select("path", decoded(F.col("content"), encoding).alias("text"))
-    text = F.col("text")
+    ``check`` raises on a malformed document, ``drop_broken`` leaves it out."""
+    files, text = decoded(files, encoding), F.col("text")
+    if drop_broken:
+        files = files.where(~document_is_broken(text))
     if check:
         text = F.when(document_is_broken(text), F.raise_error(F.concat(F.lit("malformed document: "), "path"))).otherwise(text)
     found = F.filter(F.regexp_extract_all(text, F.lit(TU_PATTERN), 1), lambda x: x != "")
@@ -236,7 +250,7 @@ def tmx_errors(files: DataFrame, *, encoding: str = "UTF-16LE", num_partitions:
     """What :func:`parse_tmx` quarantines: ``(path, tu_idx, record)``, a malformed unit, or, with a
     NULL ``tu_idx``, a malformed document around its units."""
     units = parse_tmx(files, encoding=encoding, num_partitions=num_partitions, keep_errors=True)
-    broken = files.where(document_is_broken(decoded(F.col("content"), encoding)))
+    broken = decoded(files, encoding).where(document_is_broken(F.col("text")))
     return units.unionByName(_document_errors(broken))
 
 
