@@ -95,3 +95,35 @@ def test_first_hypothesis_against_all_references(spark):
     assert got == pytest.approx(py_bleu(["the cat sat on the mat"], [[r for _, _, r in rows]]), abs=1e-9)
     grouped = metrics.bleu_first_hypothesis(df.withColumn("s", F.lit("x")), ["k"], "h", "r", ["s"]).first().score
     assert grouped == pytest.approx(got, abs=1e-12)
+
+
+def test_segments_are_counted_in_slices(monkeypatch):
+    """A worker holds the arrays of a bounded number of tokens, not of a whole Arrow batch."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    text = lambda n: [rng.choice("abcd") for _ in range(n)]
+    hyps = [text(rng.choice([0, 1, 3, 30])) for _ in range(60)] + [text(900)]
+    refs = [[text(rng.choice([0, 2, 25])) for _ in range(rng.choice([0, 1, 3]))] for _ in range(60)] + [[text(400)] * 2]
+    batch = pa.array(hyps, pa.list_(pa.string())), pa.array(refs, pa.list_(pa.list_(pa.string())))
+    whole = [tuple(x.values()) for x in next(metrics._clipped_slices(iter([batch]))).to_pylist()]
+    monkeypatch.setattr(metrics, "TOKENS", 200)
+    # a slice of a larger batch, as Arrow hands them out
+    cut = list(metrics._clipped_slices(iter([(batch[0].slice(0, 40), batch[1].slice(0, 40)), (batch[0].slice(40), batch[1].slice(40))])))
+    sizes = [len(h) + sum(map(len, r)) for h, r in zip(hyps, refs)]
+    at = 0
+    for c in cut:
+        assert len(c) == 1 or sum(sizes[at : at + len(c)]) <= 200
+        at += len(c)
+    assert at == len(hyps) and len(cut) > 5
+    assert [tuple(x.values()) for c in cut for x in c.to_pylist()] == whole
+    for h, r, (sys_len, ref_len, *clipped) in zip(hyps, refs, whole):
+        assert sys_len == len(h) and ref_len == min((len(x) for x in r), key=lambda x: (abs(x - len(h)), x), default=0)
+        for n, got in enumerate(clipped, 1):
+            grams = lambda t: Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1))  # noqa: E731, B023
+            best = Counter()
+            for x in r:
+                best |= grams(x)
+            assert got == (grams(h) & best).total()

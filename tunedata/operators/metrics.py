@@ -8,10 +8,12 @@ in place; only the final per-group sums shuffle, after partial aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -49,8 +51,8 @@ def segment_stats(
     columns (constant per segment, e.g. system and language) ride along. Tokens are always
     13a expressions on the JVM. ``method``:
 
-    arrow       clipped counts per segment in an Arrow-batched UDF (a Counter per segment):
-                no shuffle at all, segments are independent.
+    arrow       clipped counts per segment in an Arrow-batched UDF, a bounded number of tokens at
+                a time: no shuffle at all, segments are independent.
     relational  n-grams exploded and counted with group-bys after one hash repartition on
                 ``key`` (all later aggregations reuse that partitioning).
     """
@@ -61,39 +63,37 @@ def segment_stats(
     return _segment_stats_relational(df, key, hyp, refs, carry, num_partitions)
 
 
-def _clipped_counts(hyps: pd.Series, refs: pd.Series) -> pd.DataFrame:
-    """Per segment of an Arrow batch: sys_len, closest ref_len (ties → shorter) and the clipped
-    matches for n = 1..4, vectorised over the whole batch.
+def _lengths(lists: pa.ListArray) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    All tokens are factorised once; the code of an n-gram is the factorised pair (code of its
-    (n-1)-gram prefix, code of its last token), formed only where the n-gram fits inside its own
-    text. Counts per (text, n-gram), the largest count over a segment's references, and the
+
+def _clipped_counts(hyps: pa.ListArray, refs: pa.ListArray) -> np.ndarray:
+    """A row per segment: sys_len, closest ref_len (ties → shorter) and the clipped matches for
+    n = 1..4, vectorised over all segments.
+
+    All tokens are dictionary-encoded once, in Arrow; the code of an n-gram is the factorised pair
+    (code of its (n-1)-gram prefix, code of its last token), formed only where the n-gram fits inside
+    its own text. Counts per (text, n-gram), the largest count over a segment's references, and the
     clipped sums are sorts and reductions over int64 keys - exact, no hashing of n-grams.
     """
     nseg = len(hyps)
     out = np.zeros((nseg, 2 + MAX_ORDER), dtype=np.int64)
-    seg_of, ref_of, texts = [], [], []
-    for s, (h, rs) in enumerate(zip(hyps, refs)):
-        seg_of.append(s)
-        ref_of.append(-1)
-        texts.append(h)
-        rls = [len(r) for r in rs]
-        hl = len(h)
-        out[s, 0] = hl
-        out[s, 1] = min(rls, key=lambda x: (abs(x - hl), x)) if rls else 0
-        for j, r in enumerate(rs):
-            seg_of.append(s)
-            ref_of.append(j)
-            texts.append(r)
-    lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
+    each = refs.flatten()
+    hl, rl = _lengths(hyps), _lengths(each)
+    ref_seg = np.repeat(np.arange(nseg), _lengths(refs))
+    out[:, 0] = hl
+    if len(rl):
+        longest = int(rl.max()) + 1
+        closest = np.full(nseg, np.iinfo(np.int64).max)
+        np.minimum.at(closest, ref_seg, np.abs(rl - hl[ref_seg]) * longest + rl)
+        out[ref_seg, 1] = closest[ref_seg] % longest
+    seg_of, lengths = np.concatenate([np.arange(nseg), ref_seg]), np.concatenate([hl, rl])
+    is_hyp = np.arange(len(lengths)) < nseg
     total = int(lengths.sum())
     if total == 0:
-        return pd.DataFrame(out, columns=["sys_len", "ref_len"] + [f"c{n}" for n in range(1, MAX_ORDER + 1)])
-    seg_of = np.asarray(seg_of, dtype=np.int64)
-    is_hyp = np.asarray(ref_of, dtype=np.int64) < 0
-    flat = np.concatenate([np.asarray(t, dtype=object) for t in texts])
-    tok, _ = pd.factorize(flat)
-    text_at = np.repeat(np.arange(len(texts)), lengths)
+        return out
+    tok = pa.concat_arrays([hyps.flatten(), each.flatten()]).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+    text_at = np.repeat(np.arange(len(lengths)), lengths)
     left = lengths[text_at] - (np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths))  # tokens from here to text end
     gram = tok.astype(np.int64)
     width = int(tok.max()) + 1
@@ -124,11 +124,27 @@ def _clipped_counts(hyps: pd.Series, refs: pd.Series) -> pd.DataFrame:
         at = np.minimum(np.searchsorted(uk, hk), len(uk) - 1)
         clipped = np.where(uk[at] == hk, np.minimum(hc, rmax[at]), 0)
         out[:, 1 + n] = np.bincount(seg[hyp_side], weights=clipped, minlength=nseg).astype(np.int64)
-    return pd.DataFrame(out, columns=["sys_len", "ref_len"] + [f"c{n}" for n in range(1, MAX_ORDER + 1)])
+    return out
 
 
+TOKENS = 1 << 18  # of segments that are counted together, so that a worker's arrays are bounded
 _STATS_TYPE = StructType([StructField(c, LongType(), False) for c in ["sys_len", "ref_len"] + [f"c{n}" for n in range(1, MAX_ORDER + 1)]])
-_clipped_udf = F.pandas_udf(_clipped_counts, _STATS_TYPE)
+
+
+def _clipped_slices(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """:func:`_clipped_counts` of slices of each Arrow batch, ``TOKENS`` tokens (one segment at least)."""
+    for hyps, refs in batches:
+        sizes = np.concatenate([[0], np.cumsum(_lengths(refs.flatten()))])
+        refs_at = np.concatenate([[0], np.cumsum(_lengths(refs))])
+        ends, i = np.cumsum(_lengths(hyps)) + sizes[refs_at[1:]], 0
+        while i < len(hyps):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + TOKENS, "right")))
+            counts = _clipped_counts(hyps.slice(i, j - i), refs.slice(i, j - i))
+            yield pa.StructArray.from_arrays([pa.array(c) for c in counts.T.copy()], _STATS_TYPE.names)
+            i = j
+
+
+_clipped_udf = F.arrow_udf(_clipped_slices, _STATS_TYPE)
 
 
 def _segment_stats_arrow(df: DataFrame, key: Sequence[str], hyp: str, refs: Column, carry: Sequence[str]) -> DataFrame:
