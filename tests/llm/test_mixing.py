@@ -123,3 +123,22 @@ def test_rows_equal_in_everything_meet_as_one(spark):
         assert r.start == at
         at += r["size"]
     assert M.streams(sized).select("h").distinct().count() == 1002
+
+
+def test_query_counts_the_places_of_the_schedule(spark, tmp_path, monkeypatch):
+    """What a document is given comes from the sorted schedule, also where ids are null or repeat."""
+    rows = corpus(5, 120) + [(None, "same", "a"), (None, "same", "a"), (None, "other words", "b")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda r: (str(r.doc_id), r["size"], r.taken, -1.0 if r.first_position is None else r.first_position)
+    mixed = M.mix(docs).withColumn("taken", F.col("size") * F.col("copies"))
+    want = mixed.withColumn("first_position", F.when(F.col("copies") > 0, M._position(F.col("start").cast("double")))).collect()
+    got = M.op5_curriculum_mix(spark, str(tmp_path)).collect()
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len(got) == len(rows)
+    whole = M.schedule
+    monkeypatch.setattr(M, "schedule", lambda m: whole(m).where("position < 0.5"))
+    early = M.op5_curriculum_mix(spark, str(tmp_path)).collect()
+    assert len(early) == len(rows)
+    places = whole(M.mix(docs)).where("position < 0.5")
+    assert sum(r.taken for r in early) == places.agg(F.sum("size")).first()[0] < sum(r.taken for r in got)
+    assert all(r.taken == 0 and r.first_position is None for r in early if r.first_position is None or r.first_position >= 0.5)

@@ -143,11 +143,15 @@ def scheduled_documents(docs: DataFrame, seed: int = SEED, max_repeat: int = MAX
 
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mix(read(spark, sf_dir, "documents"))
-    first = F.when(F.col("copies") > 0, _position(F.col("start").cast("double")))
-    return m.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"),
-        first.alias("first_position"),
+    """What the schedule takes of each document: the words and the first position of its places in the
+    sorted mix, which is written in training order; documents without a place take nothing."""
+    row = F.monotonically_increasing_id()  # told apart by row: ids may repeat; fixed by writing
+    m = written(mix(read(spark, sf_dir, "documents")).drop("digest", "h").withColumn("row", row), "mix")
+    places = written(schedule(m).select("row", "size", "position"), "mix-schedule")
+    per = places.groupBy("row").agg(F.sum("size").alias("taken"), F.min("position").alias("first_position"))
+    return m.join(per, "row", "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
+        "first_position",
     )
 
 
