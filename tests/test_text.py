@@ -77,3 +77,10 @@ def test_xml_escape_roundtrip(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for t, r in zip(texts, df.select(T.xml_escape("t")).collect()):
         assert ET.fromstring(f"<s>{r[0]}</s>").text == t
+
+
+def test_13a_rules_match_no_space_and_take_points_in_pairs(spark):
+    assert not any(re.search(pattern, " " * 9) for pattern, _ in T.RULES_13A)  # most of a text's characters
+    texts = ["a,,2", "1,,2", "a.,.2", "1..,.a", "a b", "é.,x", "5-6-", "\U0001f600.2", ".", ",,,,1", "a , b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    assert [r[0] for r in df.select(T.tok_13a("t")).collect()] == [py_13a(t) for t in texts]

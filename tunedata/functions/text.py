@@ -17,6 +17,18 @@ REPLY_MARK = "[/INST]"
 WORD_TOKEN_RE = r"</?s>|\[/?INST\]|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
 
+# The four punctuation rules of 13a, in their order, as patterns that find the rare character first
+# and then look behind. The tokens are those of the published rules: a space is not set apart from
+# its neighbours once more, and as a run of points and commas is taken in pairs there, the second
+# rule takes the character after a match along.
+RULES_13A = (
+    (r"[\{-~\[-`!-&\(-\+:-@/]", " $0 "),
+    (r"([\.,])(?<![0-9][\.,])([\.,]?)", " $1 $2"),
+    (r"([\.,])([^0-9])", " $1 $2"),
+    (r"-(?<=[0-9]-)", " - "),
+)
+
+
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -33,7 +45,7 @@ def urstrip(col: Column | str) -> Column:
 
 def ws_split(col: Column | str) -> Column:
     """Python ``str.split()``: split on runs of Unicode whitespace, no empty tokens."""
-    return F.filter(F.split(_c(col), f"{WS_CLASS}+"), lambda t: t != "")
+    return F.array_remove(F.split(_c(col), f"{WS_CLASS}+"), "")
 
 
 def is_blank(col: Column | str) -> Column:
@@ -84,11 +96,8 @@ def tok_13a(col: Column | str) -> Column:
     for ent, ch in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         t = F.replace(t, F.lit(ent), F.lit(ch))
     t = F.concat(F.lit(" "), t, F.lit(" "))
-    # The four punctuation rules of 13a, applied in this order.
-    t = F.regexp_replace(t, r"([\{-~\[-` -&\(-\+:-@/])", " $1 ")
-    t = F.regexp_replace(t, r"([^0-9])([\.,])", "$1 $2 ")
-    t = F.regexp_replace(t, r"([\.,])([^0-9])", " $1 $2")
-    t = F.regexp_replace(t, r"([0-9])(-)", "$1 $2 ")
+    for pattern, spaced in RULES_13A:
+        t = F.regexp_replace(t, pattern, spaced)
     return ws_split(t)
 
 
