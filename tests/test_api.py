@@ -71,3 +71,25 @@ def test_ascii_sink_matches_json_dumps_escapes(spark, tmp_path):
     assert json.loads(line)["t"] == text
     assert "\\ud83d\\ude00" in line and "\\u00e8" in line
     assert json.loads(line) == json.loads(json.dumps({"t": text}))
+
+
+def test_predict_systems_makes_strings_of_few_rows_at_a_time(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def make_label():
+        return lambda q, k: np.array([f"{'null' if x is None else x[:3]}:{n}" for x, n in zip(q, k)], dtype=object)
+
+    batch = (pa.array(["x" * 4000] * 5000), pa.array(range(5000)))  # 20 MB
+    tracemalloc.start()
+    out = [a.to_pylist() for a in inference._answers([make_label, make_label], 64)(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(out, []) == [[f"xxx:{i}"] * 2 for i in range(5000)] and peak < 8 << 20
+
+    df = spark.range(0, 50, 1, 1).select("id", F.when(F.col("id") != 3, F.concat(F.lit("q"), "id")).alias("q"))
+    for n in (50, 0):
+        rows = inference.predict_systems(df.where(F.col("id") < n), {"a": make_label, "b": make_label}, ["q", "id"], batch_size=4).collect()
+        want = [(i, s, f"{f'q{i}'[:3] if i != 3 else 'null'}:{i}") for i in range(n) for s in "ab"]
+        assert sorted((r.id, r.system, r.prediction) for r in rows) == want

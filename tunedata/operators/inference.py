@@ -2,15 +2,18 @@
 
 The model is the caller's: ``make_predict_fn()`` is called once per Python worker and
 returns a function from numpy arrays (one per input column) to an array of generated
-texts; ``predict_batch_udf`` feeds it Arrow batches of ``batch_size`` rows.
+texts; it is fed ``batch_size`` rows at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
+from pyspark.ml.model_cache import ModelCache
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +38,25 @@ def predict(
     return df.withColumn(output_col, extract_reply(out) if reply_only else out)
 
 
+def _answers(makers: Sequence[Callable[[], Callable]], batch_size: int) -> Callable:
+    """Arrow columns -> for each row the list of all models' outputs. Only ``batch_size`` rows at a time
+    are Python strings, however many an Arrow batch has. The models are made once per worker."""
+    key = uuid.uuid4()
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        fns = ModelCache.get(key)
+        if fns is None:
+            ModelCache.add(key, fns := [m() for m in makers])
+        for cols in batches:
+            cols = cols if isinstance(cols, tuple) else (cols,)
+            for i in range(0, len(cols[0]), batch_size):
+                some = [c.slice(i, batch_size).to_pandas().to_numpy() for c in cols]
+                out = np.stack([np.asarray(f(*some), dtype=object) for f in fns], axis=1)
+                yield pa.array(out.tolist(), pa.list_(pa.string()))
+
+    return run
+
+
 def predict_systems(
     df: DataFrame,
     systems: Mapping[str, Callable[[], Callable]],
@@ -51,25 +73,7 @@ def predict_systems(
     if not 1 <= len(input_cols) <= 5:
         raise ValueError("predict_systems takes 1 to 5 input columns")
 
-    arity = len(input_cols)
-
-    def make_all():
-        fns = [m() for m in makers]
-
-        def run(*cols):
-            return np.stack([np.asarray(f(*cols), dtype=object) for f in fns], axis=1)
-
-        # predict_batch_udf reads the number of inputs from the signature: give it a fixed one.
-        by_arity = {
-            1: lambda a: run(a),
-            2: lambda a, b: run(a, b),
-            3: lambda a, b, c: run(a, b, c),
-            4: lambda a, b, c, d: run(a, b, c, d),
-            5: lambda a, b, c, d, e: run(a, b, c, d, e),
-        }
-        return by_arity[arity]
-
-    udf = predict_batch_udf(make_all, return_type=T.ArrayType(T.StringType()), batch_size=batch_size)
+    udf = F.arrow_udf(_answers(makers, batch_size), T.ArrayType(T.StringType()))
     outs = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("system"), udf(*[F.col(c) for c in input_cols]).alias("raw"))
     return df.withColumn("__p", F.explode(outs)).select(
         *df.columns, F.col("__p.system").alias("system"), extract_reply(F.col("__p.raw")).alias(output_col)
