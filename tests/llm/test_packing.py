@@ -92,3 +92,13 @@ def test_crc_is_unsigned_little_endian(spark):
     docs = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
     r = packing.pack(docs).selectExpr("crc32(ids) c").first()
     assert r.c == zlib.crc32(np.array(ids_of("some words here"), "<u4").tobytes())
+
+
+def test_memory_of_words_is_no_work_for_the_collector():
+    import gc
+
+    enc = packing.ChunkEncoder(packing.tokenizer_path())
+    for t in ("alpha beta, gamma. x%%", "É éà ab1 don't"):
+        enc(t.encode())
+    gc.collect()
+    assert enc.parts and not any(map(gc.is_tracked, enc.parts.values()))

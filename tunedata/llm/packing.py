@@ -70,39 +70,43 @@ class ChunkEncoder:
 
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.parts: dict[bytes, list[int]] = {}
+        self.parts: dict[bytes, tuple[int, ...]] = {}  # tuples of numbers are no work for the garbage collector
         self.flat = np.zeros(1 << 16, np.uint32)  # ids of all chunks, one after another
         self.starts = np.zeros(1 << 14, np.int64)  # chunk k has flat[starts[k]:starts[k + 1]]
         self.held = 0  # bytes, about
 
     def _learn(self, chunks: list[bytes]) -> None:
-        cut: list[tuple[bytes, ...]] = []
         parts, punctuation, known = self.parts, self.PUNCTUATION_BYTES, len(self.parts)
+        first, ids, ends = len(self.index), [], []
+        at = int(self.starts[first])
+        tokenize, get = self.model.tokenize, parts.get
         for c in chunks:
             word = c.rstrip(punctuation)
             if (word.isalpha() and word.islower()) or not word:  # ASCII letters
-                ps = (word, c[len(word) :]) if len(word) < len(c) else (word,)
-                for p in ps:
-                    if p not in parts:
-                        parts[p] = [t.id for t in self.model.tokenize(p.decode())] if p else []
+                got = get(word)
+                if got is None:
+                    got = parts[word] = tuple(t.id for t in tokenize(word.decode())) if word else ()
+                ids += got
+                if len(word) < len(c):
+                    tail = c[len(word) :]
+                    got = get(tail)
+                    if got is None:
+                        got = parts[tail] = tuple(t.id for t in tokenize(tail.decode()))
+                    ids += got
             elif not word.isascii() and (s := word.decode("utf-8", "replace")).isalpha() and len(low := "".join(map(str.lower, s))) == len(s):
-                ps = (low.encode(), c[len(word) :])
-                for p in ps:
-                    if p not in parts:
-                        parts[p] = self._ids(p.decode())
+                for p in (low.encode(), c[len(word) :]):
+                    got = get(p)
+                    if got is None:
+                        got = parts[p] = tuple(self._ids(p.decode()))
+                    ids += got
             else:
-                ps = (c,)
-                if c not in parts:
-                    parts[c] = self.encode([c.decode("utf-8", "replace")], add_special_tokens=False)[0].ids
-            cut.append(ps)
-        self.held += sum(map(len, chunks)) + ENTRY * (len(chunks) + len(parts) - known)
-        first, ids, ends = len(self.index), [], []
-        at = int(self.starts[first])
-        for c, ps in zip(chunks, cut):
-            self.index[c] = len(self.index)
-            for p in ps:
-                ids += self.parts[p]
+                got = get(c)
+                if got is None:
+                    got = parts[c] = tuple(self.encode([c.decode("utf-8", "replace")], add_special_tokens=False)[0].ids)
+                ids += got
             ends.append(at + len(ids))
+        self.index.update(zip(chunks, range(first, first + len(chunks))))
+        self.held += sum(map(len, chunks)) + ENTRY * (len(chunks) + len(parts) - known)
         while at + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.index) >= len(self.starts):
@@ -115,7 +119,7 @@ class ChunkEncoder:
         alphabet, unless the normaliser would change it."""
         if not p:
             return []
-        if p.isascii() or unicodedata.is_normalized("NFC", p) and all(c.lower() == c for c in p):
+        if p.isascii() or unicodedata.is_normalized("NFC", p) and "".join(map(str.lower, p)) == p:
             return [t.id for t in self.model.tokenize("".join(map(_BYTE_LETTERS.__getitem__, p.encode())))]
         return self.encode([p], add_special_tokens=False)[0].ids
 
